@@ -8,6 +8,7 @@ earlier pieces is added to the local one.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,15 +17,12 @@ from leakscope.functions.order import det_order
 from leakscope.session import settle
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"):
+def join_null_safe(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
     """Equi-join that treats null keys as equal and keeps the left key columns."""
-    renamed = right.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys],
-        *[F.col(c) for c in right.columns if c not in keys],
-    )
-    cond = F.lit(True)
-    for key in keys:
-        cond = cond & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = F.expr(" and ".join(f"`{k}` <=> `_r_{k}`" for k in keys))
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
@@ -60,60 +58,77 @@ def hashed_rank(
     )
 
 
-def lay_out(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Range-partitioned, sorted and written once; adds ``_piece`` and ``_seq``."""
-    laid = (
+@dataclass(frozen=True)
+class Laid:
+    """Sorted rows with ``_piece`` and ``_seq``, and the number of pieces."""
+
+    rows: DataFrame
+    by: tuple[str, ...]
+    pieces: int
+
+    def carrying(self, rows: DataFrame) -> Laid:
+        return replace(self, rows=rows)
+
+
+def lay_out(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> Laid:
+    """Range-partition, sort and write once."""
+    laid = settle(
         df.repartitionByRange(*by, *order)
         .sortWithinPartitions(*by, *order)
         .withColumn("_seq", F.monotonically_increasing_id())
     )
-    return settle(laid).withColumn("_piece", F.shiftright("_seq", 33).cast("int"))
+    return Laid(
+        laid.selectExpr("*", "cast(shiftright(_seq, 33) as int) as _piece"),
+        tuple(by),
+        laid.rdd.getNumPartitions(),
+    )
 
 
 def running(
-    laid: DataFrame,
-    by: Sequence[str],
-    sums: Mapping[str, Column],
-    carries: Mapping[str, Column] | None = None,
+    laid: Laid, sums: Mapping[str, str], carries: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Adds, per laid-out row, totals of all earlier rows of its group.
+    """Adds, per laid-out row, the state left by all earlier rows of its group.
 
-    ``sums`` gives, for each name, the total over earlier rows; ``carries``
-    gives the last non-null value over earlier rows.
+    ``sums`` maps a name to an SQL expression that is added up; ``carries`` maps
+    a name to one whose last non-null value is kept.
     """
     carries = carries or {}
-    work = laid.withColumns(
-        {f"_v_{n}": c for n, c in sums.items()} | {f"_c_{n}": c for n, c in carries.items()}
+    work = laid.rows.selectExpr(
+        "*",
+        *[f"{e} as _v_{n}" for n, e in sums.items()],
+        *[f"{e} as _c_{n}" for n, e in carries.items()],
+    )
+    keys = ", ".join(f"`{c}`" for c in laid.by)
+    local = (
+        f"(partition by {keys}, _piece order by _seq "
+        "rows between unbounded preceding and 1 preceding)"
     )
+    if laid.pieces > 1:
+        work = work.unionByName(_heads(work, laid.by, sums, carries), allowMissingColumns=True)
+    return work.selectExpr(
+        *[f"`{c}`" for c in laid.rows.columns],
+        *[f"coalesce(sum(_v_{n}) over {local}, 0) as {n}" for n in sums],
+        *[f"last_value(_c_{n}) ignore nulls over {local} as {n}" for n in carries],
+    ).where("_seq >= 0")
+
+
+def _heads(work: DataFrame, by: Sequence[str], sums, carries) -> DataFrame:
+    """One extra row per piece that brings the state of earlier pieces into its window."""
     pieces = [*by, "_piece"]
+    keys = ", ".join(f"`{c}`" for c in by)
     summary = work.groupBy(*pieces).agg(
-        *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums],
+        *[F.expr(f"sum(_v_{n}) as _s_{n}") for n in sums],
         *[
-            F.max_by(f"_c_{n}", F.when(F.col(f"_c_{n}").isNotNull(), F.col("_seq"))).alias(
-                f"_l_{n}"
-            )
+            F.expr(f"max_by(_c_{n}, if(_c_{n} is not null, _seq, null)) as _l_{n}")
             for n in carries
         ],
     )
-    ahead = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    # One extra row per piece carries the state of earlier pieces into its window.
-    heads = summary.select(
-        *pieces,
-        F.lit(-1).cast("bigint").alias("_seq"),
-        *[F.sum(f"_s_{n}").over(ahead).alias(f"_v_{n}") for n in sums],
-        *[F.last(f"_l_{n}", True).over(ahead).alias(f"_c_{n}") for n in carries],
-    )
-    local = Window.partitionBy(*pieces).orderBy("_seq").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    return (
-        work.unionByName(heads, allowMissingColumns=True)
-        .select(
-            *laid.columns,
-            *[F.coalesce(F.sum(f"_v_{n}").over(local), F.lit(0)).alias(n) for n in sums],
-            *[F.last(f"_c_{n}", True).over(local).alias(n) for n in carries],
-        )
-        .where(F.col("_seq") >= 0)
+    ahead = f"(partition by {keys} order by _piece rows between unbounded preceding and 1 preceding)"
+    return summary.selectExpr(
+        *[f"`{c}`" for c in pieces],
+        "-1L as _seq",
+        *[f"sum(_s_{n}) over {ahead} as _v_{n}" for n in sums],
+        *[f"last_value(_l_{n}) ignore nulls over {ahead} as _c_{n}" for n in carries],
     )
 
 
@@ -128,33 +143,25 @@ def exact_percentiles(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     laid = lay_out(counted, by, [value])
-    below = running(laid, by, {"_below": F.col("_n")})
-    totals = laid.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    below = running(laid, {"_below": "_n"})
+    totals = laid.rows.groupBy(*by).agg(F.sum("_n").alias("_total"))
     ranked = join_null_safe(below, totals, by)
 
-    def at(rank: Column) -> Column:
-        inside = (F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_n"))
-        return F.max(F.when(inside, F.col(value)))
-
     aggs = []
     for name, share in shares.items():
-        place = F.lit(share) * (F.col("_total") - 1)
-        low = F.floor(place)
-        high = F.ceil(place)
-        aggs += [
-            at(low).alias(f"_lo_{name}"),
-            at(high).alias(f"_hi_{name}"),
-            F.first(place - low).alias(f"_w_{name}"),
-        ]
+        place = f"({share!r}D * (_total - 1))"
+        for side, rank in (("lo", f"floor{place}"), ("hi", f"ceil{place}")):
+            aggs.append(
+                F.expr(
+                    f"max(if(_below <= {rank} and {rank} < _below + _n, `{value}`, null)) "
+                    f"as _{side}_{name}"
+                )
+            )
+        aggs.append(F.expr(f"max({place} - floor{place}) as _w_{name}"))
     spread = ranked.groupBy(*by).agg(*aggs)
-    return spread.select(
-        *by,
-        *[
-            (
-                F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")
-            ).alias(n)
-            for n in shares
-        ],
+    return spread.selectExpr(
+        *[f"`{c}`" for c in by],
+        *[f"_lo_{n} + (_hi_{n} - _lo_{n}) * _w_{n} as {n}" for n in shares],
     )
 
 

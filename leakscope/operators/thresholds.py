@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope.functions.order import clean_number
-from leakscope.operators.ordering import hashed_rank, join_null_safe, lay_out, running
+from leakscope.operators.ordering import Laid, hashed_rank, join_null_safe, lay_out, running
 from leakscope.session import settle
 
 GLOBAL_FOLD = -1
@@ -80,81 +80,61 @@ def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 # -- one threshold -------------------------------------------------------------------
 
 
-def _binned(df: DataFrame, x: str, y: str, by: Sequence[str], k: int) -> DataFrame:
+def _binned(df: DataFrame, x: str, y: str, by: Sequence[str], k: int) -> Laid:
     """Positives and negatives per distinct value, in total and per fold, laid out by value."""
-    pos, neg = F.col(y) == 1, F.col(y) == 0
-    folds = [
-        agg
-        for f in range(k)
-        for agg in (
-            F.count_if(pos & (F.col("fold") == f)).alias(f"p{f}"),
-            F.count_if(neg & (F.col("fold") == f)).alias(f"n{f}"),
-        )
-    ]
+    counts = [f"count_if(`{y}` = 1) as pos", f"count_if(`{y}` = 0) as neg"]
+    for f in range(k):
+        counts.append(f"count_if(`{y}` = 1 and fold = {f}) as p{f}")
+        counts.append(f"count_if(`{y}` = 0 and fold = {f}) as n{f}")
     counted = (
         df.withColumn("x", clean_number(F.col(x).cast("double")))
         .groupBy(*by, "x")
-        .agg(F.count_if(pos).alias("pos"), F.count_if(neg).alias("neg"), *folds)
+        .agg(*[F.expr(c) for c in counts])
     )
     return lay_out(counted, by, ["x"])
 
 
-def _sets(k: int) -> list[tuple[int, Column, Column]]:
-    """(fold, training positives, training negatives); the global set comes first."""
-    out = [(GLOBAL_FOLD, F.col("pos"), F.col("neg"))]
-    for f in range(k):
-        out.append((f, F.col("pos") - F.col(f"p{f}"), F.col("neg") - F.col(f"n{f}")))
-    return out
+def _sets(k: int) -> list[tuple[int, str, str, str]]:
+    """(fold, suffix, training positives, training negatives); all rows come first."""
+    return [(GLOBAL_FOLD, "g", "pos", "neg")] + [
+        (f, str(f), f"(pos - p{f})", f"(neg - n{f})") for f in range(k)
+    ]
 
 
-def _scored_candidates(laid: DataFrame, by: Sequence[str], k: int) -> DataFrame:
-    """Per (group, fold): every candidate with the rows it gets right.
+def _scored_candidates(laid: Laid, by: Sequence[str], k: int) -> DataFrame:
+    """Per (group, fold): every candidate with the rows it gets wrong below it.
 
     Cumulative counts replace the rule-by-row comparison. A null value is
     predicted 0 and sorts first, so it counts as below every candidate.
     """
     sums, carries = {}, {}
-    for f, tp, tn in _sets(k):
-        s = f"{f + 1}"
+    for _, s, tp, tn in _sets(k):
         sums[f"cp{s}"], sums[f"cn{s}"] = tp, tn
-        carries[f"prev{s}"] = F.when(
-            (tp + tn > 0) & F.col("x").isNotNull(),
-            F.struct(F.col("x").alias("x"), tp.alias("p"), tn.alias("n")),
+        carries[f"prev{s}"] = (
+            f"if({tp} + {tn} > 0 and x is not null, "
+            f"named_struct('x', x, 'p', {tp}, 'n', {tn}), null)"
         )
-    run = running(laid, by, sums, carries)
+    run = running(laid, sums, carries)
     rows = []
-    for f, tp, tn in _sets(k):
-        s = f"{f + 1}"
-        prev = F.col(f"prev{s}")
-        middle = (prev["x"] + F.col("x")) / 2
-        tie = (tp > 0) & (tn > 0)
-        change = prev.isNotNull() & (tp + tn > 0) & ((prev["p"] > 0) != (tn == 0))
+    for f, s, tp, tn in _sets(k):
+        middle = f"((prev{s}.x + x) / 2)"
+        change = (
+            f"x is not null and prev{s} is not null and {tp} + {tn} > 0 "
+            f"and (prev{s}.p > 0) != ({tn} = 0)"
+        )
         # A midpoint that rounds down to the lower value leaves that value above it.
-        low = middle <= prev["x"]
-        fold = F.lit(f).alias("fold")
+        low = f"{middle} <= prev{s}.x"
         rows.append(
-            F.struct(
-                fold,
-                F.when(change, middle).alias("t"),
-                (F.col(f"cn{s}") - F.when(low, prev["n"]).otherwise(0)).alias("below_neg"),
-                (F.col(f"cp{s}") - F.when(low, prev["p"]).otherwise(0)).alias("below_pos"),
-                tp.alias("tp"),
-                tn.alias("tn"),
-            )
+            f"named_struct('fold', {f}, 't', if({change}, {middle}, null), "
+            f"'below_neg', cn{s} - if({low}, prev{s}.n, 0L), "
+            f"'below_pos', cp{s} - if({low}, prev{s}.p, 0L), 'tp', {tp}, 'tn', {tn})"
         )
         rows.append(
-            F.struct(
-                fold,
-                F.when(tie, F.col("x")).alias("t"),
-                F.col(f"cn{s}").alias("below_neg"),
-                F.col(f"cp{s}").alias("below_pos"),
-                F.lit(0).cast("bigint").alias("tp"),
-                F.lit(0).cast("bigint").alias("tn"),
-            )
+            f"named_struct('fold', {f}, 't', if({tp} > 0 and {tn} > 0, x, null), "
+            f"'below_neg', cn{s}, 'below_pos', cp{s}, 'tp', 0L, 'tn', 0L)"
         )
-    return run.select(*by, "x", F.inline(F.array(*rows))).withColumn(
-        "t", F.when(F.col("x").isNotNull(), F.col("t"))
-    )
+    keys = [f"`{c}`" for c in by]
+    return run.selectExpr(*keys, "x", f"inline(array({', '.join(rows)}))")
 
 
 def candidate_thresholds(
@@ -164,7 +144,7 @@ def candidate_thresholds(
     df, keys = _keyed(df, by)
     bins = _binned(df, x, y, keys, 0)
     found = _scored_candidates(bins, keys, 0).where(F.col("t").isNotNull()).select(*keys, "t")
-    ends = bins.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ends = bins.rows.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     have = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
     edges = (
         join_null_safe(ends, have, keys, "left")
@@ -174,43 +154,30 @@ def candidate_thresholds(
     return found.unionByName(edges).where(F.col("t").isNotNull()).select(*by, "t")
 
 
-def _best(bins: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+def _best(laid: Laid, by: Sequence[str], k: int) -> DataFrame:
     """Per (group, fold): threshold, training hits and training rows."""
-    cands = _scored_candidates(bins, by, k)
     per_fold = (
-        cands.groupBy(*by, "fold")
+        _scored_candidates(laid, by, k)
+        .groupBy(*by, "fold")
         .agg(
-            F.sum("tp").alias("pos_all"),
-            F.sum("tn").alias("neg_all"),
-            F.sum(F.when(F.col("x").isNull(), F.col("tn") - F.col("tp")).otherwise(0)).alias(
-                "unread"
+            F.expr("sum(tp) as pos_all"),
+            F.expr("sum(tn) as neg_all"),
+            F.expr("sum(if(x is null, tn - tp, 0L)) as unread"),
+            F.expr("min(if(tp + tn > 0, x, null)) as lo"),
+            F.expr("max(if(tp + tn > 0, x, null)) as hi"),
+            F.expr(
+                "min(if(t is not null, "
+                "named_struct('loss', below_pos - below_neg, 't', t), null)) as best"
             ),
-            F.max(F.when(F.col("tp") + F.col("tn") > 0, F.col("x"))).alias("hi"),
-            F.min(F.when(F.col("tp") + F.col("tn") > 0, F.col("x"))).alias("lo"),
-            # positives at or above t = all positives - positives below t
-            F.min(
-                F.when(
-                    F.col("t").isNotNull(),
-                    F.struct(
-                        (F.col("below_pos") - F.col("below_neg")).alias("loss"), F.col("t")
-                    ),
-                )
-            ).alias("best"),
         )
-        .withColumn("n", F.col("pos_all") + F.col("neg_all"))
     )
-    hits = F.col("pos_all") - F.col("best.loss")
     # Without a label change: min - 0.1 predicts all 1 (but for nulls), max + 0.1 all 0.
-    low_hits = F.col("pos_all") + F.col("unread")
-    low_wins = low_hits >= F.col("neg_all")
-    return per_fold.select(
-        *by,
+    return per_fold.selectExpr(
+        *[f"`{c}`" for c in by],
         "fold",
-        F.coalesce(
-            F.col("best.t"), F.when(low_wins, F.col("lo") - 0.1).otherwise(F.col("hi") + 0.1)
-        ).alias("t"),
-        F.coalesce(hits, F.greatest(low_hits, F.col("neg_all"))).alias("hits"),
-        "n",
+        "coalesce(best.t, if(pos_all + unread >= neg_all, lo - 0.1D, hi + 0.1D)) as t",
+        "coalesce(pos_all - best.loss, greatest(pos_all + unread, neg_all)) as hits",
+        "pos_all + neg_all as n",
     )
 
 
@@ -245,41 +212,35 @@ def cv_threshold(
     bins = _binned(df, x, y, keys, k)
     best = _best(bins, keys, k)
     wide = best.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("fold") == f, F.col("t"))).alias(f"t{f}") for f in range(k)]
+        *[F.expr(f"max(if(fold = {f}, struct(t, hits, n), null)) as s{f}") for f in range(k)],
+        F.expr(f"max(if(fold = {GLOBAL_FOLD}, struct(t, hits, n), null)) as sg"),
     )
-    joined = join_null_safe(bins, wide, keys)
-    right = [
-        F.sum(
-            F.when(F.coalesce(F.col("x") >= F.col(f"t{f}"), F.lit(False)), F.col(f"p{f}")).otherwise(
-                F.col(f"n{f}")
-            )
-        ).alias(f"h{f}")
-        for f in range(k)
-    ]
-    size = [F.sum(F.col(f"p{f}") + F.col(f"n{f}")).alias(f"m{f}") for f in range(k)]
-    tested = joined.groupBy(*keys).agg(*right, *size)
-    folds = tested.select(
-        *keys,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f).alias("fold"),
-                        F.try_divide(F.col(f"h{f}").cast("double"), F.col(f"m{f}")).alias(
-                            "test_acc"
-                        ),
-                    )
-                    for f in range(k)
-                ]
-            )
-        ),
+    tested = (
+        join_null_safe(bins.rows, wide, keys)
+        .groupBy(*keys)
+        .agg(
+            F.expr("first(sg) as sg"),
+            *[F.expr(f"first(s{f}) as s{f}") for f in range(k)],
+            *[
+                F.expr(
+                    f"try_divide(cast(sum(if(coalesce(x >= s{f}.t, false), p{f}, n{f})) as double), "
+                    f"sum(p{f} + n{f})) as h{f}"
+                )
+                for f in range(k)
+            ],
+        )
     )
-    return join_null_safe(best, folds, [*keys, "fold"], "left").select(
-        *by,
-        "fold",
-        "t",
-        F.try_divide(F.col("hits").cast("double"), F.col("n")).alias("train_acc"),
-        "test_acc",
+    rows = [f"named_struct('fold', {GLOBAL_FOLD}, 's', sg, 'test_acc', cast(null as double))"]
+    rows += [f"named_struct('fold', {f}, 's', s{f}, 'test_acc', h{f})" for f in range(k)]
+    return (
+        tested.selectExpr(*[f"`{c}`" for c in by], f"inline(array({', '.join(rows)}))")
+        .selectExpr(
+            *[f"`{c}`" for c in by],
+            "fold",
+            "s.t as t",
+            "try_divide(cast(s.hits as double), s.n) as train_acc",
+            "test_acc",
+        )
     )
 
 
@@ -303,36 +264,32 @@ def _axis(pairs: DataFrame, x: str, by: Sequence[str], upper: bool):
         F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("n")
     )
     laid = lay_out(bins, by, ["x"])
-    first = running(
-        laid,
-        by,
-        {},
-        {"prev": F.struct(F.col("x").alias("x"), F.col("p").alias("p"))},
-    )
-    middle = (F.col("prev.x") + F.col("x")) / 2
-    change = F.col("prev").isNotNull() & ((F.col("prev.p") > 0) != (F.col("n") == 0))
-    tie = (F.col("p") > 0) & (F.col("n") > 0)
-    found = first.withColumn(
-        "cands",
-        F.filter(
-            F.array(F.when(change, middle), F.when(tie, F.col("x"))), lambda t: t.isNotNull()
-        ),
-    ).drop("prev")
-    counted = running(found, by, {"ahead": F.size("cands")})
-    inside = F.filter("cands", lambda t: (t < F.col("x")) if upper else (t <= F.col("x")))
-    reach = counted.select(*by, "x", (F.col("ahead") + F.size(inside)).alias("reach"))
-    listed = counted.select(*by, "ahead", F.posexplode("cands").alias("i", "t")).select(
-        *by, (F.col("ahead") + F.col("i")).alias("idx"), "t"
+    keys = [f"`{c}`" for c in by]
+    first = running(laid, {}, {"prev": "named_struct('x', x, 'p', p)"})
+    found = first.selectExpr(
+        *[f"`{c}`" for c in laid.rows.columns],
+        "filter(array(if(prev is not null and (prev.p > 0) != (n = 0), (prev.x + x) / 2, null), "
+        "if(p > 0 and n > 0, x, null)), t -> t is not null) as cands",
+    )
+    counted = running(laid.carrying(found), {"ahead": "size(cands)"})
+    side = "<" if upper else "<="
+    reach = counted.selectExpr(
+        *keys, "x", f"ahead + size(filter(cands, t -> t {side} x)) as reach"
+    )
+    listed = counted.selectExpr(*keys, "ahead", "posexplode(cands) as (i, t)").selectExpr(
+        *keys, "ahead + i as idx", "t"
     )
     ends = counted.groupBy(*by).agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum(F.size("cands")).alias("m")
+        F.expr("min(x) as lo"), F.expr("max(x) as hi"), F.expr("sum(size(cands)) as m")
     )
-    edges = ends.where("m = 0").select(
-        *by, F.posexplode(F.array(F.col("lo") - 0.1, F.col("hi") + 0.1)).alias("idx", "t")
-    ).select(*by, F.col("idx").cast("bigint").alias("idx"), "t")
-    return listed.unionByName(edges), join_null_safe(reach, ends.select(*by, "m"), by).select(
-        *by, "x", F.when(F.col("m") == 0, F.lit(1)).otherwise(F.col("reach")).alias("reach")
+    edges = (
+        ends.where("m = 0")
+        .selectExpr(*keys, "posexplode(array(lo - 0.1D, hi + 0.1D)) as (idx, t)")
+        .selectExpr(*keys, "cast(idx as bigint) as idx", "t")
     )
+    return listed.unionByName(edges), join_null_safe(
+        reach, ends.selectExpr(*keys, "m"), by
+    ).selectExpr(*keys, "x", "if(m = 0, 1L, reach) as reach")
 
 
 BLOCK = 256
@@ -373,13 +330,45 @@ def _sweep(own: pd.DataFrame, base: pd.DataFrame, first: int, last: int) -> tupl
     return best
 
 
+# Up to this many distinct (group, a, b) rows, each group is solved in one task.
+LOCAL_PAIRS = 200_000
+
+
+def _candidate_list(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    values, at = np.unique(x, return_inverse=True)
+    pos = np.bincount(at, weights=y)
+    neg = np.bincount(at, weights=n - y)
+    change = (pos[:-1] > 0) != (neg[1:] == 0)
+    found = np.concatenate(
+        [((values[:-1] + values[1:]) / 2)[change], values[(pos > 0) & (neg > 0)]]
+    )
+    return np.sort(found) if len(found) else np.array([values[0] - 0.1, values[-1] + 0.1])
+
+
+def _solve_group(pdf: pd.DataFrame) -> tuple[float, float, float]:
+    """The same search for one small group held in memory."""
+    a, b = pdf["a"].to_numpy(), pdf["b"].to_numpy()
+    pos, n = pdf["pos"].to_numpy(), pdf["n"].to_numpy()
+    ta, tb = _candidate_list(a, pos, n), _candidate_list(b, pos, n)
+    cells = pd.DataFrame(
+        {
+            "ia": np.searchsorted(ta, a, side="right"),
+            "ib": np.searchsorted(tb, b, side="left"),
+            "w": pdf["w"].to_numpy(),
+        }
+    )
+    cells = cells[(cells["ia"] > 0) & (cells["ib"] < len(tb))]
+    gain, i, j = _sweep(cells, cells.iloc[:0], 0, len(ta) - 1)
+    return float(ta[i]), float(tb[j]), float(pos.sum() + gain) / float(n.sum())
+
+
 def best_pair(
     df: DataFrame, a: str, b: str, y: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Pair of thresholds with the highest accuracy of ``a < ta or b > tb``.
 
-    Exact over the full product of candidates, first pair winning ties. Rows
-    shrink to counted index cells; blocks of candidates on the first axis run
+    Exact over the full product of candidates, first pair winning ties. Small
+    inputs are solved group by group. Beyond that, rows shrink to counted index cells; blocks of candidates on the first axis run
     in parallel, each fed the column sums of the blocks behind it. No pair of
     candidates is ever emitted as a row.
     """
@@ -397,6 +386,18 @@ def best_pair(
             F.count(F.lit(1)).alias("n"),
         )
     )
+    if pairs.count() <= LOCAL_PAIRS:
+        types = dict(pairs.dtypes)
+        schema = ", ".join([f"`{c}` {types[c]}" for c in keys] + ["ta double", "tb double", "acc double"])
+
+        def solve_small(pdf: pd.DataFrame) -> pd.DataFrame:
+            head = pdf.iloc[0]
+            return pd.DataFrame(
+                [[*(head[c] for c in keys), *_solve_group(pdf)]],
+                columns=[*keys, "ta", "tb", "acc"],
+            )
+
+        return pairs.groupBy(*keys).applyInPandas(solve_small, schema).select(*by, "ta", "tb", "acc")
     list_a, reach_a = _axis(pairs, "a", keys, upper=False)
     list_b, reach_b = _axis(pairs, "b", keys, upper=True)
     cells = join_null_safe(
