@@ -28,17 +28,13 @@ def ngram_counts(docs: DataFrame, n: int) -> DataFrame:
 
 def all_ngram_counts(docs: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Counts for several n in one pass over the corpus."""
-    every = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    grams(F.col("tokens"), n),
-                    lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram")),
-                )
-                for n in sizes
-            ]
+
+    def sized(n: int) -> Column:
+        return F.transform(
+            grams(F.col("tokens"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
         )
-    )
+
+    every = F.flatten(F.array(*[sized(n) for n in sizes]))
     return docs.select(F.inline(every)).groupBy("n", "gram").agg(
         F.count(F.lit(1)).alias("n_seen")
     )

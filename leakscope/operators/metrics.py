@@ -56,6 +56,10 @@ def mcnemar(counts: DataFrame) -> DataFrame:
     )
 
 
+# Draws made by one row of the work list, so that no array grows with n.
+DRAW_CHUNK = 10_000
+
+
 def bootstrap_ci(
     counts: DataFrame, draws: int = 1000, seed: int = 42, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -65,13 +69,26 @@ def bootstrap_ci(
     of the ``right`` rows matters, so rows are numbered with those first and
     never joined back. Work is draws x n, spread over tasks by draw number.
     """
-    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rounds = counts.select(
         *by, "n", "right", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b")
-    ).repartition(tasks, *by, "b")
-    hits = rounds.withColumn("j", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).where(
-        F.expr(
-            f"conv(substr(md5(concat_ws('|', '{seed}', b, j)), 1, 12), 16, 10) % n < right"
+    )
+    hits = (
+        rounds.withColumn(
+            "chunk", F.expr(f"explode(sequence(0L, (n - 1) div {DRAW_CHUNK}L))")
+        )
+        .repartition(*by, "b", "chunk")
+        .withColumn(
+            "j",
+            F.expr(
+                f"explode(sequence(chunk * {DRAW_CHUNK}L + 1L, "
+                f"least((chunk + 1L) * {DRAW_CHUNK}L, n)))"
+            ),
+        )
+        .where(
+            F.expr(
+                f"cast(conv(substr(md5(concat_ws('|', '{seed}', b, j)), 1, 12), 16, 10) as bigint) "
+                "% n < right"
+            )
         )
     )
     per_draw = hits.groupBy(*by, "b", "n").agg(F.count(F.lit(1)).alias("hit"))

@@ -1,0 +1,32 @@
+"""Every query over the driver tables, next to the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from leakscope.plans import (  # noqa: F401
+        answer_queries,
+        corpus_queries,
+        detector_queries,
+        threshold_queries,
+    )
