@@ -209,14 +209,40 @@ def fit_linear(curve: Column) -> Column:
 RATE_LOW, RATE_HIGH, RATE_STEPS, RATE_ROUNDS = 1e-5, 10.0, 60, 5
 
 
-def _fit_at(rate: str) -> str:
-    """SQL: sums that give, for one rate, the best scale and its squared error."""
-    g = f"(-(1 - exp(-({rate}) * x)))"
-    return (
+def _search_sql() -> str:
+    """SQL: the rate search over ``curve`` as one fold over the rounds.
+
+    The state travels as a lambda variable, so no round is evaluated twice.
+    """
+    ratio = RATE_HIGH / RATE_LOW
+    widths, width = [], ratio ** (1 / RATE_STEPS)
+    for _ in range(RATE_ROUNDS):
+        widths.append(f"{width!r}D")
+        width = width**0.15
+    wide = (
+        f"transform(sequence(0, {RATE_STEPS}), "
+        f"i -> {RATE_LOW!r}D * pow({ratio!r}D, i / {float(RATE_STEPS)!r}D))"
+    )
+    narrow = (
+        "transform(sequence(-10, 10), "
+        f"i -> s.b * pow(element_at(array({', '.join(widths)}), r), i / 10D))"
+    )
+    g = "(-(1 - exp(-b * acc.x)))"
+    sums = (
         "aggregate(curve, named_struct('x', 0D, 'gy', 0D, 'gg', 0D), "
-        f"(acc, y) -> named_struct('x', acc.x + 1, "
-        f"'gy', acc.gy + {g.replace('* x', '* acc.x')} * y, "
-        f"'gg', acc.gg + {g.replace('* x', '* acc.x')} * {g.replace('* x', '* acc.x')}))"
+        f"(acc, y) -> named_struct('x', acc.x + 1, 'gy', acc.gy + {g} * y, 'gg', acc.gg + {g} * {g}))"
+    )
+    # gy^2 / gg is the part of the squared error the scale removes: larger is better.
+    scored = (
+        f"transform(transform(if(r = 0, {wide}, {narrow}), b -> named_struct('b', b, 'f', {sums})), "
+        "t -> named_struct('loss', -coalesce(try_divide(t.f.gy * t.f.gy, t.f.gg), 0D), 'b', t.b, "
+        "'a', try_divide(t.f.gy, t.f.gg), 'first', if(r = 0, t.b, s.first)))"
+    )
+    start = (
+        "named_struct('loss', 0D, 'b', 0D, 'a', cast(null as double), 'first', 0D)"
+    )
+    return (
+        f"aggregate(sequence(0, {RATE_ROUNDS}), {start}, (s, r) -> array_min({scored}))"
     )
 
 
@@ -227,44 +253,14 @@ def fit_exponential(df: DataFrame) -> DataFrame:
     of it is row-local. Null when the curve has fewer than two points, is flat,
     or the best rate lies on the edge of the search range.
     """
-    ratio = RATE_HIGH / RATE_LOW
-    first = (
-        f"transform(sequence(0, {RATE_STEPS}), "
-        f"i -> {RATE_LOW!r}D * pow({ratio!r}D, i / {float(RATE_STEPS)!r}D))"
+    inside = (
+        f"size(curve) >= 2 and _best.a is not null and _best.loss < 0 "
+        f"and _best.first > {RATE_LOW!r}D * 1.000001D and _best.first < {RATE_HIGH!r}D * 0.999999D"
     )
-    work = df.withColumn("_grid", F.expr(first))
-    width = ratio ** (1 / RATE_STEPS)
-    for step in range(RATE_ROUNDS + 1):
-        # gy^2 / gg is the part of the squared error the scale removes: larger is better.
-        work = work.withColumn(
-            "_tried",
-            F.expr(f"transform(_grid, b -> named_struct('b', b, 'f', {_fit_at('b')}))"),
-        ).withColumn(
-            "_best",
-            F.expr(
-                "array_min(transform(_tried, t -> named_struct("
-                "'loss', -coalesce(try_divide(t.f.gy * t.f.gy, t.f.gg), 0D), "
-                "'b', t.b, 'a', try_divide(t.f.gy, t.f.gg))))"
-            ),
-        )
-        if step == 0:
-            work = work.withColumn(
-                "_edge",
-                F.expr("_best.b = _grid[0] or _best.b = element_at(_grid, -1)"),
-            )
-        if step < RATE_ROUNDS:
-            work = work.withColumn(
-                "_grid",
-                F.expr(
-                    f"transform(sequence(-10, 10), i -> _best.b * pow({width!r}D, i / 10D))"
-                ),
-            )
-            width = width ** 0.15
-    ok = F.expr("size(curve) >= 2 and not _edge and _best.a is not null and _best.loss < 0")
-    return work.select(
-        *df.columns,
-        F.when(ok, F.col("_best.a")).alias("A_value"),
-        F.when(ok, F.col("_best.b")).alias("B_value"),
+    return df.withColumn("_best", F.expr(_search_sql())).selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        f"if({inside}, _best.a, null) as A_value",
+        f"if({inside}, _best.b, null) as B_value",
     )
 
 

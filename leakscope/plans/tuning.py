@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leakscope.operators import metrics, thresholds
 from leakscope.operators.ordering import join_null_safe
 from leakscope.operators.thresholds import GLOBAL_FOLD
+from leakscope.session import settle
 
 
 def _summary(cv: DataFrame, by: Sequence[str], pair: bool) -> DataFrame:
@@ -78,6 +79,7 @@ def tune(
     ``features`` is long: one row per item and grid value. Folds depend on the
     item alone, so every grid value sees the same folds.
     """
+    features = settle(features)
     items = features.select(*folds_by, "ID", label).distinct()
     folds = thresholds.stratified_folds(items, k, seed, label, folds_by)
     keyed = join_null_safe(features.drop("fold"), folds.drop(label), [*folds_by, "ID"])
@@ -95,6 +97,7 @@ def tune_pair(
     label: str = "LABEL_BINARY",
 ) -> DataFrame:
     """The same for two features under ``a < ta or b > tb``."""
+    features = settle(features)
     items = features.select("ID", label).distinct()
     folds = thresholds.stratified_folds(items, k, seed, label)
     keyed = features.drop("fold").join(folds.drop(label), "ID")
