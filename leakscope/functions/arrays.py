@@ -52,6 +52,12 @@ def grams(tokens: Column, n: int) -> Column:
     """All n-token windows, joined by one blank."""
     if n == 1:
         return tokens
+    if n <= 3:
+        # Neighbours by position are cheaper than a slice per window.
+        return F.transform(
+            F.slice(tokens, F.lit(n), F.size(tokens)),
+            lambda w, i: F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(n - 1)], w),
+        )
     last = F.size(tokens) - F.lit(n - 1)
     starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(
         F.array().cast("array<int>")

@@ -273,7 +273,7 @@ SELECT b.conv_id, b.turn, levenshtein(a.t, b.t)::INTEGER AS distance FROM m a JO
 )
 def char_edit_distance(spark: SparkSession, sf: str) -> DataFrame:
     """Every turn against the turn before it, whole texts with symbols masked."""
-    turns = T.table(spark, sf, "conversations").select(
+    turns = T.spread(T.table(spark, sf, "conversations"), "conv_id").select(
         "conv_id", "turn", F.regexp_replace("text", "[^A-Za-z0-9]", "*").alias("t")
     )
     w = Window.partitionBy("conv_id").orderBy("turn")

@@ -255,7 +255,7 @@ cut AS (SELECT doc_id, lang, tokens, CASE WHEN list_position(tokens, w) > 0 THEN
 
 def _truncated(spark: SparkSession, sf: str) -> DataFrame:
     end = F.lit(_end_word(spark, sf))
-    docs = T.table(spark, sf, "documents").select(
+    docs = T.spread(T.table(spark, sf, "documents"), "doc_id").select(
         "doc_id", "lang", A.words(F.col("text")).alias("tokens")
     )
     return docs.withColumn("kept", A.truncate_ids(F.col("tokens"), end))

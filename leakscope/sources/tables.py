@@ -12,11 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Fill all cores when a small input arrives in fewer splits than there are cores.
+
+    Large inputs have more splits than cores and are left alone, so no text is
+    shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as word arrays."""
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", words(F.col("text")).alias("tokens")
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(docs, "doc_id").select("doc_id", words(F.col("text")).alias("tokens"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +46,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with surface features: the larger threshold fixture."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").join(
+        table(spark, sf_dir, "labels"), "doc_id"
+    )
     return docs.select(
         F.col("doc_id").cast("string").alias("ID"),
         F.col("lang").alias("CATEGORY"),
