@@ -160,9 +160,9 @@ def max_length(greedy: Column, samples: Column) -> Column:
 
 
 def _one_char(position: Column) -> Column:
-    """A distinct code point per position; the surrogate block is left out."""
+    """A distinct code point per position, leaving out surrogates and the byte order mark."""
     point = position.cast("int") + 255
-    point = F.when(point >= 0xD800, point + 0x800).otherwise(point)
+    point = F.when(point >= 0xD800, point + 0x2700).otherwise(point)
     return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
 
 
