@@ -52,7 +52,7 @@ def _numbers(value: Column) -> Column:
     """A variant list of numbers or of pairs as one flat array."""
     flat = F.try_variant_get(value, "$", "array<double>")
     pairs = F.flatten(F.try_variant_get(value, "$", "array<array<double>>"))
-    return F.coalesce(flat, pairs)
+    return F.when(F.forall(flat, lambda x: x.isNotNull()), flat).otherwise(pairs)
 
 
 def flatten_train_logs(

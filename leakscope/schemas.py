@@ -44,7 +44,10 @@ ANSWER = (
 
 ANSWER_FILE = (
     "metadata struct<experiment_id: string, timestamp: string, description: string, "
-    f"additional_info: map<string,string>>, data array<struct<{ANSWER.replace(' string', ': string').replace('attributes struct', 'attributes: struct')}>>"
+    "additional_info: map<string,string>>, "
+    "data array<struct<ID: string, PROBLEM: string, CATEGORY: string, LABEL: string, "
+    "PROMPT: string, SOLUTION_KEY: string, SOLUTION_TEXT: string, LLM_RESPONSE: string, "
+    "attributes: struct<start_time: string, end_time: string>>>"
 )
 
 CORRECTNESS = (
