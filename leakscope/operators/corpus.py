@@ -26,16 +26,19 @@ def ngram_counts(docs: DataFrame, n: int) -> DataFrame:
     )
 
 
-def all_ngram_counts(docs: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Counts for several n in one pass over the corpus."""
+def _sized_grams(docs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """Occurrences of several n in one pass over the corpus."""
 
     def sized(n: int) -> Column:
         return F.transform(
             grams(F.col("tokens"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
         )
 
-    every = F.flatten(F.array(*[sized(n) for n in sizes]))
-    return docs.select(F.inline(every)).groupBy("n", "gram").agg(
+    return docs.select(F.inline(F.flatten(F.array(*[sized(n) for n in sizes]))))
+
+
+def all_ngram_counts(docs: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    return _sized_grams(docs, sizes).groupBy("n", "gram").agg(
         F.count(F.lit(1)).alias("n_seen")
     )
 
@@ -71,15 +74,31 @@ def overlap_label(items: DataFrame, docs: DataFrame, n: int = 8) -> DataFrame:
     )
 
 
-def score_counts(items: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Word counts, counts of the items' word pairs, and corpus totals."""
-    unigrams = settle(ngram_counts(docs, 1))
-    totals = unigrams.agg(
-        F.sum("n_seen").alias("n_tokens"), F.count(F.lit(1)).alias("n_types")
-    )
+def score_counts(items: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts of all words and of the items' word pairs, from one corpus pass."""
     pairs = items.select(F.explode(grams(F.col("tokens"), 2)).alias("gram")).distinct()
-    seen = docs.select(F.explode(grams(F.col("tokens"), 2)).alias("gram"))
-    return unigrams, _wanted(seen, pairs, "gram"), totals
+    if fits_broadcast(pairs):
+        # A word never holds a blank, a pair always does: plain strings tell them apart.
+        wanted = F.broadcast(pairs.withColumn("_wanted", F.lit(True)))
+        both = F.concat(F.col("tokens"), grams(F.col("tokens"), 2))
+        counts = (
+            docs.select(F.explode(both).alias("gram"))
+            .join(wanted, "gram", "left")
+            .where("_wanted or instr(gram, ' ') = 0")
+            .groupBy("gram")
+            .agg(F.count(F.lit(1)).alias("n_seen"))
+            .withColumn("n", F.expr("if(instr(gram, ' ') = 0, 1, 2)"))
+        )
+    else:
+        every = all_ngram_counts(docs, (1, 2))
+        counts = every.where("n = 1").unionByName(
+            every.where("n = 2").join(pairs, "gram", "left_semi").select(*every.columns)
+        )
+    counts = settle(counts)
+    return (
+        counts.where("n = 1").select("gram", "n_seen"),
+        counts.where("n = 2").select("gram", "n_seen"),
+    )
 
 
 def token_scores(items: DataFrame, docs: DataFrame, mu: float = MU) -> DataFrame:
@@ -88,8 +107,8 @@ def token_scores(items: DataFrame, docs: DataFrame, mu: float = MU) -> DataFrame
     P(w|h) = (c(h,w) + mu p1(w)) / (c(h) + mu), p1(w) = (c(w) + 1) / (N + V).
     The first token has no history and no score; pos counts from 0.
     """
-    unigrams, pairs, totals = score_counts(items, docs)
-    n_tokens, n_types = totals.first()
+    unigrams, pairs = score_counts(items, docs)
+    n_tokens, n_types = unigrams.agg(F.sum("n_seen"), F.count(F.lit(1))).first()
     spread = items.select("ID", "tokens", F.posexplode(F.slice("tokens", 2, 2**31 - 1)).alias("pos", "token")).selectExpr(
         "ID", "pos", "tokens[pos] as prev", "token", "concat_ws(' ', tokens[pos], token) as gram"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,33 +69,28 @@ def bootstrap_ci(
     of the ``right`` rows matters, so rows are numbered with those first and
     never joined back. Work is draws x n, spread over tasks by draw number.
     """
-    rounds = counts.select(
+    context = counts.sparkSession.sparkContext
+    tasks = max(
+        context.defaultParallelism,
+        int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+    )
+    work = counts.select(
         *by, "n", "right", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b")
+    ).withColumn("chunk", F.expr(f"explode(sequence(0L, (n - 1) div {DRAW_CHUNK}L))"))
+    # A fixed task number: the rows are few and tiny, but each stands for many draws.
+    drawn = work.repartition(tasks, *by, "b", "chunk").withColumn(
+        "j",
+        F.expr(
+            f"explode(sequence(chunk * {DRAW_CHUNK}L + 1L, "
+            f"least((chunk + 1L) * {DRAW_CHUNK}L, n)))"
+        ),
     )
-    hits = (
-        rounds.withColumn(
-            "chunk", F.expr(f"explode(sequence(0L, (n - 1) div {DRAW_CHUNK}L))")
-        )
-        .repartition(*by, "b", "chunk")
-        .withColumn(
-            "j",
-            F.expr(
-                f"explode(sequence(chunk * {DRAW_CHUNK}L + 1L, "
-                f"least((chunk + 1L) * {DRAW_CHUNK}L, n)))"
-            ),
-        )
-        .where(
-            F.expr(
-                f"cast(conv(substr(md5(concat_ws('|', '{seed}', b, j)), 1, 12), 16, 10) as bigint) "
-                "% n < right"
-            )
-        )
+    landed = (
+        f"cast(conv(substr(md5(concat_ws('|', '{seed}', b, j)), 1, 12), 16, 10) as bigint) "
+        "% n < right"
     )
-    per_draw = hits.groupBy(*by, "b", "n").agg(F.count(F.lit(1)).alias("hit"))
-    # Draws without a single hit vanish above and count as accuracy 0.
-    every = rounds.select(*by, "b", "n")
-    joined = join_null_safe(every, per_draw.drop("n"), [*by, "b"], "left").withColumn(
-        "acc", F.coalesce("hit", F.lit(0)) / F.col("n").cast("double")
+    joined = drawn.groupBy(*by, "b", "n").agg(F.expr(f"count_if({landed}) as hit")).withColumn(
+        "acc", F.col("hit") / F.col("n").cast("double")
     )
     return joined.groupBy(*by).agg(
         F.expr("percentile(acc, 0.025)").alias("acc_lower"),
