@@ -30,7 +30,7 @@ def cell(v):
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, (int, float)):
-        return f"{float(v):.9g}"
+        return f"{float(v) + 0.0:.9g}"  # adding zero makes -0 print as 0
     return str(v)
 
 
