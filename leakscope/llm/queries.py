@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leakscope.llm.exact_dedup import exact_dedup
+from leakscope.llm.near_dedup import near_dedup
 from leakscope.llm.quality_rules import quality_rules
 from leakscope.llm.registry import ORACLES, QUERIES, documents, query
 from leakscope.llm.sharding import shard_documents
@@ -45,3 +46,8 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
+
+
+@query("op2_near_dedup")
+def _(spark, sf_dir):
+    return near_dedup(documents(spark, sf_dir), percent=85)
