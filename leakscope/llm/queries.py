@@ -9,6 +9,7 @@ from leakscope.llm.near_dedup import near_dedup
 from leakscope.llm.quality_rules import quality_rules
 from leakscope.llm.registry import ORACLES, QUERIES, documents, query
 from leakscope.llm.sharding import shard_documents
+from leakscope.llm.substring_dedup import substring_dedup
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -51,3 +52,8 @@ def _(spark, sf_dir):
 @query("op2_near_dedup")
 def _(spark, sf_dir):
     return near_dedup(documents(spark, sf_dir), percent=85)
+
+
+@query("op9_substring_dedup")
+def _(spark, sf_dir):
+    return substring_dedup(documents(spark, sf_dir))
