@@ -147,12 +147,15 @@ def exact_dedup(
     winners = entries.groupBy("key", "text_sha256").agg(
         F.max(best).alias("w"), F.count(F.lit(1)).alias("group_size")
     )
-    result = chains.join(winners, ["key", "text_sha256"]).select(
-        "key",
-        "text_sha256",
-        F.col("w.doc_id").alias("keep_id"),
-        F.col("w.row").alias("keep_row"),
-        "group_size",
+    result = shelf.put(
+        chains.join(winners, ["key", "text_sha256"]).select(
+            "key",
+            "text_sha256",
+            F.col("w.doc_id").alias("keep_id"),
+            F.col("w.row").alias("keep_row"),
+            "group_size",
+        ),
+        "result",  # a table, so that the join below can split a hot text's entries
     )
     lone = F.col("group_size").isNull()
     return entries.join(result, ["key", "text_sha256"], "left").select(
