@@ -6,14 +6,30 @@ from pyspark.sql import functions as F
 
 from leakscope.llm.exact_dedup import exact_dedup
 from leakscope.llm.near_dedup import near_dedup
+from leakscope.llm.quality_cnn import quality_network, score_quality
 from leakscope.llm.quality_rules import quality_rules
 from leakscope.llm.registry import ORACLES, QUERIES, documents, query
 from leakscope.llm.sharding import shard_documents
 from leakscope.llm.substring_dedup import substring_dedup
+from leakscope.llm.toxicity import score_toxicity, toxicity_model
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def held_out(folds: int, fold: int):
+    """Rows whose labels are not learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold
+
+
+def scored(df, is_out):
+    return df.select(
+        "doc_id",
+        is_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query("op1_ring_shards")
 def _(spark, sf_dir):
     rows = shard_documents(documents(spark, sf_dir), shards=8)
@@ -57,3 +73,17 @@ def _(spark, sf_dir):
 @query("op9_substring_dedup")
 def _(spark, sf_dir):
     return substring_dedup(documents(spark, sf_dir))
+
+
+@query("op3_quality_cnn")
+def _(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    net = quality_network(docs, labels.where(~held_out(3, 1)))
+    return scored(score_quality(docs, net), held_out(3, 1))
+
+
+@query("op10_toxicity")
+def _(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity_model(docs, labels.where(~held_out(5, 0)))
+    return scored(score_toxicity(docs, model), held_out(5, 0))
