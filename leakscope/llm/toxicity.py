@@ -1,7 +1,7 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
-Features are hashed words and word pairs (letters only, lower case) that a whole text
-has.  In the labelled sample, every sentence that names a group is repeated with the
+Features are hashed words, word beginnings and word pairs (letters only, lower case) that
+a whole text has.  In the labelled sample, every sentence that names a group is repeated with the
 term swapped for another; besides the log-loss, the fit penalises the squared change of
 the score under these swaps, so that naming a group does not by itself raise a score.
 
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from leakscope.llm import words as W
 
-BITS = 18
+BITS = 20
+STEMS = (4, 6, 7)  # bytes of a word's beginning
 SAMPLE_DOCS = 20_000
 SELECTED = 2048
 LEAST_DOCS = 8
@@ -50,9 +51,23 @@ def _runs(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
+def _word_features(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start, and a row of hashes for each: the word and its beginnings."""
+    starts, ends = _runs(buf)
+    kinds = [W.hashes(buf, starts, ends)]
+    for n in STEMS:
+        long = np.flatnonzero(ends - starts > n)
+        stem = kinds[0].copy()  # of a shorter word: the word itself
+        stem[long] = W.mix(W.hashes(buf, starts[long], starts[long] + n), n)
+        kinds.append(stem)
+    return starts, np.stack(kinds, axis=1)
+
+
 def _doc_features(words: np.ndarray) -> np.ndarray:
-    pairs = W.mix(words[:-1] * np.uint64(3) + words[1:], 0x9A1)
-    return np.unique(np.concatenate([words, pairs]) >> np.uint64(64 - BITS)).astype(np.int32)
+    whole = words[:, 0]
+    pairs = W.mix(whole[:-1] * np.uint64(3) + whole[1:], 0x9A1)
+    every = np.concatenate([words.ravel(), pairs])
+    return np.unique((every >> np.uint64(64 - BITS)).astype(np.int32))
 
 
 def features(text: bytes) -> np.ndarray:
@@ -60,7 +75,7 @@ def features(text: bytes) -> np.ndarray:
     words = []
     for part in W.slices(W.lower(text)):
         buf = np.frombuffer(part, np.uint8)
-        words.append(W.hashes(buf, *_runs(buf)))
+        words.append(_word_features(buf)[1])
     return _doc_features(np.concatenate(words))
 
 
@@ -68,8 +83,7 @@ def many_features(texts: list[bytes]) -> list[np.ndarray]:
     if len(texts) == 1:
         return [features(texts[0])]
     buf = np.frombuffer(W.lower(b"\n".join(texts) + b"\n"), np.uint8)
-    starts, ends = _runs(buf)
-    words = W.hashes(buf, starts, ends)
+    starts, words = _word_features(buf)
     at = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
     return [_doc_features(words[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
