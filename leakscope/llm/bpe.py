@@ -12,16 +12,29 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
 # Distinct pieces that one Python worker remembers before it starts anew.
 CACHE_PIECES = 400_000
+# Longer texts are encoded part by part; so are groups of texts.
+LONG_TEXT = 1 << 20
 
 _CUT = re.compile(r"(?= \S)")
 _ODD_SPACE = re.compile(r" (?:\s|$)")
 
 
+def parts(text: str, size: int = LONG_TEXT) -> Iterator[str]:
+    """Cut a long text before spaces that are followed by a visible character."""
+    at = 0
+    while at < len(text):
+        cut = _CUT.search(text, at + size // 2)
+        stop = cut.start() if cut else len(text)
+        yield text[at:stop]
+        at = stop
+
+
 class Encoder:
     """Token ids of texts, with a bounded memory of pieces already encoded."""
 
@@ -75,6 +88,9 @@ class Encoder:
                 got = self.library.encode(text, add_special_tokens=False)
                 whole[k] = np.asarray(got.ids, np.uint32)
                 continue
+            if len(text) > LONG_TEXT:
+                whole[k] = np.concatenate([self.encode([p])[0] for p in parts(text)])
+                continue
             if _ODD_SPACE.search(text):
                 own = [x for x in _CUT.split(text) if x]
             else:
@@ -99,3 +115,18 @@ class Encoder:
         stops = np.concatenate([[0], np.cumsum(sizes)])
         flat = np.arange(stops[-1]) + np.repeat(self.ends[at] - stops[:-1], sizes)
         return self.pool[flat], stops[np.concatenate([[0], np.cumsum(counts)])]
+
+
+def encoded(encoder: Encoder, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    """(position, ids) of every text, encoding groups of bounded size."""
+    first = 0
+    while first < len(texts):
+        last, size = first + 1, len(texts[first] or "")
+        while last < len(texts) and (size := size + len(texts[last] or "")) <= LONG_TEXT:
+            last += 1
+        ids, counts = encoder.encode(texts[first:last])
+        at = 0
+        for k, n in enumerate(counts):
+            yield first + k, ids[at : at + n]
+            at += n
+        first = last

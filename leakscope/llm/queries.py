@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from leakscope.llm.exact_dedup import exact_dedup
 from leakscope.llm.near_dedup import near_dedup
+from leakscope.llm.packing import pack_documents
 from leakscope.llm.quality_cnn import quality_network, score_quality
 from leakscope.llm.quality_rules import quality_rules
 from leakscope.llm.registry import ORACLES, QUERIES, documents, query
 from leakscope.llm.sharding import shard_documents
 from leakscope.llm.substring_dedup import substring_dedup
+from leakscope.llm.token_files import token_files
 from leakscope.llm.toxicity import score_toxicity, toxicity_model
 
 __all__ = ["ORACLES", "QUERIES"]
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def held_out(folds: int, fold: int):
     """Rows whose labels are not learned from."""
@@ -87,3 +92,13 @@ def _(spark, sf_dir):
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity_model(docs, labels.where(~held_out(5, 0)))
     return scored(score_toxicity(docs, model), held_out(5, 0))
+
+
+@query("op6_token_files")
+def _(spark, sf_dir):
+    return token_files(documents(spark, sf_dir), TOKENIZER, end_id=2)
+
+
+@query("op8_packing")
+def _(spark, sf_dir):
+    return pack_documents(documents(spark, sf_dir), TOKENIZER, end_id=1, length=2048)
