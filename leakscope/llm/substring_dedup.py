@@ -223,9 +223,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False)
         .select("seq", F.explode(F.arrays_zip("anchors", "places")).alias("x"))
         .select(F.col("x.anchors").alias("anchor"), "seq", F.col("x.places").alias("place"))
     )
-    repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = shelf.put(  # a table, so that the join below can split a hot anchor
+        anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"),
+        "repeated",
+    )
     places = shelf.put(
-        anchors.join(repeated.select("anchor"), "anchor")
+        anchors.join(repeated, "anchor")
         .groupBy("seq")
         .agg(F.collect_list("place").alias("places")),  # of one document
         "places",
