@@ -27,6 +27,8 @@ from leakscope.llm.shelf import Shelf
 
 STEP = 8
 CELLS = 4096
+ROUNDS = 1000
+GAP = 5e-4  # of the number of sequences, above the optimum of the linear program
 
 
 def price(duals: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -52,31 +54,55 @@ def price(duals: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.nd
     return float(best[room]), pattern
 
 
+def first_basis(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest-first patterns, each used until one of its sizes is used up.
+
+    A pattern holds no size that ran out before, so the patterns are independent.
+    """
+    left, basis, counts = demand.astype(float), [], []
+    open_sizes = np.ones(len(sizes), bool)
+    for _ in sizes:
+        free, pattern = room, np.zeros(len(sizes))
+        for k in np.flatnonzero(open_sizes)[::-1]:
+            pattern[k] = free // sizes[k]
+            free -= int(pattern[k]) * sizes[k]
+        ratio = np.where(pattern > 0, left / np.maximum(pattern, 1), np.inf)
+        k = int(ratio.argmin())
+        basis.append(pattern)
+        counts.append(max(ratio[k], 0.0))
+        left -= counts[-1] * pattern
+        open_sizes[k] = False
+    return np.array(basis).T, np.array(counts)
+
+
 def column_generation(
-    sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 5000
+    sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, rounds: int = ROUNDS
 ) -> tuple[list[np.ndarray], np.ndarray]:
-    """Patterns and their (fractional) counts of an optimal basis.
+    """Patterns and their (fractional) counts of a nearly optimal basis; ``sizes`` ascend.
 
-    ``sizes`` ascend.  Stops at the optimum, or after ``rounds`` columns with the
-    best cover found so far.
+    When the best column is worth v, the optimum is at least the cover found over v, so
+    the search ends at v <= 1 + gap, or after ``rounds`` columns with the cover it has.
     """
     n = len(sizes)
-    basis = np.diag(room // sizes).astype(float)
-    counts = demand / np.diag(basis)
-    for _ in range(rounds):
-        duals = np.linalg.solve(basis.T, np.ones(n))
-        value, pattern = price(duals, sizes, room)
-        if value <= 1 + 1e-7:
-            break
-        move = np.linalg.solve(basis, pattern.astype(float))
+    basis, counts = first_basis(sizes, demand, room)
+    inverse = np.linalg.inv(basis)
+    for step in range(1, rounds + 1):
+        value, pattern = price(np.ones(n) @ inverse, sizes, room)
+        move = inverse @ pattern
         up = move > 1e-9
-        if not up.any():
+        if value <= 1 + gap or not up.any():
             break
         ratio = np.where(up, counts / np.where(up, move, 1), np.inf)
         out = int(ratio.argmin())
         counts = np.maximum(counts - ratio[out] * move, 0)
         counts[out] = ratio[out]
         basis[:, out] = pattern
+        if step % 50:
+            row = inverse[out] / move[out]
+            inverse -= np.outer(move, row)
+            inverse[out] = row
+        else:
+            inverse = np.linalg.inv(basis)
     return [basis[:, k].astype(np.int64) for k in range(n)], counts
 
 
