@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leakscope.llm.exact_dedup import exact_dedup
 from leakscope.llm.near_dedup import near_dedup
 from leakscope.llm.packing import pack_documents
+from leakscope.llm.pieces import check_pieces, encode_pieces
 from leakscope.llm.quality_cnn import quality_network, score_quality
 from leakscope.llm.quality_rules import quality_rules
 from leakscope.llm.registry import ORACLES, QUERIES, documents, query
@@ -19,6 +20,7 @@ from leakscope.llm.toxicity import score_toxicity, toxicity_model
 __all__ = ["ORACLES", "QUERIES"]
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def held_out(folds: int, fold: int):
@@ -102,3 +104,8 @@ def _(spark, sf_dir):
 @query("op8_packing")
 def _(spark, sf_dir):
     return pack_documents(documents(spark, sf_dir), TOKENIZER, end_id=1, length=2048)
+
+
+@query("op4_piece_scan")
+def _(spark, sf_dir):
+    return check_pieces(encode_pieces(documents(spark, sf_dir), PIECES), PIECES)
