@@ -12,13 +12,14 @@
    their full sets.
 4. Links are joined into components.  A bucket whose members all lie in one component
    is settled.  In the others, members of different components are compared with each
-   other as well, in blocks of bounded size, again by posterior first and on full
-   sets after; the components are then joined once more.
+   other as well, in the first bucket that they share: pairs of blocks of bounded size
+   go to tasks with their sets, and a task compares by posterior, then on full sets, and
+   returns only links that join two components.  The components are then joined once more.
 
 No pair of a shared bucket is left out unless both lie in one component already.
 A pair is missed only if no band agrees (below 1e-6 at the threshold) or by MISS.
-Pairs that survive the posterior between different components are written out; a
-large family whose members are all just below the threshold makes many of them.
+A large family whose members are all just below the threshold costs comparisons in
+proportion to its square, spread over tasks, but no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ BANDS, ROWS = 20, 4
 CHECKS, BATCH = 64, 16
 MISS = 1e-6
 BLOCK = 128
+BLOCK_SHINGLES = 1 << 19
 BROADCAST_ROWS = 1_000_000
 _GROUP = 1 << 16
 
@@ -172,28 +174,53 @@ def _prune(threshold: float):
     return run
 
 
-def _compare_blocks(threshold: float):
-    """Rows (i, j, members): pairs of different components that survive the posterior."""
+def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of a sorted set with each of some others."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    heads = np.concatenate([[0], np.cumsum([len(o) for o in others])[:-1]])
+    return np.add.reduceat((one[at] == flat).astype(np.int64), heads)
 
-    def pairs(i: int, j: int, members: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        node = np.array([m["node"] for m in members])
-        comp = np.array([m["comp"] for m in members])
-        block = np.array([m["block"] for m in members])
-        sig = np.frombuffer(b"".join(m["checks"] for m in members), np.uint32).reshape(-1, CHECKS)
-        rest = np.flatnonzero(block == j)
-        for k in np.flatnonzero(block == i):
-            other = rest[comp[rest] != comp[k]]
-            if i == j:
-                other = other[other > k]
-            got = other[possible(np.broadcast_to(sig[k], (len(other), CHECKS)), sig[other], threshold)]
-            yield np.minimum(node[k], node[got]), np.maximum(node[k], node[got])
 
+def block_links(key: int, i: int, j: int, members: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links that join different components, between two blocks of one bucket.
+
+    ``members`` have node, comp, block, bands, checks and shingles.
+    """
+    node = [m["node"] for m in members]
+    comp = np.array([m["comp"] for m in members])
+    block = np.array([m["block"] for m in members])
+    bands = np.array([m["bands"] for m in members])
+    sig = np.frombuffer(b"".join(m["checks"] for m in members), np.uint32).reshape(-1, CHECKS)
+    sets = [np.asarray(m["shingles"], np.int64) for m in members]
+    rest, links = np.flatnonzero(block == j), []
+    for k in np.flatnonzero(block == i):
+        other = rest[comp[rest] != comp[k]]
+        if i == j:
+            other = other[other > k]
+        same = bands[other] == bands[k]
+        other = other[bands[k][same.argmax(axis=1)] == key]  # the first band they share
+        left = np.broadcast_to(sig[k], (len(other), CHECKS))
+        other = other[possible(left, sig[other], percent / 100)]
+        if not len(other):
+            continue
+        common = _common(sets[k], [sets[o] for o in other])
+        union = np.array([len(sets[o]) for o in other]) + len(sets[k]) - common
+        for o in other[100 * common >= percent * union]:
+            if comp[o] != comp[k]:
+                links.append((min(node[k], node[o]), max(node[k], node[o])))
+                comp[comp == comp[o]] = comp[k]
+    return links
+
+
+def _compare_blocks(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = list(pairs(i, j, members))
-                if found:
-                    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                links = block_links(row["key"], row["i"], row["j"], row["members"], percent)
+                if links:
+                    a, b = zip(*links, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
@@ -242,22 +269,24 @@ class _Run:
         )
         return shared, self.shelf.put(hubs, "hubs")
 
-    def exact(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs (a, b) whose full sets reach the threshold."""
+    def sets(self, nodes: DataFrame, name: str) -> DataFrame:
+        """(node, shingles) of some classes, from their texts."""
         needed = self.shelf.put(
-            pairs.select(F.explode(F.array("a", "b")).alias("node"))
-            .distinct()
-            .join(self.reps.select("node", "source_key", "set_a", "set_b"), "node"),
+            nodes.distinct().join(self.reps.select("node", "source_key", "set_a", "set_b"), "node"),
             f"{name}-needed",
         )
         texts = self.docs.join(self._near(needed.select("source_key").distinct()), "source_key", "left_semi")
         sets = texts.select("source_key", "text").mapInArrow(
             _write_sets, "set_a long, set_b long, shingles array<long>"
         )
-        sets = self.shelf.put(
+        return self.shelf.put(
             needed.join(sets, ["set_a", "set_b"]).select("node", "shingles").dropDuplicates(["node"]),
             f"{name}-sets",
         )
+
+    def exact(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs (a, b) whose full sets reach the threshold."""
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), name)
         common = F.size(F.array_intersect("x", "y")).cast("long")
         union = F.size("x").cast("long") + F.size("y").cast("long") - common
         return self.shelf.put(
@@ -294,37 +323,42 @@ class _Run:
             .select("key", "node", F.coalesce("comp", "node").alias("comp"))
         )
         rest = self.shelf.put(rest, "rest")
+        weights = self.reps.select("node", "n_shingles")
         open_keys = (
-            rest.groupBy("key")
+            rest.join(weights, "node")
+            .groupBy("key")
             .agg(
                 F.min("comp").alias("lo"),
                 F.max("comp").alias("hi"),
-                F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
+                F.ceil(
+                    F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+                ).cast("int").alias("blocks"),
             )
             .where("lo < hi")
             .select("key", "blocks")
         )
+        members = self.shelf.put(rest.join(open_keys, "key"), "members")
+        full = self.sets(members.select("node"), "second").join(
+            self.reps.select("node", "bands", "checks"), "node"
+        )
         spread = (
-            rest.join(open_keys, "key")
-            .join(check, "node")
+            members.join(full, "node")
             .withColumn("block", F.pmod(F.hash("node"), "blocks"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select(
                 "key",
                 F.least("block", "other").alias("i"),
                 F.greatest("block", "other").alias("j"),
-                F.struct("node", "comp", "block", "checks").alias("m"),
+                F.struct("node", "comp", "block", "bands", "checks", "shingles").alias("m"),
             )
         )
-        second = (
+        more = self.shelf.put(
             spread.groupBy("key", "i", "j")
-            .agg(F.collect_list("m").alias("members"))  # two blocks of about BLOCK rows
-            .select("i", "j", "members")
-            .mapInArrow(_compare_blocks(self.percent / 100), "a long, b long")
-            .distinct()
+            .agg(F.collect_list("m").alias("members"))  # two blocks, bounded in rows and shingles
+            .mapInArrow(_compare_blocks(self.percent), "a long, b long")
+            .distinct(),
+            "second-links",
         )
-        second = self.shelf.put(second, "second")
-        more = self.exact(second, "second")
         return components(links.unionByName(more), self.shelf, "all")
 
 
