@@ -97,7 +97,7 @@ def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_dedup(
     docs: DataFrame, key: Column | None = None, capacity: int = CAPACITY, keep: str = "largest"
 ) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) for every row of (doc_id, text).
+    """(doc_id, keep_id, group_size, kept, text_sha256, source_key) for every row of (doc_id, text).
 
     A null text counts as empty.  Of equal texts the largest (or smallest)
     doc_id stays; null ids stay only where a group has no other, and keep_id is
@@ -111,6 +111,7 @@ def exact_dedup(
     entries = shelf.put(
         docs.select(
             "doc_id",
+            F.xxhash64("doc_id", "text").alias("source_key"),
             hashed.alias("key"),
             F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"),
             F.monotonically_increasing_id().alias("row"),
@@ -164,4 +165,5 @@ def exact_dedup(
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.when(lone, True).otherwise(F.col("row") == F.col("keep_row")).alias("kept"),
         "text_sha256",
+        "source_key",
     )

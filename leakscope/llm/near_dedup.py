@@ -244,7 +244,11 @@ class _Run:
         self.classes = self.shelf.put(
             self.rows.where("n_shingles > 0")
             .groupBy("set_a", "set_b")
-            .agg(F.min("row").alias("node"), F.min("doc_id").alias("low")),
+            .agg(
+                F.min("row").alias("node"),
+                F.min("doc_id").alias("low"),
+                F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("keep"),
+            ),
             "classes",
         )
         self.reps = self.shelf.put(
@@ -363,24 +367,34 @@ class _Run:
 
 
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, source_key) for every row of (doc_id, text).
 
     Texts are linked if 100 * |common shingles| >= percent * |all shingles|; a
-    component is named by its smallest doc_id, and the row with that id is kept.
+    component is named by its smallest doc_id, and one row with that id is kept.
     Null, empty and blank texts have no shingles, stand alone and are kept.  Null
-    ids take part; they are kept only if nothing else of their component has an
-    id, and component_id is null then.  Rows that repeat an id and a text are alike.
-    Other columns are ignored; an empty table gives an empty result.
+    ids take part; one row of a component without any id is kept, and its component_id is
+    null.  Rows that repeat an id and a text are alike but for ``kept``.  Other columns
+    are ignored; an empty table gives an empty result.
     """
     run = _Run(docs, percent)
     found = run.components()
     classes = run.classes.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lows = classes.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = run.shelf.put(classes.join(lows, "comp").select("set_a", "set_b", "component_id"), "named")
-    name = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    lows = classes.groupBy("comp").agg(
+        F.min("low").alias("component_id"),
+        F.coalesce(F.min_by("keep", "low"), F.min("keep")).alias("keep_row"),
+    )
+    named = run.shelf.put(
+        classes.join(lows, "comp").select("set_a", "set_b", "component_id", "keep_row"), "named"
+    )
+    some = F.col("n_shingles") > 0
     return (
-        run.rows.select("doc_id", "n_shingles", "set_a", "set_b")
+        run.rows.select("doc_id", "n_shingles", "set_a", "set_b", "row", "source_key")
         .join(named, ["set_a", "set_b"], "left")
-        .select("doc_id", "n_shingles", name.alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select(
+            "doc_id",
+            "n_shingles",
+            F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            F.when(some, F.col("row") == F.col("keep_row")).otherwise(True).alias("kept"),
+            "source_key",
+        )
     )

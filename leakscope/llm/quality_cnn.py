@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from leakscope.llm import words as W
 
@@ -191,15 +192,26 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[bytes],
     return [bytes(r.part) for r in rows], np.array([r.label for r in rows], np.float32)
 
 
-def score_quality(docs: DataFrame, net: Network) -> DataFrame:
-    """(doc_id, score) of every row of (doc_id, text); null counts as empty."""
+def with_quality(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` (text among them) and the score of every row in column ``name``.
+
+    A null text counts as empty.  ``docs`` must not have a column of that name.
+    """
+    if name in docs.columns:
+        raise ValueError(f"column {name} is there already")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = scores(net, W.utf8(b.column(1))) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], ["doc_id", "score"])
+            got = scores(net, W.utf8(b.column(at))) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], [*b.schema.names, name])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def score_quality(docs: DataFrame, net: Network) -> DataFrame:
+    """(doc_id, score) of every row of (doc_id, text)."""
+    return with_quality(docs.select("doc_id", "text"), net).select("doc_id", "score")
 
 
 def quality_network(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Network:

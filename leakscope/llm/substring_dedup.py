@@ -201,7 +201,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     """(doc_id, n_words, n_removed, kept_sha256) for every row of (doc_id, text).
 
     With ``texts`` also ``kept_text`` (the kept words joined by one space), null where
-    nothing was removed, and ``factors`` (spans of words).
+    nothing was removed, ``factors`` (spans of words) and ``source_key`` (a hash of id and text).
     A window counts as repeated if the same words start earlier: in a row with a
     smaller doc_id, or further left in the same row.  Null ids come before
     all others; rows with equal ids follow one another as they are read.  Null, empty and blank texts have no words.  Other
@@ -255,7 +255,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False)
         .join(firsts.select("seq", "row"), "seq")
         .select("row", "x.*")
     )
-    copies = rows.select("doc_id", "row", "n_words", "whole_sha256").join(
+    copies = rows.select("doc_id", "source_key", "row", "n_words", "whole_sha256").join(
         firsts.select("row", F.lit(True).alias("is_first")), "row", "left"
     ).join(done, "row", "left")
     gone = F.col("is_first").isNull() & (F.col("n_words") >= window)
@@ -268,5 +268,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False)
         F.when(gone, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop"))))
         .otherwise(F.col("factors"))
         .alias("factors"),
+        "source_key",
     )
-    return result if texts else result.drop("kept_text", "factors")
+    return result if texts else result.drop("kept_text", "factors", "source_key")
