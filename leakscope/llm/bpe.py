@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 
 # Distinct pieces that one Python worker remembers before it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 # Longer texts are encoded part by part; so are groups of texts.
 LONG_TEXT = 1 << 20
 
@@ -25,11 +25,11 @@ _CUT = re.compile(r"(?= \S)")
 _ODD_SPACE = re.compile(r" (?:\s|$)")
 
 
-def parts(text: str, size: int = LONG_TEXT) -> Iterator[str]:
+def parts(text: str) -> Iterator[str]:
     """Cut a long text before spaces that are followed by a visible character."""
     at = 0
     while at < len(text):
-        cut = _CUT.search(text, at + size // 2)
+        cut = _CUT.search(text, at + LONG_TEXT // 2)
         stop = cut.start() if cut else len(text)
         yield text[at:stop]
         at = stop
@@ -87,23 +87,28 @@ class Encoder:
             if any(s in text for s in self.special):
                 got = self.library.encode(text, add_special_tokens=False)
                 whole[k] = np.asarray(got.ids, np.uint32)
-                continue
-            if len(text) > LONG_TEXT:
-                whole[k] = np.concatenate([self.encode([p])[0] for p in parts(text)])
-                continue
-            if _ODD_SPACE.search(text):
-                own = [x for x in _CUT.split(text) if x]
+            elif len(text) > LONG_TEXT:
+                whole[k] = np.concatenate([self._one(p) for p in parts(text)])
             else:
-                first, *rest = text.split(" ")
-                own = [first] * bool(first)
-                own += map(" ".__add__, rest)
-            pieces += own
-            counts[k] = len(own)
+                own = self._pieces(text)
+                pieces += own
+                counts[k] = len(own)
         ids, upto = self._gather(pieces, counts)
         if not whole:
             return ids, np.diff(upto)
-        parts = [whole.get(k, ids[upto[k] : upto[k + 1]]) for k in range(len(counts))]
-        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        found = [whole.get(k, ids[upto[k] : upto[k + 1]]) for k in range(len(counts))]
+        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _one(self, text: str) -> np.ndarray:
+        own = self._pieces(text)
+        return self._gather(own, np.array([len(own)]))[0]
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        if _ODD_SPACE.search(text):
+            return [x for x in _CUT.split(text) if x]
+        first, *rest = text.split(" ")
+        return [first] * bool(first) + list(map(" ".__add__, rest))
 
     def _gather(self, pieces: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > self.cache_pieces:

@@ -75,6 +75,20 @@ def first_basis(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.nd
     return np.array(basis).T, np.array(counts)
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots; small matrices do without BLAS threads."""
+    n = len(matrix)
+    both = np.hstack([matrix.astype(float), np.eye(n)])
+    for k in range(n):
+        top = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, top]] = both[[top, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k]
+    return both[:, n:]
+
+
 def column_generation(
     sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, rounds: int = ROUNDS
 ) -> tuple[list[np.ndarray], np.ndarray]:
@@ -85,10 +99,10 @@ def column_generation(
     """
     n = len(sizes)
     basis, counts = first_basis(sizes, demand, room)
-    inverse = np.linalg.inv(basis)
-    for step in range(1, rounds + 1):
-        value, pattern = price(np.ones(n) @ inverse, sizes, room)
-        move = inverse @ pattern
+    inverse = _inverse(basis)
+    for _ in range(rounds):
+        value, pattern = price(inverse.sum(axis=0), sizes, room)
+        move = (inverse * pattern).sum(axis=1)
         up = move > 1e-9
         if value <= 1 + gap or not up.any():
             break
@@ -97,12 +111,9 @@ def column_generation(
         counts = np.maximum(counts - ratio[out] * move, 0)
         counts[out] = ratio[out]
         basis[:, out] = pattern
-        if step % 50:
-            row = inverse[out] / move[out]
-            inverse -= np.outer(move, row)
-            inverse[out] = row
-        else:
-            inverse = np.linalg.inv(basis)
+        row = inverse[out] / move[out]
+        inverse -= move[:, None] * row
+        inverse[out] = row
     return [basis[:, k].astype(np.int64) for k in range(n)], counts
 
 

@@ -3,7 +3,7 @@
 The code comes from the counts of all ids (package-merge, ``MAX_BITS`` at most) and is
 fixed by its lengths alone.  A file is a Parquet part whose rows are independent
 blocks: the documents and their numbers of ids, the coded bits, and the bit offset
-of every ``CHECKPOINT``-th id.  Decoding starts at all checkpoints of a block at
+of every ``CHECKPOINT``-th id (as 16-bit differences).  Decoding starts at all checkpoints of a block at
 once and steps through a table of 2 ** MAX_BITS entries.
 
 Documents are encoded once, in ascending order of their ids, and kept as plain ids
@@ -24,11 +24,11 @@ from leakscope.llm.bpe import Encoder, encoded
 from leakscope.llm.shelf import Shelf
 
 MAX_BITS = 18
-CHECKPOINT = 256
+CHECKPOINT = 64  # times MAX_BITS must fit 16 bits
 BLOCK = 1 << 17
 _BLOCKS = (
     "file int, first_row long, before long, n_ids long, doc_ids array<long>, sizes array<long>, "
-    "checkpoints array<long>, bits binary"
+    "checkpoints binary, bits binary"
 )
 
 
@@ -111,16 +111,14 @@ def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def unpack(bits: bytes, starts: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The n ids of a block, from all checkpoints at once."""
     ids, size = table
-    buf = np.frombuffer(bits + bytes(8), np.uint8)
+    padded = bits + bytes(8)
+    runs = np.ndarray(len(bits) + 4, ">u4", padded, strides=(1,))  # 32 bits from each byte on
     at = np.array(starts, np.int64)
     out = np.zeros((len(at), CHECKPOINT), np.uint32)
     for k in range(min(CHECKPOINT, n)):
         if k and (len(at) - 1) * CHECKPOINT + k >= n:
             at = at[: -(-(n - k) // CHECKPOINT)]
-        byte = at >> 3
-        run = buf[byte].astype(np.uint32)
-        for j in range(1, 4):
-            run = (run << np.uint32(8)) | buf[byte + j]
+        run = runs[at >> 3].astype(np.uint32)
         run = (run << (at & 7).astype(np.uint32)) >> np.uint32(32 - MAX_BITS)
         out[: len(at), k] = ids[run]
         at = at + size[run]
@@ -169,13 +167,10 @@ def _count(width: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0):
-                own = np.bincount(np.frombuffer(x.as_buffer(), width))
-                if len(own) > len(total):
-                    own[: len(total)] += total
-                    total = own
-                else:
-                    total[: len(own)] += own
+            own = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), width))
+            if len(own) > len(total):
+                own, total = total, own
+            total[: len(own)] += own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -191,8 +186,9 @@ def _write(lengths: np.ndarray, width: np.dtype):
 
         def out() -> pa.RecordBatch:
             bits, marks = pack(np.concatenate(ids), codes, lengths)
-            row = [[head[0]], [head[1]], [head[2]], [size], [names], [[len(x) for x in ids]], [marks], [bits]]
-            kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 3, pa.binary()]
+            row = [[head[0]], [head[1]], [head[2]], [size], [names], [[len(x) for x in ids]]]
+            row += [[np.diff(marks, prepend=0).astype("<u2").tobytes()], [bits]]
+            kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 2]
             columns = [c.split()[0] for c in _BLOCKS.split(", ")]
             return pa.RecordBatch.from_arrays(list(map(pa.array, row, kinds)), columns)
 
@@ -219,7 +215,8 @@ def _read(lengths: np.ndarray):
         table = decoding_table(lengths)
         for b in batches:
             for r in b.to_pylist():
-                ids = unpack(r["bits"], r["checkpoints"], r["n_ids"], table).astype("<u4")
+                marks = np.cumsum(np.frombuffer(r["checkpoints"], "<u2"), dtype=np.int64)
+                ids = unpack(r["bits"], marks, r["n_ids"], table).astype("<u4")
                 sizes = np.array(r["sizes"], np.int64)
                 ends = np.cumsum(sizes)
                 crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
