@@ -36,10 +36,11 @@ from leakscope.llm import words as W
 from leakscope.llm.shelf import Shelf
 
 GIANT = 32_768  # characters; longer documents are split
-CHUNK = 4096
-TOGETHER = 32  # chunks handled at once in a task
+CHUNK = 1024
+TOGETHER = 256  # chunks handled at once in a task
 UNKNOWN = 10.0
 CACHE_WORDS = 300_000
+LONG_WORD = 64
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -64,12 +65,13 @@ class Vocabulary:
         self.pieces = {strings[i]: (sp.GetScore(i), i) for i in plain}
         self.beginnings = {s[:k] for s in self.pieces for k in range(1, len(s) + 1)}
         self.tables = []
-        for size in range(1, self.longest + 1):
-            own = [i for i in plain if len(strings[i]) == size]
-            keys = self._keys(np.array([[ord(c) for c in strings[i]] for i in own], np.uint64).reshape(-1, size))
+        for size in range(1, self.longest + 1):  # beginnings of pieces; score -inf: no piece yet
+            own = [x for x in self.beginnings if len(x) == size]
+            keys = self._keys(np.array([[ord(c) for c in x] for x in own], np.uint64).reshape(-1, size))
             order = np.argsort(keys)
-            scores = np.array([sp.GetScore(i) for i in own], np.float64)
-            self.tables.append((keys[order], scores[order], np.array(own, np.int64)[order]))
+            found = [self.pieces.get(own[k], (-np.inf, -1)) for k in order]
+            scores, ids = np.array([f[0] for f in found]), np.array([f[1] for f in found], np.int64)
+            self.tables.append((keys[order], scores, ids))
 
     @staticmethod
     def _keys(letters: np.ndarray) -> np.ndarray:
@@ -83,20 +85,23 @@ class Vocabulary:
         letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         score = np.full((starts, self.longest), -np.inf)
         ids = np.full((starts, self.longest), -1)
-        key = np.zeros(starts, np.uint64)
-        for k, (keys, scores, own) in enumerate(self.tables):
-            n = min(starts, len(letters) - k)
-            if n <= 0:
-                break
-            key = key[:n] * _BASE + letters[k : k + n] + np.uint64(1)
-            if not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == key)
-            score[hit, k], ids[hit, k] = scores[at[hit]], own[at[hit]]
+        self._look_up(letters, np.arange(starts), np.arange(starts, 0, -1) + len(letters) - starts, score, ids)
         score[np.isinf(score[:, 0]), 0] = self.unknown
         return score, ids
 
+    def _look_up(self, letters, at, left, score, ids) -> None:
+        """Fill score and id of every piece that starts at ``at``, of at most ``left`` letters."""
+        key = np.zeros(len(letters), np.uint64)
+        for k, (keys, scores, own) in enumerate(self.tables):
+            at = at[left[at] > k]
+            if not len(at) or not len(keys):
+                break
+            key[at] = key[at] * _BASE + letters[at + k] + np.uint64(1)
+            found = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
+            hit = np.flatnonzero(keys[found] == key[at])
+            at, found = at[hit], found[hit]
+            score[at, k], ids[at, k] = scores[found], own[found]
+
     def split(self, word: str) -> list[int]:
         """ids of one short text, place by place."""
         n = len(word)
@@ -120,6 +125,48 @@ class Vocabulary:
             n = p
         return ids[::-1]
 
+    def split_many(self, words: list[str]) -> list[np.ndarray]:
+        """ids of many short texts, all advancing by one place at a time."""
+        size = np.array([len(w) for w in words], np.int64)
+        if not len(words):
+            return []
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = text.astype(np.uint64) + np.uint64(1)
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        left = np.repeat(first + size, size) - np.arange(len(letters))  # letters from here on
+        score = np.full((len(letters), self.longest), -np.inf)
+        ids = np.full((len(letters), self.longest), -1, np.int32)
+        self._look_up(letters - np.uint64(1), np.arange(len(letters)), left, score, ids)
+        score[np.isinf(score[:, 0]), 0] = self.unknown
+        node = first + np.arange(len(words))  # a word has one place more than letters
+        best = np.full(len(letters) + len(words), -np.inf)
+        best[node] = 0
+        back = np.zeros(len(best), np.int64)
+        for p in range(int(size.max(initial=0))):
+            for k in range(self.longest):
+                w = np.flatnonzero(size > p + k)
+                if not len(w):
+                    break
+                new = best[node[w] + p] + score[first[w] + p, k]
+                to = node[w] + p + k + 1
+                better = new > best[to]
+                best[to[better]], back[to[better]] = new[better], k + 1
+        place, w, steps = size.copy(), np.flatnonzero(size), []
+        while len(w):
+            k = back[node[w] + place[w]]
+            place[w] -= k
+            steps.append((w, ids[first[w] + place[w], k - 1]))
+            w = w[place[w] > 0]
+        if not steps:
+            return [np.zeros(0, np.int32) for _ in words]
+        owner = np.concatenate([x for x, _ in steps[::-1]])
+        found = np.concatenate([x for _, x in steps[::-1]])
+        order = np.argsort(owner, kind="stable")
+        parts = np.split(found[order], np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
+        for k in np.unique(owner[found < 0]):  # with bytes of unknown characters
+            parts[k] = np.array(self.split(words[k]), np.int32)
+        return parts
+
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
         return raw.decode("utf-8", "replace").replace(SPACE, " ")[1:]
@@ -142,14 +189,21 @@ class Words:
         self.known: dict[str, np.ndarray] = {}
 
     def encode(self, text: str) -> np.ndarray:
-        words = _WORD.findall(normalise(text))
-        new = [w for w in set(words) if w not in self.known]
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        words = [_WORD.findall(normalise(t)) for t in texts]
+        every = set().union(*words)
+        new = every.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, list(set(words))
+            self.known, new = {}, every
+        short = [w for w in new if len(w) <= LONG_WORD]
+        self.known.update(zip(short, self.vocab.split_many(short), strict=True))
         for w in new:
-            self.known[w] = np.array(self.vocab.split(w), np.int32)
-        parts = [self.known[w] for w in words]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            if len(w) > LONG_WORD:
+                self.known[w] = np.array(self.vocab.split(w), np.int32)
+        none = [np.zeros(0, np.int32)]
+        return [np.concatenate(none + [self.known[w] for w in own]) for own in words]
 
 
 def _stack(vocab: Vocabulary, texts: list[str], sizes: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -217,13 +271,13 @@ def forward(
     return back, state, ids
 
 
-def trace(vocab: Vocabulary, text: str, size: int, out: int, back: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def trace(vocab: Vocabulary, text: str, size: int, out: int, back: np.ndarray) -> np.ndarray:
     """ids of the pieces that start in a chunk, given the right state."""
     place, found = size + out, []
     while place and (n := int(back[place])):
         place -= n
-        i = int(ids[place, n - 1])
-        found.append([i] if i >= 0 else vocab.byte_ids[list(text[place].encode())].tolist())
+        got = vocab.pieces.get(text[place : place + n])
+        found.append([got[1]] if got else vocab.byte_ids[list(text[place].encode())].tolist())
     return np.array([i for part in reversed(found) for i in part], np.int32)
 
 
@@ -239,10 +293,10 @@ def encode_chunked(vocab: Vocabulary, text: str, chunk: int = CHUNK) -> np.ndarr
     entry = np.full((len(parts), vocab.longest), -np.inf)
     entry[0, 0] = 0
     entry[1:] = upto[:-1, 0]
-    back, state, ids = forward(vocab, parts, sizes, entry)
+    back, state, _ = forward(vocab, parts, sizes, entry)
     out, found = 0, []
     for k in reversed(range(len(parts))):
-        found.append(trace(vocab, parts[k], sizes[k], out, back[k], ids[k]))
+        found.append(trace(vocab, parts[k], sizes[k], out, back[k]))
         out = int(state[k, sizes[k] + out])
     return np.concatenate(found[::-1])
 
@@ -305,10 +359,12 @@ def _states(path: str):
         vocab = vocabulary(path)
         for b in _few(batches):
             row, chunk, size, part, entry = (c.to_pylist() for c in b.columns)
-            _, state, _ = forward(vocab, part, size, np.stack([np.frombuffer(e, np.float64) for e in entry]))
+            back, state, _ = forward(vocab, part, size, np.stack([np.frombuffer(e, np.float64) for e in entry]))
             maps = [s[n : n + vocab.longest].astype(np.int16).tobytes() for s, n in zip(state, size, strict=True)]
+            ways = [x.astype(np.uint8).tobytes() for x in back]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(maps, pa.binary())], ["row", "chunk", "map"]
+                [*b.columns[:4], pa.array(maps, pa.binary()), pa.array(ways, pa.binary())],
+                ["row", "chunk", "size", "part", "map", "back"],
             )
 
     return run
@@ -327,10 +383,12 @@ def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
 def _traces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for b in _few(batches):
-            row, chunk, size, part, entry, out = (c.to_pylist() for c in b.columns)
-            back, _, ids = forward(vocab, part, size, np.stack([np.frombuffer(e, np.float64) for e in entry]))
-            got = [trace(vocab, *x) for x in zip(part, size, out, back, ids, strict=True)]
+        for b in batches:
+            _, _, size, part, back, out = (c.to_pylist() for c in b.columns)
+            got = [
+                trace(vocab, t, n, o, np.frombuffer(w, np.uint8))
+                for n, t, w, o in zip(size, part, back, out, strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([g.tobytes() for g in got], pa.binary())],
                 ["row", "chunk", "ids"],
@@ -352,7 +410,7 @@ def _ordinary(path: str):
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in W.groups([t.encode() for t in texts]):
-                ids = [words.encode(t).tobytes() for t in texts[lo:hi]]
+                ids = [x.tobytes() for x in words.encode_many(texts[lo:hi])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, hi - lo),
@@ -393,14 +451,20 @@ def encode_pieces(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = C
         .applyInPandas(_scan, "row long, chunk long, entry binary"),
         "entries",
     )
-    placed = chunks.join(entries, by)
+    ways = shelf.put(
+        chunks.join(entries, by).mapInArrow(
+            _states(path), "row long, chunk long, size long, part string, map binary, back binary"
+        ),
+        "ways",
+    )
     outs = shelf.put(
-        placed.mapInArrow(_states(path), "row long, chunk long, map binary")
-        .groupBy("row")
-        .applyInPandas(_follow, "row long, chunk long, out long"),
+        ways.select("row", "chunk", "map").groupBy("row").applyInPandas(_follow, "row long, chunk long, out long"),
         "outs",
     )
-    traced = placed.join(outs, by).mapInArrow(_traces(path), "row long, chunk long, ids binary")
+    traced = (
+        ways.drop("map").join(outs, by).select("row", "chunk", "size", "part", "back", "out")
+        .mapInArrow(_traces(path), "row long, chunk long, ids binary")
+    )
     whole = traced.groupBy("row").applyInPandas(_join, "row long, n_chunks long, ids binary")
     return small.unionByName(large.join(whole, "row").select("doc_id", "text", "n_chunks", "ids"))
 
