@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,33 +15,40 @@ from leakscope.session import fits_broadcast
 def add_shots(
     df: DataFrame, n: int, order: str, by: str = "CATEGORY", key: str = "ID"
 ) -> DataFrame:
-    """Adds ``shots`` (array of q, a) and ``shot_ids``.
+    """Adds ``shots`` (array of q, a) and ``shot_ids``; both are empty for n = 0.
 
     The first n rows of a category are the shots of all others; those first n
-    get the last n instead. Only 2n rows per category are gathered: whether a
-    row is among the first n follows from the order value of the n-th row.
+    get the last n instead. Rows are ordered by ``order``, then by ``key``; a
+    null category is one of its own. Only 2n rows per category are gathered:
+    whether a row is among the first n follows from the place of the n-th row.
     """
+    if n == 0:
+        return df.withColumns(
+            {
+                "shots": F.array().cast("array<struct<q:string,a:string>>"),
+                "shot_ids": F.array().cast("array<string>"),
+            }
+        )
+    place = F.struct(F.col(order).alias("o"), F.col(key).alias("k"))
     shot = F.struct(
-        F.col(order).alias("o"),
+        place.alias("p"),
         F.col("PROBLEM").alias("q"),
         format_shot(F.col("SOLUTION"), F.coalesce("EXTRACTED_ANSWER", F.lit(""))).alias("a"),
         F.col(key).cast("string").alias("id"),
     )
-    slim = df.select(by, order, shot.alias("s"))
+    slim = df.select(by, F.col(order).alias("_o"), F.col(key).alias("_k"), shot.alias("s"))
 
-    def gather(order_by: Column, name: str) -> DataFrame:
-        chosen = top_k(slim, [by], [order_by], n)
+    def gather(direction: Callable[[str], Column], name: str) -> DataFrame:
+        chosen = top_k(slim, [by], [direction("_o"), direction("_k")], n)
         return chosen.groupBy(by).agg(F.array_sort(F.collect_list("s")).alias(name))
 
-    picks = gather(F.asc(order), "_head").join(gather(F.desc(order), "_tail"), by)
+    picks = join_null_safe(gather(F.asc, "_head"), gather(F.desc, "_tail"), [by])
     joined = join_null_safe(df, F.broadcast(picks) if fits_broadcast(picks) else picks, [by])
     enough = F.when(
         F.size("_head") < n,
         F.raise_error(F.lit(f"fewer than {n} rows in a category")),
     ).otherwise(
-        F.when(F.col(order) <= F.element_at("_head", -1)["o"], F.col("_tail")).otherwise(
-            F.col("_head")
-        )
+        F.when(place <= F.element_at("_head", -1)["p"], F.col("_tail")).otherwise(F.col("_head"))
     )
     return joined.withColumn("_use", enough).select(
         *df.columns,

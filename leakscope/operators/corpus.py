@@ -172,8 +172,11 @@ def top_next(docs: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, c: int, n: int) -> DataFrame:
-    """Every context of c words with the n words after it, and where it stands."""
-    room = f"size(tokens) - {c + n - 1}"
+    """Every context of c words with up to n words after it, and where it stands.
+
+    Near the end of a document fewer words follow; the last context has one.
+    """
+    room = f"size(tokens) - {c}"
     return docs.select(
         "doc_id",
         F.expr(

@@ -250,13 +250,11 @@ def fit_exponential(df: DataFrame) -> DataFrame:
     """Adds A_value and B_value of ``-a (1 - exp(-b x))`` fitted to ``curve``.
 
     For a fixed b the best a is a ratio of two sums, so only b is searched; all
-    of it is row-local. Null when the curve has fewer than two points, is flat,
-    or the best rate lies on the edge of the search range.
+    of it is row-local. A curve that is straight or convex gets the lowest rate,
+    where the fit is a line, and one that drops at once the highest. Null only
+    when the curve has fewer than two points or is flat.
     """
-    inside = (
-        f"size(curve) >= 2 and _best.a is not null and _best.loss < 0 "
-        f"and _best.first > {RATE_LOW!r}D * 1.000001D and _best.first < {RATE_HIGH!r}D * 0.999999D"
-    )
+    inside = "size(curve) >= 2 and _best.a is not null and _best.loss < 0"
     return df.withColumn("_best", F.expr(_search_sql())).selectExpr(
         *[f"`{c}`" for c in df.columns],
         f"if({inside}, _best.a, null) as A_value",

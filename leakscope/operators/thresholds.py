@@ -34,8 +34,9 @@ def split_sizes(df: DataFrame, ratio: float, strata: Sequence[str]) -> DataFrame
     sized = (
         counts.withColumn("n_all", F.sum("n").over(everything))
         .withColumn("n_test_all", F.ceil(F.lit(ratio) * F.col("n_all")).cast("bigint"))
-        .withColumn("share", F.expr("(n_test_all * n) div n_all"))
-        .withColumn("rest", F.expr("(n_test_all * n) % n_all"))
+        .withColumn("product", F.expr("cast(n_test_all as decimal(19)) * cast(n as decimal(19))"))
+        .withColumn("share", F.expr("cast(product div n_all as bigint)"))
+        .withColumn("rest", F.expr("cast(product % n_all as bigint)"))
         .withColumn("left", F.col("n_test_all") - F.sum("share").over(everything))
     )
     turn = F.row_number().over(everything.orderBy(F.desc("rest"), *strata))
@@ -347,13 +348,17 @@ def _candidate_list(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _solve_group(pdf: pd.DataFrame) -> tuple[float, float, float]:
     """The same search for one small group held in memory."""
-    a, b = pdf["a"].to_numpy(), pdf["b"].to_numpy()
+    a, b = (pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in "ab")
     pos, n = pdf["pos"].to_numpy(), pdf["n"].to_numpy()
-    ta, tb = _candidate_list(a, pos, n), _candidate_list(b, pos, n)
+    has_a, has_b = ~np.isnan(a), ~np.isnan(b)
+    # An axis without values never fires; its threshold is null.
+    none = np.array([np.nan])
+    ta = _candidate_list(a[has_a], pos[has_a], n[has_a]) if has_a.any() else none
+    tb = _candidate_list(b[has_b], pos[has_b], n[has_b]) if has_b.any() else none
     cells = pd.DataFrame(
         {
-            "ia": np.searchsorted(ta, a, side="right"),
-            "ib": np.searchsorted(tb, b, side="left"),
+            "ia": np.where(has_a, np.searchsorted(ta, a, side="right"), len(ta)),
+            "ib": np.where(has_b, np.searchsorted(tb, b, side="left"), 0),
             "w": pdf["w"].to_numpy(),
         }
     )
@@ -367,10 +372,12 @@ def best_pair(
 ) -> DataFrame:
     """Pair of thresholds with the highest accuracy of ``a < ta or b > tb``.
 
-    Exact over the full product of candidates, first pair winning ties. Small
-    inputs are solved group by group. Beyond that, rows shrink to counted index cells; blocks of candidates on the first axis run
-    in parallel, each fed the column sums of the blocks behind it. No pair of
-    candidates is ever emitted as a row.
+    Exact over the full product of candidates, first pair winning ties. A null or
+    NaN on an axis never fires there and is counted; an axis without any value
+    has a null threshold. Small inputs are solved group by group. Beyond that,
+    rows shrink to counted index cells; blocks of candidates on the first axis
+    run in parallel, each fed the column sums of the blocks behind it. No pair
+    of candidates is ever emitted as a row.
     """
     src, keys = _keyed(df, by)
     src = src.select(
@@ -378,7 +385,7 @@ def best_pair(
         clean_number(F.col(a).cast("double")).alias("a"),
         clean_number(F.col(b).cast("double")).alias("b"),
         F.col(y).cast("int").alias("y"),
-    ).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    )
     pairs = settle(
         src.groupBy(*keys, "a", "b").agg(
             F.sum(F.lit(1) - 2 * F.col("y")).alias("w"),
@@ -398,12 +405,25 @@ def best_pair(
             )
 
         return pairs.groupBy(*keys).applyInPandas(solve_small, schema).select(*by, "ta", "tb", "acc")
-    list_a, reach_a = _axis(pairs, "a", keys, upper=False)
-    list_b, reach_b = _axis(pairs, "b", keys, upper=True)
+    list_a, reach_a = _axis(pairs.where("a is not null"), "a", keys, upper=False)
+    list_b, reach_b = _axis(pairs.where("b is not null"), "b", keys, upper=True)
+    groups = pairs.select(*keys).distinct()
+
+    def with_empty(found: DataFrame) -> DataFrame:
+        """Groups without a value on the axis get one candidate that never fires."""
+        bare = groups.join(found, keys, "left_anti").selectExpr(
+            *[f"`{c}`" for c in keys], "0L as idx", "cast(null as double) as t"
+        )
+        return found.unionByName(bare)
+
+    list_a, list_b = with_empty(list_a), with_empty(list_b)
     cells = join_null_safe(
-        join_null_safe(pairs, reach_a.withColumnsRenamed({"x": "a", "reach": "ia"}), [*keys, "a"]),
+        join_null_safe(
+            pairs, reach_a.withColumnsRenamed({"x": "a", "reach": "ia"}), [*keys, "a"], "left"
+        ),
         reach_b.withColumnsRenamed({"x": "b", "reach": "ib"}),
         [*keys, "b"],
+        "left",
     )
     totals = pairs.groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     sizes = list_a.groupBy(*keys).agg(F.count(F.lit(1)).alias("na")).join(
@@ -411,10 +431,11 @@ def best_pair(
     )
     # Index nb means "no candidate reaches it": such cells stay out of every sum.
     grid = (
-        cells.groupBy(*keys, "ia", "ib")
-        .agg(F.sum("w").alias("w"))
-        .join(sizes, keys)
+        cells.join(sizes, keys)
+        .withColumns({"ia": F.coalesce("ia", "na"), "ib": F.coalesce("ib", F.lit(0))})
         .where(F.col("ib") < F.col("nb"))
+        .groupBy(*keys, "ia", "ib")
+        .agg(F.sum("w").alias("w"))
     )
     # ia = 0 is never above a candidate; ia belongs to the block of candidate ia - 1.
     own = grid.where("ia > 0").select(

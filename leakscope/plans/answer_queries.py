@@ -340,12 +340,12 @@ def prompt_plain(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "prompt_chat",
     S.with_(S.QA)
-    + f"""SELECT conv_id AS ID, unnest(range(0, 1))::INTEGER AS pos, 'user' AS role, PROBLEM || '{_TAIL}' AS content FROM qa""",
+    + f"""SELECT conv_id AS ID, unnest(range(0, 1))::INTEGER AS pos, 'user' AS role, PROBLEM || '{_TAIL}' AS content FROM q""",
 )
 def prompt_chat(spark: SparkSession, sf: str) -> DataFrame:
     no_shots = F.array().cast("array<struct<q:string,a:string>>")
-    rows = _qa(spark, sf).withColumn("chat", X.prompt_chat(no_shots, F.col("PROBLEM")))
-    return rows.select("ID", F.posexplode("chat").alias("pos", "t")).select(
+    rows = T.questions(spark, sf).withColumn("chat", X.prompt_chat(no_shots, F.col("PROBLEM")))
+    return rows.select(F.col("conv_id").alias("ID"), F.posexplode("chat").alias("pos", "t")).select(
         "ID", "pos", "t.role", "t.content"
     )
 
@@ -358,9 +358,9 @@ def prompt_chat(spark: SparkSession, sf: str) -> DataFrame:
         "PROBLEM" if part == "{question}" else "'" + part.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
         for part in (X.ZERO_SHOT_TEMPLATE.replace("{question}", ""), "{question}")
     )
-    + ") AS prompt_md5 FROM qa",
+    + ") AS prompt_md5 FROM q",
 )
 def zero_shot_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    return _qa(spark, sf).select(
-        "ID", F.md5(X.fill_template(X.ZERO_SHOT_TEMPLATE, F.col("PROBLEM"))).alias("prompt_md5")
+    return T.questions(spark, sf).select(
+        F.col("conv_id").alias("ID"), F.md5(X.fill_template(X.ZERO_SHOT_TEMPLATE, F.col("PROBLEM"))).alias("prompt_md5")
     )

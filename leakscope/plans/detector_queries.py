@@ -139,7 +139,8 @@ LOGLIKE = (
     f"""lp AS (SELECT ID, grid_pos, n, lls, unnest(pts) AS s FROM (
   SELECT ID, grid_pos, v AS n, lls, {S.even('len(lls)', 'v', 10, 5)} AS pts FROM td CROSS JOIN ns)),
 lrow AS (SELECT ID, grid_pos, n, s, list_sum(lls[s + 1:s + n]) AS ll FROM lp),
-llf AS (SELECT ID, grid_pos, n, avg(ll) AS x FROM lrow GROUP BY ID, grid_pos, n)""",
+llf AS (SELECT td.ID, ns.grid_pos, ns.v AS n, avg(ll) AS x FROM td CROSS JOIN ns LEFT JOIN lrow
+  ON lrow.ID = td.ID AND lrow.grid_pos = ns.grid_pos GROUP BY td.ID, ns.grid_pos, ns.v)""",
 )
 
 
@@ -166,7 +167,7 @@ def ngram_loglike(spark: SparkSession, sf: str) -> DataFrame:
     S.with_(*LOGLIKE) + "SELECT ID, n, round(x, 6) AS feature FROM llf",
 )
 def ngram_ll_features(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(ll_table(spark, sf), ["ID", "n"], 6).where("feature is not null")
+    return _rounded(ll_table(spark, sf), ["ID", "n"], 6)
 
 
 @query(
@@ -174,7 +175,7 @@ def ngram_ll_features(spark: SparkSession, sf: str) -> DataFrame:
     S.with_(*LOGLIKE, S.LABELS, "feat AS (SELECT grid_pos, ID, y, x FROM llf JOIN lab USING (ID))", S.cv(), S.TUNED),
 )
 def tune_ngram_ll(spark: SparkSession, sf: str) -> DataFrame:
-    features = ll_table(spark, sf).select("ID", "grid_pos", "feature").where("feature is not null")
+    features = ll_table(spark, sf).select("ID", "grid_pos", "feature")
     return _tuned(_with_label(spark, sf, features))
 
 
@@ -320,8 +321,8 @@ b{r} AS (SELECT ID, i, b, gy / nullif(gg, 0) AS a, coalesce(gy * gy / nullif(gg,
             width = width**0.15
     last = D.RATE_ROUNDS
     parts.append(
-        f"""fit AS (SELECT b{last}.ID, CASE WHEN b0.i > 0 AND b0.i < {steps} AND b{last}.gain > 0 AND b{last}.n >= 2 THEN b{last}.a END AS A_value,
-  CASE WHEN b0.i > 0 AND b0.i < {steps} AND b{last}.gain > 0 AND b{last}.n >= 2 THEN b{last}.b END AS B_value FROM b{last} JOIN b0 USING (ID))"""
+        f"""fit AS (SELECT b{last}.ID, CASE WHEN b{last}.gain > 0 AND b{last}.n >= 2 THEN b{last}.a END AS A_value,
+  CASE WHEN b{last}.gain > 0 AND b{last}.n >= 2 THEN b{last}.b END AS B_value FROM b{last})"""
     )
     return ",\n".join(parts)
 

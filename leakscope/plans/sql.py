@@ -81,7 +81,7 @@ def continuations(contexts: str, c: int, n: int, samples: int) -> str:
     """win, kept, greedy and drawn for the contexts of the named expression."""
     return f"""win AS (SELECT doc_id, i AS place, array_to_string(tokens[i:i + {c - 1}], ' ') AS context,
   array_to_string(tokens[i + {c}:i + {c + n - 1}], ' ') AS follow
-  FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens) - {c + n - 2})) AS i FROM docs)),
+  FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens) - {c - 1})) AS i FROM docs)),
 kept AS (SELECT * FROM win WHERE context IN (SELECT context FROM {contexts})),
 greedy AS (SELECT context, string_split(follow, ' ') AS greedy FROM (
   SELECT context, follow, row_number() OVER (PARTITION BY context ORDER BY count(*) DESC, follow) AS r

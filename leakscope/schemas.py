@@ -9,8 +9,6 @@ ITEM = (
 
 VERBOSE_ITEM = ITEM + ", EXTRACTED_ANSWER string"
 
-KEYS = ["model_id", "ID", "CATEGORY", "LABEL", "LABEL_BINARY"]
-
 TOKEN_DATA = (
     ITEM + ", input_ids_list array<int>, decoded_tokens array<string>, "
     "token_probs array<double>, token_log_likes array<double>"

@@ -58,9 +58,7 @@ def settle(df: DataFrame) -> DataFrame:
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Measure, on at most ``max_rows + 1`` rows, whether ``df`` is small."""
+    """Measure rows and bytes, summed within each partition first, against both bounds."""
     width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    rows, size = (
-        df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    )
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes

@@ -72,14 +72,13 @@ def _parsed(spark: SparkSession, root: str, glob: str, schema: str, on_corrupt:
 
 
 def read_test_logs(
-    spark: SparkSession, root: str, glob: str = "*test*overleaf2.json", on_corrupt: str = "skip"
+    spark: SparkSession, root: str, glob: str, on_corrupt: str = "skip"
 ) -> DataFrame:
     return _parsed(spark, root, glob, schemas.TEST_LOG, on_corrupt)
 
 
 def read_train_logs(
-    spark: SparkSession, root: str, glob: str = "*train*_accuracylog_overleaf2.json",
-    on_corrupt: str = "skip",
+    spark: SparkSession, root: str, glob: str, on_corrupt: str = "skip"
 ) -> DataFrame:
     return _parsed(spark, root, glob, schemas.TRAIN_LOG, on_corrupt)
 
@@ -90,9 +89,14 @@ def merge_files(spark: SparkSession, paths: list[str], out: str, schema: str) ->
 
 
 def write_log(df: DataFrame, base: str) -> None:
-    """Append run records below model_id= and method_name= as JSON lines."""
-    keep = df.withColumn("model_id", F.regexp_replace("model_id", "/", "__"))
-    keep.write.mode("append").partitionBy("model_id", "method_name").json(base)
+    """Append run records as JSON lines below folders of their model and method.
+
+    The folders come from copies, so every record keeps both fields as they are.
+    """
+    keep = df.withColumn("model", F.regexp_replace("model_id", "/", "__")).withColumn(
+        "method", F.col("method_name")
+    )
+    keep.write.mode("append").partitionBy("model", "method").json(base)
 
 
 def write_rows(df: DataFrame, path: str) -> None:

@@ -66,10 +66,10 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "LABEL",
         "LABEL_BINARY",
         "size(tokens) as n_words",
-        "cast(size(array_distinct(tokens)) as double) / size(tokens) as distinct_share",
-        "cast(n_chars as double) / size(tokens) as chars_per_word",
-        "1 - cast(size(array_distinct(lines)) as double) / size(lines) as line_repeat",
-        "cast(length(regexp_replace(text, '[^0-9]', '')) as double) / n_chars as digit_share",
+        "try_divide(cast(size(array_distinct(tokens)) as double), size(tokens)) as distinct_share",
+        "try_divide(cast(n_chars as double), size(tokens)) as chars_per_word",
+        "1 - try_divide(cast(size(array_distinct(lines)) as double), size(lines)) as line_repeat",
+        "try_divide(cast(length(regexp_replace(text, '[^0-9]', '')) as double), n_chars) as digit_share",
         "n_chars",
     )
 

@@ -34,15 +34,20 @@ def detectors(k: float = 20.0, n: int = 3, starts: int = 10, offset: int = 5) ->
     return {
         "minK": A.mink(F.col("token_probs"), F.lit(k)),
         "ngram_loglike": A.array_mean(A.ngram_loglike(ll, points, n)),
-        "ContaTraces": slope_of_scores(ll),
+        "curve_slope": slope_of_scores(ll),
     }
 
 
 def score(df: DataFrame, detector: str, theta: float, **options) -> DataFrame:
-    """Feature and decision per row; works on batch and streaming input alike."""
+    """Feature and decision per row; works on batch and streaming input alike.
+
+    A slope fires at its threshold, the other features above it.
+    """
+    feature = F.col("feature")
+    fires = feature >= theta if detector == "curve_slope" else feature > theta
     return df.withColumn("feature", detectors(**options)[detector]).withColumn(
-        "PREDICTION_BINARY", F.coalesce(F.col("feature") > theta, F.lit(False)).cast("int")
-    ).select("ID", "CATEGORY", "LABEL_BINARY", "feature", "PREDICTION_BINARY")
+        "PREDICTION_BINARY", F.coalesce(fires, F.lit(False)).cast("int")
+    ).select(*[c for c in df.columns if c == "model_id"], "ID", "CATEGORY", "LABEL_BINARY", "feature", "PREDICTION_BINARY")
 
 
 def stream_score(
@@ -50,7 +55,7 @@ def stream_score(
     **options,
 ) -> StreamingQuery:
     """Score token files that arrived since the last run and append the rows."""
-    incoming = spark.readStream.schema(schemas.TOKEN_DATA).json(in_dir, multiLine=True)
+    incoming = spark.readStream.schema("model_id string, " + schemas.TOKEN_DATA).json(in_dir, multiLine=True)
     return (
         score(incoming, detector, theta, **options)
         .writeStream.format("parquet")

@@ -82,15 +82,15 @@ def log_root(tmp_path_factory):
 def test_broken_files_are_skipped_or_split(spark, log_root):
     files = L.find_logs(spark, log_root, "*test*overleaf2.json")
     assert files.count() == 4
-    assert L.read_test_logs(spark, log_root).count() == 2
-    split = L.read_test_logs(spark, log_root, on_corrupt="split")
+    assert L.read_test_logs(spark, log_root, "*test*overleaf2.json").count() == 2
+    split = L.read_test_logs(spark, log_root, "*test*overleaf2.json", on_corrupt="split")
     assert split.where("method_name = 'pair'").count() == 2
     with pytest.raises(ValueError):
         L.read_documents(files, "guess")
 
 
 def test_flatten_test_logs(spark, log_root):
-    flat = {r["model_id"]: r for r in R.flatten_test_logs(L.read_test_logs(spark, log_root)).collect()}
+    flat = {r["model_id"]: r for r in R.flatten_test_logs(L.read_test_logs(spark, log_root, "*test*overleaf2.json")).collect()}
     one, two = flat["org/m1"], flat["m2"]
     assert one["method_name_with_param"] == "minK_parameter1=5_parameter2=None_theta=0.001723"
     assert two["method_name_with_param"] == "CDD_parameter1=0.2_theta=0.08"
@@ -102,7 +102,7 @@ def test_flatten_test_logs(spark, log_root):
 def test_stored_metrics_follow_from_the_matrix(spark, log_root):
     from leakscope.functions.probability import mcnemar_exact
 
-    logs = L.read_test_logs(spark, log_root)
+    logs = L.read_test_logs(spark, log_root, "*test*overleaf2.json")
     m = F.col("metrics.confusion_matrix")
     got = logs.select(
         "metrics.*", mcnemar_exact(m[0][0], m[1][0]).alias("p"),
@@ -113,7 +113,7 @@ def test_stored_metrics_follow_from_the_matrix(spark, log_root):
 
 
 def test_flatten_train_logs(spark, log_root):
-    logs = L.read_train_logs(spark, log_root).where("model_id = 'org/m1'")
+    logs = L.read_train_logs(spark, log_root, "*train*_accuracylog_overleaf2.json").where("model_id = 'org/m1'")
     flat = {r["method_name_with_param"]: r for r in R.flatten_train_logs(logs).collect()}
     k5, pair = flat["minK_k=5"], flat["ContaTraces_fit=exponential"]
     assert k5["mean_val_acc"] == pytest.approx(0.6) and k5["std_val_acc"] == pytest.approx(0.1)
@@ -127,13 +127,13 @@ def test_flatten_train_logs(spark, log_root):
 
 
 def test_best_entries_take_the_first_maximum(spark, log_root):
-    best = R.best_entries(R.flatten_train_logs(L.read_train_logs(spark, log_root)).where("param_k != 99"))
+    best = R.best_entries(R.flatten_train_logs(L.read_train_logs(spark, log_root, "*train*_accuracylog_overleaf2.json")).where("param_k != 99"))
     got = {(r["model_id"], r["method_name"]): r["method_name_with_param"] for r in best.collect()}
     assert got[("org/m1", "minK")] == "minK_k=5"
 
 
 def test_summary_table_text(spark, log_root):
-    flat = R.flatten_train_logs(L.read_train_logs(spark, log_root))
+    flat = R.flatten_train_logs(L.read_train_logs(spark, log_root, "*train*_accuracylog_overleaf2.json"))
     rows = R.summary_table(flat).collect()
     assert [r["method_name_with_param"] for r in rows] == [
         "minK_k=10", "minK_k=5", "ContaTraces_fit=exponential", "baseline",
@@ -146,7 +146,7 @@ def test_summary_table_text(spark, log_root):
 
 
 def test_summary_table_numbers_and_order(spark, log_root):
-    flat = R.flatten_train_logs(L.read_train_logs(spark, log_root))
+    flat = R.flatten_train_logs(L.read_train_logs(spark, log_root, "*train*_accuracylog_overleaf2.json"))
     rows = R.summary_table(flat, "threshold", "train_accuracy", as_text=False, models=["m1", "m2"]).collect()
     assert rows[-1]["method_name_with_param"] == "baseline" and rows[-1]["m1_mean"] is None
     assert rows[0]["method_name_with_param"] in ("minK_k=10", "minK_k=5")
@@ -161,7 +161,7 @@ def test_summary_table_numbers_and_order(spark, log_root):
 
 
 def test_accuracy_matrix(spark, log_root):
-    flat = R.flatten_test_logs(L.read_test_logs(spark, log_root))
+    flat = R.flatten_test_logs(L.read_test_logs(spark, log_root, "*test*overleaf2.json"))
     got = R.accuracy_matrix(flat, "model_id", "method_name", "accuracy", "accuracy_95CI_upper",
                             ["minK", "CDD", "Ensemble"])
     row = {r["model_id"]: r for r in got.collect()}
@@ -220,8 +220,9 @@ def test_write_log_appends_readable_records(spark, tmp_path):
     df = spark.createDataFrame([(0.2, 0), (0.9, 1), (0.7, 1)], "f double, LABEL_BINARY int")
     for _ in range(2):
         L.write_log(tuning.evaluate(df, "f", 0.5, "org/m", "d", "minK", "5", draws=50), str(tmp_path / "log"))
-    back = spark.read.json(str(tmp_path / "log"))
+    back = L.read_test_logs(spark, str(tmp_path / "log"), "*.json")
     assert back.count() == 2 and back.first()["metrics"]["confusion_matrix"] == [[1, 0], [0, 2]]
+    assert {(r["model_id"], r["method_name"]) for r in back.collect()} == {("org/m", "minK")}
 
 
 def test_materialize(spark, tmp_path):
@@ -275,6 +276,31 @@ def test_prompts(spark):
         AN.add_prompts(df, 6, "OLMo", "ID").collect()
 
 
+def shot_rows(spark):
+    rows = [(k, None if k % 2 else "a", k // 4, f"q{k}", f"s{k}", "") for k in range(12)]
+    kind = "ID int, CATEGORY string, o int, PROBLEM string, SOLUTION string, EXTRACTED_ANSWER string"
+    return rows, spark.createDataFrame(rows, kind)
+
+
+def test_no_shots_keep_every_row(spark):
+    rows, df = shot_rows(spark)
+    got = AN.add_shots(df, 0, "o").collect()
+    assert len(got) == len(rows)
+    assert all(r["shots"] == [] and r["shot_ids"] == [] for r in got)
+    assert AN.add_prompts(df, 0, "olmo-chat", "o").count() == len(rows)
+
+
+def test_shots_with_a_null_category_and_ties(spark):
+    rows, df = shot_rows(spark)
+    got = {r["ID"]: r["shot_ids"] for r in AN.add_shots(df, 2, "o").collect()}
+    assert len(got) == len(rows)
+    for category in (None, "a"):
+        own = [r[0] for r in sorted(rows, key=lambda r: (r[2], r[0])) if r[1] == category]
+        for i in own:
+            chosen = own[-2:] if i in own[:2] else own[:2]
+            assert got[i] == [str(c) for c in chosen]
+
+
 def test_text_functions(spark):
     r = spark.range(1).select(
         X.boxed_items(F.lit(r"a \boxed{1} and \boxed {\frac{1}{2}} \boxed{}")).alias("b"),

@@ -22,7 +22,7 @@ def token_files(tmp_path):
         rows = []
         for i in ids:
             p = rng.random(30 + i).tolist()
-            rows.append({"ID": str(i), "CATEGORY": "c", "LABEL_BINARY": i % 2, "token_probs": p,
+            rows.append({"model_id": f"m{i % 2}", "ID": str(i), "CATEGORY": "c", "LABEL_BINARY": i % 2, "token_probs": p,
                          "token_log_likes": np.log(p).tolist()})
         (folder / name).write_text(json.dumps(rows))
 
@@ -30,7 +30,7 @@ def token_files(tmp_path):
     return tmp_path, folder, add
 
 
-@pytest.mark.parametrize("detector", ["minK", "ngram_loglike", "ContaTraces"])
+@pytest.mark.parametrize("detector", ["minK", "ngram_loglike", "curve_slope"])
 def test_stream_equals_batch(spark, token_files, detector):
     tmp, folder, add = token_files
     args = (spark, str(folder), str(tmp / "out"), str(tmp / "state"), detector, 0.05)
@@ -39,9 +39,21 @@ def test_stream_equals_batch(spark, token_files, detector):
     jobs.stream_score(*args).awaitTermination()
     got = spark.read.parquet(str(tmp / "out")).orderBy("ID").collect()
     batch = jobs.score(
-        spark.read.schema(schemas.TOKEN_DATA).json(str(folder), multiLine=True), detector, 0.05
+        spark.read.schema("model_id string, " + schemas.TOKEN_DATA).json(str(folder), multiLine=True),
+        detector,
+        0.05,
     ).orderBy("ID").collect()
     assert len(got) == 9 and got == batch
+    assert {r["model_id"] for r in got} == {"m0", "m1"}
+
+
+def test_a_slope_fires_at_its_threshold(spark):
+    row = [("1", "c", 1, [0.5] * 8, [-0.5, -1.0, -1.5, -0.25, -0.5, -1.0, -2.0, -0.5])]
+    kind = "ID string, CATEGORY string, LABEL_BINARY int, token_probs array<double>, token_log_likes array<double>"
+    df = spark.createDataFrame(row, kind)
+    for detector, fires in (("curve_slope", 1), ("minK", 0)):
+        theta = jobs.score(df, detector, 0.0).first()["feature"]
+        assert jobs.score(df, detector, theta).first()["PREDICTION_BINARY"] == fires
 
 
 def test_row_local_slope_equals_the_curve_fit(spark, token_files):

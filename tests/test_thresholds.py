@@ -100,6 +100,40 @@ def test_best_pair(data, local, monkeypatch):
         assert (r.acc, r.ta, r.tb) == pytest.approx((acc, ta, tb))
 
 
+NULL_PAIRS = {
+    "one side": [(1.0, None, 1), (2.0, 0.5, 0), (None, 0.7, 1), (3.0, None, 0), (None, 0.1, 0)],
+    "both": [(None, None, 1), (None, None, 0), (1.0, 2.0, 0), (0.5, 3.0, 1), (float("nan"), 9.0, 1)],
+    "no a": [(None, 1.0, 0), (None, 2.0, 1), (None, 3.0, 1)],
+    "nothing": [(None, None, 1), (None, None, 0), (None, None, 0)],
+    "ties": [(1.0, 1.0, k % 2) for k in range(20)] + [(None, 1.0, 1)] * 3,
+}
+
+
+@pytest.mark.parametrize("local", [10**9, -1])
+def test_best_pair_counts_nulls_as_not_firing(spark, local, monkeypatch):
+    monkeypatch.setattr(T, "LOCAL_PAIRS", local)
+    rows = [(g, *r) for g, own in NULL_PAIRS.items() for r in own]
+    df = spark.createDataFrame(rows, "g string, a double, b double, y int").repartition(4)
+    got = {r["g"]: r for r in T.best_pair(df, "a", "b", "y", ["g"]).collect()}
+    assert set(got) == set(NULL_PAIRS)
+    for g, own in NULL_PAIRS.items():
+
+        def right(ta, tb, own=own):
+            below = lambda v, t: v is not None and t is not None and v < t
+            above = lambda v, t: v is not None and t is not None and v > t
+            return sum((below(a, ta) or above(b, tb)) == bool(y) for a, b, y in own) / len(own)
+
+        assert right(got[g]["ta"], got[g]["tb"]) == pytest.approx(got[g]["acc"])
+        lists = []
+        for k in (0, 1):
+            known = [(r[k], r[2]) for r in own if r[k] is not None and r[k] == r[k]]
+            x, y = (np.array(c, float) for c in zip(*known, strict=True)) if known else ([], [])
+            lists.append(T._candidate_list(x, y, np.ones(len(x))) if known else [None])
+        best = max(right(a, b) for a, b in itertools.product(*lists))
+        assert got[g]["acc"] == pytest.approx(best)
+    assert got["nothing"]["ta"] is None and got["nothing"]["tb"] is None and got["no a"]["ta"] is None
+
+
 def test_one_class_falls_outside_the_range(spark):
     df = spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 1)], "ID string, x double, y int")
     assert sorted(r[0] for r in T.candidate_thresholds(df, "x", "y").collect()) == [0.9, 2.1]
