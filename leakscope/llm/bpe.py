@@ -13,11 +13,12 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
 # Distinct pieces that one Python worker remembers before it starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
 # Longer texts are encoded part by part; so are groups of texts.
 LONG_TEXT = 1 << 20
 
@@ -122,6 +123,12 @@ class Encoder:
         return self.pool[flat], stops[np.concatenate([[0], np.cumsum(counts)])]
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker; its memory is bounded by CACHE_PIECES."""
+    return Encoder(path)
+
+
 def encoded(encoder: Encoder, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
     """(position, ids) of every text, encoding groups of bounded size."""
     first = 0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leakscope.llm.bpe import Encoder, encoded
+from leakscope.llm.bpe import encoded, shared_encoder
 from leakscope.llm.shelf import Shelf
 
 STEP = 8
@@ -144,7 +144,7 @@ def patterns(histogram: dict[int, int], room: int) -> list[tuple[int, dict[int,
 
 def _pieces(path: str, end_id: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []

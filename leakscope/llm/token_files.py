@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.llm.bpe import Encoder, encoded
+from leakscope.llm.bpe import encoded, shared_encoder
 from leakscope.llm.shelf import Shelf
 
 MAX_BITS = 18
@@ -127,7 +127,7 @@ def unpack(bits: bytes, starts: np.ndarray, n: int, table: tuple[np.ndarray, np.
 
 def _encode(path: str, end_id: int, width: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row, before = Encoder(path), 0, 0
+        encoder, row, before = shared_encoder(path), 0, 0
         for b in batches:
             held: list[tuple[int, bytes]] = []
             size = 0
@@ -247,7 +247,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, shelf: Shelf
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .select(F.spark_partition_id().alias("file"), "doc_id", "text")
     )
-    width = np.dtype("<u2" if Encoder(tokenizer).size <= 1 << 16 else "<u4")
+    width = np.dtype("<u2" if shared_encoder(tokenizer).size <= 1 << 16 else "<u4")
     plain = shelf.put(
         laid.mapInArrow(_encode(tokenizer, end_id, width), "file int, doc_id long, row long, before long, ids binary"),
         "plain",
