@@ -69,12 +69,12 @@ def _(spark, sf_dir):
     """,
 )
 def _(spark, sf_dir):
-    return exact_dedup(documents(spark, sf_dir))
+    return exact_dedup(documents(spark, sf_dir)).drop("source_key")
 
 
 @query("op2_near_dedup")
 def _(spark, sf_dir):
-    return near_dedup(documents(spark, sf_dir), percent=85)
+    return near_dedup(documents(spark, sf_dir), percent=85).drop("source_key")
 
 
 @query("op9_substring_dedup")
