@@ -142,9 +142,11 @@ class Vocabulary:
         best = np.full(len(letters) + len(words), -np.inf)
         best[node] = 0
         back = np.zeros(len(best), np.int64)
+        longest_first = np.argsort(-size, kind="stable")
+        shorter = -size[longest_first]
         for p in range(int(size.max(initial=0))):
             for k in range(self.longest):
-                w = np.flatnonzero(size > p + k)
+                w = longest_first[: np.searchsorted(shorter, -(p + k))]
                 if not len(w):
                     break
                 new = best[node[w] + p] + score[first[w] + p, k]
