@@ -85,11 +85,13 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     return np.maximum.reduceat(y, spans, axis=0)[::2]
 
 
-def _pieces(text: bytes) -> list[bytes]:
-    """Overlapping pieces, so that every chunk of the text lies in one of them."""
-    if len(text) <= PIECE:
-        return [text]
-    return [text[a : a + PIECE + STRIDE * (TAPS - 1)] for a in range(0, len(text), PIECE)]
+def _long(net: Network, text: bytes) -> np.ndarray:
+    """Pool one text piece by piece; a piece reads on so far as its own last chunk reaches."""
+    best = []
+    for a in range(0, max(len(text), 1), PIECE):
+        buf, spans = lay([text[a : a + PIECE + STRIDE * (TAPS - 1)]])
+        best.append(responses(net, buf)[: min(spans[1], PIECE // STRIDE)].max(axis=0))
+    return np.max(best, axis=0)
 
 
 def scores(net: Network, texts: list[bytes]) -> np.ndarray:
@@ -98,7 +100,7 @@ def scores(net: Network, texts: list[bytes]) -> np.ndarray:
         [
             pooled(net, texts[lo:hi])
             if hi - lo > 1
-            else np.max([pooled(net, [p])[0] for p in _pieces(texts[lo])], axis=0)[None]
+            else _long(net, texts[lo])[None]
             for lo, hi in W.groups(texts)
         ]
     )
