@@ -35,8 +35,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: that with the smallest doc_id."""
-    return _without(docs, near_dedup(docs), "near")
+    """One document of each near-duplicate component: that with the smallest doc_id.
+
+    Texts are linked from 80 percent of common five-word shingles on.
+    """
+    return _without(docs, near_dedup(docs, percent=80), "near")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@
    returns only links that join two components.  The components are then joined once more.
 
 No pair of a shared bucket is left out unless both lie in one component already.
-A pair is missed only if no band agrees (below 1e-6 at the threshold) or by MISS.
+A pair is missed only if no band agrees, or by the posterior; the number of bands follows
+from the threshold, so that either chance is below ``MISS`` for a pair at the threshold.
 A large family whose members are all just below the threshold costs comparisons in
 proportion to its square, spread over tasks, but no rows.
 """
@@ -38,7 +39,7 @@ from leakscope.llm.graph import components
 from leakscope.llm.shelf import Shelf
 
 SHINGLE = 5
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 20, 4  # bands at least
 CHECKS, BATCH = 64, 16
 MISS = 1e-6
 BLOCK = 128
@@ -54,27 +55,34 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     return np.unique(W.grams(words, min(SHINGLE, len(words))))
 
 
-@lru_cache(maxsize=1)
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    n = BANDS * ROWS + CHECKS
+def band_count(percent: int) -> int:
+    """Bands with which a pair at the threshold shares none in fewer than ``MISS`` cases."""
+    apart = 1 - (percent / 100) ** ROWS
+    if not 0 < apart < 1:
+        return BANDS
+    return max(BANDS, math.floor(math.log(MISS) / math.log(apart)) + 1)
+
+
+@lru_cache(maxsize=4)
+def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     seeds = W.mix(np.arange(1, 2 * n + 1, dtype=np.uint64), 0x5EED)
     return seeds[:n] | np.uint64(1), seeds[n:]
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, check signature) of each non-empty set."""
-    a, b = _multipliers()
+    a, b = _multipliers(bands * ROWS + CHECKS)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     flat = np.concatenate(sets)
     out = np.empty((len(a), len(sets)), np.uint64)
     for k in range(len(a)):
         out[k] = np.minimum.reduceat(flat * a[k] + b[k], starts)
-    mins = out[: BANDS * ROWS].reshape(BANDS, ROWS, len(sets))
-    keys = np.zeros((BANDS, len(sets)), np.uint64)
+    mins = out[: bands * ROWS].reshape(bands, ROWS, len(sets))
+    keys = np.zeros((bands, len(sets)), np.uint64)
     for r in range(ROWS):
         keys = W.mix(keys + mins[:, r], r + 1)
-    keys = W.mix(keys + np.arange(BANDS, dtype=np.uint64)[:, None])
-    checks = (out[BANDS * ROWS :] >> np.uint64(32)).astype(np.uint32)
+    keys = W.mix(keys + np.arange(bands, dtype=np.uint64)[:, None])
+    checks = (out[bands * ROWS :] >> np.uint64(32)).astype(np.uint32)
     return keys.T.view(np.int64), np.ascontiguousarray(checks.T)
 
 
@@ -90,29 +98,32 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
     return total(W.mix(s, 0xA11)), total(W.mix(s, 0xB22))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, sets in _sets(W.utf8(batch.column(2))):
-            full = [k for k, s in enumerate(sets) if len(s)]
-            prints = [_fingerprint(s) for s in sets]
-            bands: list = [None] * len(sets)
-            checks: list = [None] * len(sets)
-            if full:
-                keys, mins = signatures([sets[k] for k in full])
-                for k, row, own in zip(full, keys, mins, strict=True):
-                    bands[k], checks[k] = row, own.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(lo, len(sets)),
-                    batch.column(1).slice(lo, len(sets)),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([p[0] for p in prints], pa.int64()),
-                    pa.array([p[1] for p in prints], pa.int64()),
-                    pa.array(bands, pa.list_(pa.int64())),
-                    pa.array(checks, pa.binary()),
-                ],
-                ["doc_id", "source_key", "n_shingles", "set_a", "set_b", "bands", "checks"],
-            )
+def _sign(n_bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, sets in _sets(W.utf8(batch.column(2))):
+                full = [k for k, s in enumerate(sets) if len(s)]
+                prints = [_fingerprint(s) for s in sets]
+                bands: list = [None] * len(sets)
+                checks: list = [None] * len(sets)
+                if full:
+                    keys, mins = signatures([sets[k] for k in full], n_bands)
+                    for k, row, own in zip(full, keys, mins, strict=True):
+                        bands[k], checks[k] = row, own.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, len(sets)),
+                        batch.column(1).slice(lo, len(sets)),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([p[0] for p in prints], pa.int64()),
+                        pa.array([p[1] for p in prints], pa.int64()),
+                        pa.array(bands, pa.list_(pa.int64())),
+                        pa.array(checks, pa.binary()),
+                    ],
+                    ["doc_id", "source_key", "n_shingles", "set_a", "set_b", "bands", "checks"],
+                )
+
+    return run
 
 
 def _write_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +249,7 @@ class _Run:
             "bands array<long>, checks binary"
         )
         self.rows = self.shelf.put(
-            self.docs.mapInArrow(_sign, schema).withColumn("row", F.monotonically_increasing_id()),
+            self.docs.mapInArrow(_sign(band_count(percent)), schema).withColumn("row", F.monotonically_increasing_id()),
             "rows",
         )
         self.classes = self.shelf.put(

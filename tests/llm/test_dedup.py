@@ -137,6 +137,13 @@ def test_block_links_join_components_once():
             assert 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 90, 100])
+def test_bands_miss_few_pairs_at_the_threshold(percent):
+    assert (1 - (percent / 100) ** N.ROWS) ** N.band_count(percent) < N.MISS
+    sets = [N.shingle_set(N.W.word_hashes(t.encode())) for t in family(60, 3, 1)]
+    assert N.signatures(sets, N.band_count(percent))[0].shape == (len(sets), N.band_count(percent))
+
+
 def test_posterior_bounds_grow_with_the_evidence():
     least = N.least_matches(0.85)
     assert list(least) == sorted(least) and 0 < least[-1] < N.CHECKS * 0.85

@@ -49,6 +49,15 @@ def test_exact(stages):
     assert Counter(map(tuple, after)) == Counter(map(tuple, last.values()))
 
 
+@pytest.mark.parametrize("changed,kept", [(1, 1), (2, 2)])
+def test_near_links_from_80_percent_on(spark, changed, kept):
+    """One changed word of 60 leaves 51 of 61 shingles in common (0.84), two 46 of 66 (0.70)."""
+    words = [f"word{k}" for k in range(60)]
+    other = [f"new{k}" if k in (20, 40)[:changed] else w for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    assert [r.doc_id for r in P.near(spark, docs, SF).orderBy("doc_id").collect()] == [1, 2][:kept]
+
+
 def test_near(stages):
     _, before, after, *_ = stages[2]
     names, _ = near_brute([(r.doc_id, r.text) for r in before], 85)
