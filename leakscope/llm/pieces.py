@@ -29,6 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -471,25 +472,33 @@ def encode_pieces(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = C
     return small.unionByName(large.join(whole, "row").select("doc_id", "text", "n_chunks", "ids"))
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``W.SLICE`` bytes of text in the second column."""
+    sizes = pc.binary_length(batch.column(1)).to_pylist()
+    for lo, hi in W.groups([range(n) for n in sizes]):
+        yield batch.slice(lo, hi - lo)
+
+
 def check_pieces(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_chunks, n_ids, ids_crc32, round_trip): whether decoding gives the text again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for b in batches:
-            _, texts, _, raw = (c.to_pylist() for c in b.columns)
-            ids = [np.frombuffer(x, np.int32) for x in raw]
-            same = [vocab.decode(x) == t.replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    b.column(2),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in raw], pa.int64()),
-                    pa.array(same),
-                ],
-                ["doc_id", "n_chunks", "n_ids", "ids_crc32", "round_trip"],
-            )
+        for whole in batches:
+            for b in slices(whole):
+                _, texts, _, raw = (c.to_pylist() for c in b.columns)
+                ids = [np.frombuffer(x, np.int32) for x in raw]
+                same = [vocab.decode(x) == t.replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0),
+                        b.column(2),
+                        pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+                        pa.array(same),
+                    ],
+                    ["doc_id", "n_chunks", "n_ids", "ids_crc32", "round_trip"],
+                )
 
     return encoded.select("doc_id", "text", "n_chunks", "ids").mapInArrow(
         run, "doc_id long, n_chunks long, n_ids long, ids_crc32 long, round_trip boolean"

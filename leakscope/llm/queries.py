@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from leakscope.llm.exact_dedup import exact_dedup
+from leakscope.llm.merges import encode_merges
 from leakscope.llm.near_dedup import near_dedup
 from leakscope.llm.packing import pack_documents
-from leakscope.llm.pieces import check_pieces, encode_pieces
+from leakscope.llm.pieces import check_pieces
 from leakscope.llm.quality_cnn import quality_network, score_quality
 from leakscope.llm.quality_rules import quality_rules
 from leakscope.llm.registry import ORACLES, QUERIES, documents, query
@@ -108,4 +109,4 @@ def _(spark, sf_dir):
 
 @query("op4_piece_scan")
 def _(spark, sf_dir):
-    return check_pieces(encode_pieces(documents(spark, sf_dir), PIECES), PIECES)
+    return check_pieces(encode_merges(documents(spark, sf_dir), PIECES), PIECES)
