@@ -1,19 +1,19 @@
-"""Substring dedup by relative Lempel-Ziv parsing against all earlier text.
+"""Substring dedup by an index of windows over all earlier text.
 
-Every document is parsed against every other one (the reference blocks), and
-against its own earlier part:
+The windows of every document are looked up in those of every other one, and of
+its own earlier part.  This stands in for a relative Lempel-Ziv parse:
 
 1. Anchors.  In each window of ``window`` words the smallest hash of an ``ANCHOR``-word
    gram is its anchor; equal windows have equal anchors.  About one word in
    seven starts one.  Anchors that occur once in the corpus cannot lie in a repeated
    window, so only the words around repeated anchors go on.
 2. Index.  Each window around a repeated anchor is looked up by a 128-bit
-   fingerprint; its reference is the first place where it starts.
-3. Factors.  A document is parsed from left to right.  A factor starts at a window
-   that has a reference and grows by a word as long as the next window has one too;
-   where the reference block changes, the factor boundary is checked by the lookup
-   of the window that straddles it.  So a factor is at least a window long, and no
-   window across a boundary is missed.  Words in factors are removed.
+   fingerprint; the first place where it starts is kept, every other one has a reference.
+3. Factors.  Windows with a reference that overlap or touch are merged to one span.
+   A span may hold passages of several documents; reference places are not joined back,
+   as no result has them.  A parse would cut such a span where its reference changes
+   and could miss a window across a cut; here each window is looked up on its own.
+   Words in spans are removed.
 
 Documents with the same words are parsed once: the first is the reference of the
 others, which are one factor each if they have a window at all.
