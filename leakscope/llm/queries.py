@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leakscope.llm.exact_dedup import exact_dedup
 from leakscope.llm.merges import encode_merges
+from leakscope.llm.merkle import fold, merkle_manifest, proof_digest
 from leakscope.llm.near_dedup import near_dedup
 from leakscope.llm.packing import pack_documents
 from leakscope.llm.pieces import check_pieces
@@ -110,3 +111,19 @@ def _(spark, sf_dir):
 @query("op4_piece_scan")
 def _(spark, sf_dir):
     return check_pieces(encode_merges(documents(spark, sf_dir), PIECES), PIECES)
+
+
+@query("op11_interval_manifest")
+def _(spark, sf_dir):
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle_manifest(documents(spark, sf_dir), tampered)
+    folded = fold(F.col("changed_leaf"), F.col("path"))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        proof_digest(F.col("path")).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
