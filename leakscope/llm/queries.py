@@ -19,6 +19,7 @@ from leakscope.llm.simhash import simhash_dedup
 from leakscope.llm.substring_dedup import substring_dedup
 from leakscope.llm.token_files import token_files
 from leakscope.llm.toxicity import score_toxicity, toxicity_model
+from leakscope.llm.whitening import whiten
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -220,3 +221,21 @@ def _(spark, sf_dir):
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+@query("op13_whitening")
+def _(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    edge = F.lit(2.0**62)  # no long holds more; entries of embeddings are nowhere near
+    scaled = lambda c: F.floor(F.greatest(F.least(c * 1024, edge), -edge))
+    found = whiten(vectors, lambda c: scaled(c) + 100_000, components=8)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "own")
+    return found.select("id", "n", "deviation", "identity_error", each).select(
+        F.col("id").alias("vec_id"),
+        (F.col("k") + 1).alias("component"),
+        "n",
+        "deviation",
+        "own.whitened",
+        "own.explained",
+        "identity_error",
+    )
