@@ -60,7 +60,7 @@ def test_near_links_from_80_percent_on(spark, changed, kept):
 
 def test_near(stages):
     _, before, after, *_ = stages[2]
-    names, _ = near_brute([(r.doc_id, r.text) for r in before], 85)
+    names, _ = near_brute([(r.doc_id, r.text) for r in before], 80)
     keep = {low for _, _, low in names}
     assert Counter(map(tuple, after)) == Counter(tuple(r) for r in before if r.doc_id in keep)
 

@@ -14,6 +14,8 @@ COLUMNS = {
     "op7_exact_dedup": "doc_id keep_id group_size kept text_sha256",
     "op8_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op9_substring_dedup": "doc_id n_words n_removed kept_sha256",
+    "op11_interval_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op12_simhash_dedup": "doc_id fingerprint component_id",
 }
 
 
