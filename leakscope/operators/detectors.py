@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope.functions import arrays as A
+from leakscope.functions import saturation
 
 
 def with_grid(df: DataFrame, grid: Sequence[Mapping[str, object]]) -> DataFrame:
@@ -205,61 +207,23 @@ def fit_linear(curve: Column) -> Column:
     return F.try_divide(xy, xx)
 
 
-# Search of the decay rate: log-spaced first grid, then narrower grids around the best.
-RATE_LOW, RATE_HIGH, RATE_STEPS, RATE_ROUNDS = 1e-5, 10.0, 60, 5
-
-
-def _search_sql() -> str:
-    """SQL: the rate search over ``curve`` as one fold over the rounds.
-
-    The state travels as a lambda variable, so no round is evaluated twice.
-    """
-    ratio = RATE_HIGH / RATE_LOW
-    widths, width = [], ratio ** (1 / RATE_STEPS)
-    for _ in range(RATE_ROUNDS):
-        widths.append(f"{width!r}D")
-        width = width**0.15
-    wide = (
-        f"transform(sequence(0, {RATE_STEPS}), "
-        f"i -> {RATE_LOW!r}D * pow({ratio!r}D, i / {float(RATE_STEPS)!r}D))"
-    )
-    narrow = (
-        "transform(sequence(-10, 10), "
-        f"i -> s.b * pow(element_at(array({', '.join(widths)}), r), i / 10D))"
-    )
-    g = "(-(1 - exp(-b * acc.x)))"
-    sums = (
-        "aggregate(curve, named_struct('x', 0D, 'gy', 0D, 'gg', 0D), "
-        f"(acc, y) -> named_struct('x', acc.x + 1, 'gy', acc.gy + {g} * y, 'gg', acc.gg + {g} * {g}))"
-    )
-    # gy^2 / gg is the part of the squared error the scale removes: larger is better.
-    scored = (
-        f"transform(transform(if(r = 0, {wide}, {narrow}), b -> named_struct('b', b, 'f', {sums})), "
-        "t -> named_struct('loss', -coalesce(try_divide(t.f.gy * t.f.gy, t.f.gg), 0D), 'b', t.b, "
-        "'a', try_divide(t.f.gy, t.f.gg), 'first', if(r = 0, t.b, s.first)))"
-    )
-    start = (
-        "named_struct('loss', 0D, 'b', 0D, 'a', cast(null as double), 'first', 0D)"
-    )
-    return (
-        f"aggregate(sequence(0, {RATE_ROUNDS}), {start}, (s, r) -> array_min({scored}))"
-    )
+def _saturation(curves: pd.Series) -> pd.DataFrame:
+    a, b = saturation.fit(list(curves))
+    return pd.DataFrame({"A_value": a, "B_value": b})
 
 
 def fit_exponential(df: DataFrame) -> DataFrame:
     """Adds A_value and B_value of ``-a (1 - exp(-b x))`` fitted to ``curve``.
 
-    For a fixed b the best a is a ratio of two sums, so only b is searched; all
-    of it is row-local. A curve that is straight or convex gets the lowest rate,
-    where the fit is a line, and one that drops at once the highest. Null only
-    when the curve has fewer than two points or is flat.
+    The rate is unbounded and signed: negative for a curve that falls faster and
+    faster, 0 for a straight one, whose A_value is null as no finite scale gives a
+    line. Both are null where the curve is null, has fewer than two points, has a
+    point that is null or not finite, or is zero everywhere.
     """
-    inside = "size(curve) >= 2 and _best.a is not null and _best.loss < 0"
-    return df.withColumn("_best", F.expr(_search_sql())).selectExpr(
-        *[f"`{c}`" for c in df.columns],
-        f"if({inside}, _best.a, null) as A_value",
-        f"if({inside}, _best.b, null) as B_value",
-    )
+    fit = F.pandas_udf(_saturation, "A_value double, B_value double")
+    fitted = fit(F.transform("curve", lambda y: F.coalesce(y, F.lit(float("nan")))))
+    found = {c: F.nullif(F.col("_fit")[c], F.lit(float("nan"))) for c in ("A_value", "B_value")}
+    return df.withColumn("_fit", fitted).withColumns(found).drop("_fit")
 
 
 def curve_features(curve: DataFrame, fit: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -297,37 +299,59 @@ lin AS (SELECT ID, sum(pos * norm) / sum(pos * pos) AS m FROM normt GROUP BY ID)
 )
 
 
-def _fit_rounds() -> str:
-    """The rate search as one table expression per round."""
-    low, high, steps = D.RATE_LOW, D.RATE_HIGH, D.RATE_STEPS
-    ratio = high / low
-    parts = [
-        f"g0 AS (SELECT ID, i, {low!r}::DOUBLE * pow({ratio!r}::DOUBLE, i / {float(steps)!r}::DOUBLE) AS b "
-        f"FROM (SELECT DISTINCT ID FROM normt) CROSS JOIN (SELECT unnest(range(0, {steps + 1})) AS i))"
-    ]
-    width = ratio ** (1 / steps)
-    for r in range(D.RATE_ROUNDS + 1):
-        parts.append(
-            f"""t{r} AS (SELECT g.ID, g.i, g.b, sum(-(1 - exp(-g.b * pos)) * norm) AS gy,
-  sum((1 - exp(-g.b * pos)) * (1 - exp(-g.b * pos))) AS gg, count(*) AS n FROM g{r} g JOIN normt USING (ID) GROUP BY g.ID, g.i, g.b),
-b{r} AS (SELECT ID, i, b, gy / nullif(gg, 0) AS a, coalesce(gy * gy / nullif(gg, 0), 0) AS gain, n FROM t{r}
-  QUALIFY row_number() OVER (PARTITION BY ID ORDER BY coalesce(gy * gy / nullif(gg, 0), 0) DESC, b) = 1)"""
-        )
-        if r < D.RATE_ROUNDS:
-            parts.append(
-                f"g{r + 1} AS (SELECT ID, j AS i, b * pow({width!r}::DOUBLE, j / 10.0::DOUBLE) AS b FROM b{r} "
-                f"CROSS JOIN (SELECT unnest(range(-10, 11)) AS j))"
-            )
-            width = width**0.15
-    last = D.RATE_ROUNDS
-    parts.append(
-        f"""fit AS (SELECT b{last}.ID, CASE WHEN b{last}.gain > 0 AND b{last}.n >= 2 THEN b{last}.a END AS A_value,
-  CASE WHEN b{last}.gain > 0 AND b{last}.n >= 2 THEN b{last}.b END AS B_value FROM b{last})"""
-    )
-    return ",\n".join(parts)
+# Half the spacing of doubles at 1 is exp(-53 ln 2): steeper curves are steps in double precision.
+_STEEP = "(53 * ln(2::DOUBLE))"
+_DOWN = "(least(b, 0) * (m - 1))"  # a scale that keeps exponents below zero
+
 
+def _factorial(j: int) -> str:
+    return f"{math.factorial(j)}::DOUBLE"
+
+
+# phi = (1 - exp(-b x)) / b and its slope in b, by their power series where b x is small.
+_PHI = (
+    f"CASE WHEN abs(b * pos) < 0.1 THEN exp({_DOWN}) * pos * ("
+    + " + ".join(f"pow(-b * pos, {j}) / {_factorial(j + 1)}" for j in range(10))
+    + f") ELSE (exp({_DOWN}) - exp({_DOWN} - b * pos)) / b END"
+)
+_SLOPE = (
+    f"CASE WHEN abs(b * pos) < 0.1 THEN -exp({_DOWN}) * pos * pos * ("
+    + " + ".join(f"pow(-b * pos, {j}) / ({_factorial(j)} * {j + 2})" for j in range(10))
+    + f") ELSE (exp({_DOWN} - b * pos) * (1 + b * pos) - exp({_DOWN})) / (b * b) END"
+)
 
-FITS = (*CURVES, _fit_rounds())
+# A dense scan of signed rates, then halving between the neighbours of the best one.
+FITS = (
+    *CURVES,
+    f"""shape AS (SELECT ID, count(*) AS m, max(pos) AS last, sum(pos * norm) ** 2 / nullif(sum(pos * pos), 0) AS line,
+  sum(norm) FILTER (pos > 0) AS body, max(norm) FILTER (pos = m1) AS tail, sum(norm * norm) AS yy
+  FROM (SELECT *, max(pos) OVER (PARTITION BY ID) AS m1 FROM normt) GROUP BY ID),
+scan AS (SELECT ID, m, sgn * exp(ln(0.003 / (m - 1)) + (ln({_STEEP}) - ln(0.003 / (m - 1))) * k / 300) AS b
+  FROM shape, (SELECT unnest(range(0, 301)) AS k), (SELECT unnest([-1, 1]) AS sgn) WHERE m > 1),
+scored AS (SELECT ID, b, sum(p * norm) ** 2 / sum(p * p) AS gain FROM
+  (SELECT ID, b, norm, {_PHI} AS p FROM scan JOIN normt USING (ID)) GROUP BY ID, b
+  UNION ALL SELECT ID, 0, line FROM shape WHERE m > 1),
+sides AS (SELECT *, coalesce(lag(b) OVER w, b) AS lo, coalesce(lead(b) OVER w, b) AS hi FROM scored WINDOW w AS (PARTITION BY ID ORDER BY b)),
+peak AS (SELECT ID, max_by(lo, gain) AS lo, max_by(hi, gain) AS hi FROM sides GROUP BY ID),
+halved(ID, step, lo, hi) AS (SELECT ID, 0, lo, hi FROM peak
+  UNION ALL
+  SELECT ID, step + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END FROM (
+    SELECT ID, step, lo, hi, b AS mid, sum(p * norm) * (sum(d * norm) * sum(p * p) - sum(p * norm) * sum(p * d)) > 0 AS up FROM (
+      SELECT *, {_PHI} AS p, {_SLOPE} AS d FROM (
+        SELECT h.ID, step, lo, hi, (lo + hi) / 2 AS b, m, pos, norm FROM halved h JOIN shape USING (ID) JOIN normt USING (ID) WHERE step < 90))
+    GROUP BY ID, step, lo, hi, b)),
+inner_fit AS (SELECT ID, b, sum(p * norm) ** 2 / sum(p * p) AS gain FROM
+  (SELECT ID, b, norm, {_PHI} AS p FROM (SELECT ID, (lo + hi) / 2 AS b FROM halved WHERE step = 90) JOIN shape USING (ID) JOIN normt USING (ID))
+  GROUP BY ID, b),
+rate AS (SELECT ID, m, CASE WHEN yy = 0 THEN NULL WHEN line >= top THEN 0 WHEN body * body / (m - 1) >= top THEN {_STEEP}
+  WHEN tail * tail >= top THEN -{_STEEP} ELSE b END AS b
+  FROM (SELECT *, greatest(gain, line, body * body / (m - 1), tail * tail) * (1 - 1e-12) AS top FROM shape JOIN inner_fit USING (ID))),
+fit AS (SELECT ID, CASE WHEN b <> 0 THEN a END AS A_value, b AS B_value FROM shape LEFT JOIN (
+  SELECT ID, b, -sum(p * norm) / sum(p * p) * exp({_DOWN}) / b AS a FROM
+    (SELECT ID, b, m, norm, {_PHI} AS p FROM rate JOIN normt USING (ID)) GROUP BY ID, b, m) USING (ID))""",
+)
+# Six significant digits.
+SIX = "CAST(printf('%.5e', {0}) AS DOUBLE)".format
 
 
 @query(
@@ -352,49 +376,53 @@ def fit_linear(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(fitted, ["ID"], 6, "m_value")
 
 
+def _fitted(curves: DataFrame) -> DataFrame:
+    """Exponential fits to six significant digits."""
+    both = D.fit_exponential(curves)
+    return both.withColumns(
+        {c: F.format_string("%.5e", c).cast("double") for c in ("A_value", "B_value")}
+    ).drop("curve")
+
+
 @query(
     "fit_exponential",
-    S.with_(*FITS) + "SELECT ID, round(A_value, 3) AS A_value, round(B_value, 4) AS B_value FROM fit",
+    S.with_(*FITS, recursive=True) + f"SELECT ID, {SIX('A_value')} AS A_value, {SIX('B_value')} AS B_value FROM fit",
 )
 def fit_exponential(spark: SparkSession, sf: str) -> DataFrame:
-    fitted = D.curve_features(D.curves(Q.scores(spark, sf)), "exponential")
-    return fitted.select("ID", F.round("A_value", 3).alias("A_value"), F.round("B_value", 4).alias("B_value"))
+    return _fitted(D.curves(Q.scores(spark, sf)))
 
 
 @query(
     "curve_features",
-    S.with_(*FITS)
-    + """SELECT ID, round(m, 6) AS m_value, coalesce(round(A_value, 3), 0) AS A_value, coalesce(round(B_value, 4), 0) AS B_value
+    S.with_(*FITS, recursive=True)
+    + f"""SELECT ID, round(m, 6) AS m_value, coalesce({SIX('A_value')}, 0) AS A_value, coalesce({SIX('B_value')}, 0) AS B_value
   FROM fit JOIN lin USING (ID)""",
 )
 def curve_features(spark: SparkSession, sf: str) -> DataFrame:
-    both = D.fit_exponential(
-        D.curves(Q.scores(spark, sf)).withColumn("m_value", D.fit_linear(F.col("curve")))
-    )
-    return D.clean_features(both, ["A_value", "B_value"]).select(
-        "ID", F.round("m_value", 6).alias("m_value"), F.round("A_value", 3).alias("A_value"),
-        F.round("B_value", 4).alias("B_value"),
-    )
+    linear = D.curves(Q.scores(spark, sf)).withColumn("m_value", F.round(D.fit_linear(F.col("curve")), 6))
+    return D.clean_features(_fitted(linear), ["A_value", "B_value"])
 
 
 @query(
     "tune_curve",
     S.with_(
         *FITS, S.LABELS,
-        "feat2 AS (SELECT 0 AS grid_pos, ID, y, coalesce(A_value, 0) AS a, coalesce(B_value, 0) AS b FROM fit JOIN lab USING (ID))",
+        f"""feat2 AS (SELECT 0 AS grid_pos, ID, y, coalesce({SIX('A_value')}, 0) AS a, coalesce({SIX('B_value')}, 0) AS b
+  FROM fit JOIN lab USING (ID))""",
         S.cv_pair(),
+        recursive=True,
     )
-    + """SELECT grid_pos, round(max(ta) FILTER (f = -1), 2) AS global_threshold_1, round(max(tb) FILTER (f = -1), 3) AS global_threshold_2,
+    + f"""SELECT grid_pos, {SIX('round(max(ta) FILTER (f = -1), 6)')} AS global_threshold_1, {SIX('round(max(tb) FILTER (f = -1), 6)')} AS global_threshold_2,
   round(avg(train_acc) FILTER (f >= 0), 6) AS mean_cvacc_train, round(avg(test_acc) FILTER (f >= 0), 6) AS mean_cvacc_test
   FROM cvr GROUP BY grid_pos""",
 )
 def tune_curve(spark: SparkSession, sf: str) -> DataFrame:
-    fitted = D.curve_features(D.curves(Q.scores(spark, sf)), "exponential")
+    fitted = _fitted(D.curves(Q.scores(spark, sf)))
     features = D.clean_features(fitted, ["A_value", "B_value"]).withColumn("grid_pos", F.lit(0))
     tuned = tune_pair(_with_label(spark, sf, features))
     return tuned.select(
-        "grid_pos", F.round("global_threshold_1", 2).alias("global_threshold_1"),
-        F.round("global_threshold_2", 3).alias("global_threshold_2"),
+        "grid_pos",
+        *[F.format_string("%.5e", c).cast("double").alias(c) for c in ("global_threshold_1", "global_threshold_2")],
         "mean_cvacc_train", "mean_cvacc_test",
     )
 

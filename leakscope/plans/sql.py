@@ -58,8 +58,8 @@ a AS (SELECT conv_id, arg_min(text, turn) AS SOLUTION FROM conversations WHERE r
 qa AS (SELECT q.conv_id, PROBLEM, SOLUTION FROM q JOIN a USING (conv_id))"""
 
 
-def with_(*parts: str) -> str:
-    return "WITH " + ",\n".join(parts) + "\n"
+def with_(*parts: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
 
 
 def even(length: str, n: int | str, count: int, offset: int) -> str:

@@ -5,8 +5,11 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from leakscope.functions import saturation
 from leakscope.functions.probability import mcnemar_exact, normal_two_sided
 from leakscope.operators import detectors as D
 from leakscope.operators import metrics as M
@@ -128,13 +131,51 @@ def test_fits_recover_generated_curves(spark):
     for i, (a, b) in enumerate([(2.3, 0.015), (1.1, 0.2), (4.0, 0.004)]):
         assert got[str(i)]["A_value"] == pytest.approx(a, rel=1e-4)
         assert got[str(i)]["B_value"] == pytest.approx(b, rel=1e-4)
-    assert got["flat"]["A_value"] is None and got["short"]["A_value"] is None
+    for name in ("flat", "short"):
+        assert got[name]["A_value"] is None and got[name]["B_value"] is None
+    assert got["line"]["A_value"] is None and got["line"]["B_value"] == 0
     slope = {r["ID"]: r["m_value"] for r in D.curve_features(df, "linear").collect()}
     assert slope["line"] == pytest.approx(-0.01)
     with pytest.raises(ValueError):
         D.curve_features(df, "cubic")
 
 
+def test_fit_of_signed_and_steep_rates(spark):
+    """Negative, tiny, large and unbounded rates; rows that cannot be fitted stay with nulls."""
+    want = {"rising": (-0.5, -0.05), "steep": (3.0, 5.0), "long": (1000.0, 1e-6), "fast": (1e-3, -0.4)}
+    rows = [
+        (name, [-a * -math.expm1(-b * x) for x in range(40)]) for name, (a, b) in want.items()
+    ]
+    rows += [("drop", [0.0] + [-1.0] * 20), ("end", [0.0] * 20 + [-3.0]), ("null", None), ("hole", [0.0, None, 1.0])]
+    rows += [("nan", [0.0, math.nan, 1.0]), ("two", [0.0, -1.0]), ("none", [])]
+    df = spark.createDataFrame(rows, "ID string, curve array<double>")
+    got = {r["ID"]: (r["A_value"], r["B_value"]) for r in D.fit_exponential(df).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for name, (a, b) in want.items():
+        assert got[name] == (pytest.approx(a, rel=1e-6), pytest.approx(b, rel=1e-6))
+    assert got["drop"] == (pytest.approx(1), pytest.approx(53 * math.log(2)))
+    assert got["end"][1] == pytest.approx(-53 * math.log(2))
+    assert got["two"] == (None, 0)
+    for name in ("null", "hole", "nan", "none"):
+        assert got[name] == (None, None)
+
+
+@given(st.integers(0, 10**6), st.integers(3, 80))
+@settings(max_examples=40, deadline=None)
+def test_no_rate_of_a_wide_grid_fits_better(seed, length):
+    rng = np.random.default_rng(seed)
+    y = np.concatenate([[0], np.cumsum(-rng.exponential(size=length - 1))]) / length
+    a, b = (v[0] for v in saturation.fit([y]))
+    x = np.arange(length)
+    model = -a * -np.expm1(-b * x) if b else x * (x @ y) / (x @ x)
+    rates = np.exp(np.linspace(np.log(1e-10), np.log(8), 3000))[:, None]
+    best = np.inf
+    for g in (np.expm1(-rates * x), np.expm1(rates * x) / np.expm1(rates * x[-1])):
+        scale = (g @ y) / (g * g).sum(axis=1)
+        best = min(best, ((y - scale[:, None] * g) ** 2).sum(axis=1).min())
+    assert ((y - model) ** 2).sum() <= best * (1 + 1e-9) + 1e-15
+
+
 def test_missing_n_is_an_error(spark):
     df = spark.sql(
         "select 'a' ID, map(1, named_struct('TARGET_NGRAMS', array(array(1)), "
