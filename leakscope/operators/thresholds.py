@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope.functions.order import clean_number
 from leakscope.operators.ordering import Laid, hashed_rank, join_null_safe, lay_out, running
+from leakscope.operators.pyramid import best_corner
 from leakscope.session import settle
 
 GLOBAL_FOLD = -1
@@ -293,80 +292,6 @@ def _axis(pairs: DataFrame, x: str, by: Sequence[str], upper: bool):
     ).selectExpr(*keys, "x", "if(m = 0, 1L, reach) as reach")
 
 
-BLOCK = 256
-
-
-def _sweep(own: pd.DataFrame, base: pd.DataFrame, first: int, last: int) -> tuple[int, int, int]:
-    """Best (gain, i, j) for i in [first, last].
-
-    ``own`` holds cells (ia, ib, w) with ia in the block or one past it; ``base``
-    holds (ib, w) of all later cells. Gain(i, j) sums w over ia > i, ib <= j.
-    Between two ib values of the block the base prefix alone decides, so each
-    stretch is reduced to its first maximum once.
-    """
-    cells = base.groupby("ib", sort=True)["w"].sum()
-    marks = np.unique(np.concatenate([[0], cells.index.to_numpy(), own["ib"].to_numpy()]))
-    level = np.zeros(len(marks))
-    level[np.searchsorted(marks, cells.index.to_numpy())] = cells.to_numpy()
-    level = np.cumsum(level)
-    knots = np.unique(np.concatenate([[0], own["ib"].to_numpy()]))
-    cut = np.searchsorted(marks, knots)
-    top = np.maximum.reduceat(level, cut)
-    stretch = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(level))))
-    hit = np.flatnonzero(level == top[stretch])
-    _, where = np.unique(stretch[hit], return_index=True)
-    spot = marks[hit[where]]
-    gain = np.zeros(len(knots))
-    best = None
-    by_row = {ia: g for ia, g in own.groupby("ia")}
-    for i in range(last, first - 1, -1):
-        group = by_row.get(i + 1)
-        if group is not None:
-            np.add.at(gain, np.searchsorted(knots, group["ib"].to_numpy()), group["w"].to_numpy())
-        value = top + np.cumsum(gain)
-        at = int(np.argmax(value))
-        found = (int(round(value[at])), i, int(spot[at]))
-        if best is None or found[0] >= best[0]:
-            best = found
-    return best
-
-
-# Up to this many distinct (group, a, b) rows, each group is solved in one task.
-LOCAL_PAIRS = 200_000
-
-
-def _candidate_list(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
-    values, at = np.unique(x, return_inverse=True)
-    pos = np.bincount(at, weights=y)
-    neg = np.bincount(at, weights=n - y)
-    change = (pos[:-1] > 0) != (neg[1:] == 0)
-    found = np.concatenate(
-        [((values[:-1] + values[1:]) / 2)[change], values[(pos > 0) & (neg > 0)]]
-    )
-    return np.sort(found) if len(found) else np.array([values[0] - 0.1, values[-1] + 0.1])
-
-
-def _solve_group(pdf: pd.DataFrame) -> tuple[float, float, float]:
-    """The same search for one small group held in memory."""
-    a, b = (pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in "ab")
-    pos, n = pdf["pos"].to_numpy(), pdf["n"].to_numpy()
-    has_a, has_b = ~np.isnan(a), ~np.isnan(b)
-    # An axis without values never fires; its threshold is null.
-    none = np.array([np.nan])
-    ta = _candidate_list(a[has_a], pos[has_a], n[has_a]) if has_a.any() else none
-    tb = _candidate_list(b[has_b], pos[has_b], n[has_b]) if has_b.any() else none
-    cells = pd.DataFrame(
-        {
-            "ia": np.where(has_a, np.searchsorted(ta, a, side="right"), len(ta)),
-            "ib": np.where(has_b, np.searchsorted(tb, b, side="left"), 0),
-            "w": pdf["w"].to_numpy(),
-        }
-    )
-    cells = cells[(cells["ia"] > 0) & (cells["ib"] < len(tb))]
-    gain, i, j = _sweep(cells, cells.iloc[:0], 0, len(ta) - 1)
-    return float(ta[i]), float(tb[j]), float(pos.sum() + gain) / float(n.sum())
-
-
 def best_pair(
     df: DataFrame, a: str, b: str, y: str, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -374,123 +299,67 @@ def best_pair(
 
     Exact over the full product of candidates, first pair winning ties. A null or
     NaN on an axis never fires there and is counted; an axis without any value
-    has a null threshold. Small inputs are solved group by group. Beyond that,
-    rows shrink to counted index cells; blocks of candidates on the first axis
-    run in parallel, each fed the column sums of the blocks behind it. No pair
-    of candidates is ever emitted as a row.
+    has a null threshold. Rows shrink to counted cells of candidate indexes, which
+    a count pyramid searches; no pair of candidates is emitted as a row.
     """
-    src, keys = _keyed(df, by)
-    src = src.select(
-        *keys,
-        clean_number(F.col(a).cast("double")).alias("a"),
-        clean_number(F.col(b).cast("double")).alias("b"),
-        F.col(y).cast("int").alias("y"),
-    )
-    pairs = settle(
-        src.groupBy(*keys, "a", "b").agg(
+    src, names = _keyed(df, by)
+    keys = [f"k{i}" for i in range(len(names))]  # apart from the columns below
+    counted = settle(
+        src.select(
+            *[F.col(c).alias(k) for c, k in zip(names, keys, strict=True)],
+            clean_number(F.col(a).cast("double")).alias("a"),
+            clean_number(F.col(b).cast("double")).alias("b"),
+            F.col(y).cast("int").alias("y"),
+        )
+        .groupBy(*keys, "a", "b")
+        .agg(
             F.sum(F.lit(1) - 2 * F.col("y")).alias("w"),
             F.sum("y").alias("pos"),
             F.count(F.lit(1)).alias("n"),
         )
     )
-    if pairs.count() <= LOCAL_PAIRS:
-        types = dict(pairs.dtypes)
-        schema = ", ".join([f"`{c}` {types[c]}" for c in keys] + ["ta double", "tb double", "acc double"])
-
-        def solve_small(pdf: pd.DataFrame) -> pd.DataFrame:
-            head = pdf.iloc[0]
-            return pd.DataFrame(
-                [[*(head[c] for c in keys), *_solve_group(pdf)]],
-                columns=[*keys, "ta", "tb", "acc"],
-            )
-
-        return pairs.groupBy(*keys).applyInPandas(solve_small, schema).select(*by, "ta", "tb", "acc")
-    list_a, reach_a = _axis(pairs.where("a is not null"), "a", keys, upper=False)
-    list_b, reach_b = _axis(pairs.where("b is not null"), "b", keys, upper=True)
-    groups = pairs.select(*keys).distinct()
+    totals = settle(
+        counted.groupBy(*keys)
+        .agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+        .withColumn("g", F.monotonically_increasing_id())
+    )
+    pairs = settle(join_null_safe(counted, totals.select(*keys, "g"), keys).drop(*keys))
+    list_a, reach_a = _axis(pairs.where("a is not null"), "a", ["g"], upper=False)
+    list_b, reach_b = _axis(pairs.where("b is not null"), "b", ["g"], upper=True)
 
     def with_empty(found: DataFrame) -> DataFrame:
         """Groups without a value on the axis get one candidate that never fires."""
-        bare = groups.join(found, keys, "left_anti").selectExpr(
-            *[f"`{c}`" for c in keys], "0L as idx", "cast(null as double) as t"
+        bare = totals.join(found, "g", "left_anti").selectExpr(
+            "g", "0L as idx", "cast(null as double) as t"
         )
         return found.unionByName(bare)
 
     list_a, list_b = with_empty(list_a), with_empty(list_b)
-    cells = join_null_safe(
-        join_null_safe(
-            pairs, reach_a.withColumnsRenamed({"x": "a", "reach": "ia"}), [*keys, "a"], "left"
-        ),
-        reach_b.withColumnsRenamed({"x": "b", "reach": "ib"}),
-        [*keys, "b"],
-        "left",
-    )
-    totals = pairs.groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    sizes = list_a.groupBy(*keys).agg(F.count(F.lit(1)).alias("na")).join(
-        list_b.groupBy(*keys).agg(F.count(F.lit(1)).alias("nb")), keys
-    )
-    # Index nb means "no candidate reaches it": such cells stay out of every sum.
-    grid = (
-        cells.join(sizes, keys)
+    sizes = settle(
+        list_a.groupBy("g").agg(F.count(F.lit(1)).alias("na"))
+        .join(list_b.groupBy("g").agg(F.count(F.lit(1)).alias("nb")), "g")
+    )
+    cells = (
+        pairs.join(reach_a.withColumnsRenamed({"x": "a", "reach": "ia"}), ["g", "a"], "left")
+        .join(reach_b.withColumnsRenamed({"x": "b", "reach": "ib"}), ["g", "b"], "left")
+        .join(sizes, "g")
         .withColumns({"ia": F.coalesce("ia", "na"), "ib": F.coalesce("ib", F.lit(0))})
-        .where(F.col("ib") < F.col("nb"))
-        .groupBy(*keys, "ia", "ib")
+        # A cell below all candidates or above all counts for none of them.
+        .where("ia > 0 and ib < nb")
+        .groupBy("g", "ia", "ib")
         .agg(F.sum("w").alias("w"))
     )
-    # ia = 0 is never above a candidate; ia belongs to the block of candidate ia - 1.
-    own = grid.where("ia > 0").select(
-        *keys, F.floor((F.col("ia") - 1) / BLOCK).alias("block"), "ia", "ib", "w"
-    )
-    strips = own.groupBy(*keys, "block", "ib").agg(F.sum("w").alias("w"))
-    behind = strips.where("block > 0").select(
-        *keys,
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block") - 1)).alias("block"),
-        F.lit(None).cast("bigint").alias("ia"),
-        "ib",
-        "w",
-    )
-    frame = sizes.select(
-        *keys,
-        F.explode(
-            F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("na") - 1) / BLOCK))
-        ).alias("block"),
-        (F.col("na") - 1).alias("ia"),
-        F.lit(None).cast("bigint").alias("ib"),
-        F.lit(None).cast("bigint").alias("w"),
-    )
-    work = own.unionByName(behind).unionByName(frame)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        block = int(head["block"])
-        last_candidate = int(pdf.loc[pdf["ib"].isna(), "ia"].iloc[0])
-        body = pdf[pdf["ib"].notna()]
-        base = body[body["ia"].isna()].astype({"ib": "int64", "w": "int64"})
-        mine = body[body["ia"].notna()].astype({"ia": "int64", "ib": "int64", "w": "int64"})
-        first = block * BLOCK
-        last = min(first + BLOCK - 1, last_candidate)
-        gain, i, j = _sweep(mine, base, first, last)
-        return pd.DataFrame([[*(head[k] for k in keys), gain, i, j]], columns=out_names)
-
-    out_names = [*keys, "gain", "i", "j"]
-    types = dict(work.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["gain long", "i long", "j long"])
-    blocks = work.groupBy(*keys, "block").applyInPandas(solve, schema)
-    winner = blocks.groupBy(*keys).agg(
-        F.min(F.struct((-F.col("gain")).alias("loss"), "i", "j")).alias("best")
-    ).select(*keys, F.col("best.loss").alias("loss"), F.col("best.i").alias("i"), F.col("best.j").alias("j"))
+    winner = best_corner(settle(cells), sizes)
     out = (
-        winner.join(
-            list_a.withColumnsRenamed({"idx": "i", "t": "ta"}), [*keys, "i"]
-        )
-        .join(list_b.withColumnsRenamed({"idx": "j", "t": "tb"}), [*keys, "j"])
-        .join(totals, keys)
+        winner.join(list_a.withColumnsRenamed({"idx": "i", "t": "ta"}), ["g", "i"])
+        .join(list_b.withColumnsRenamed({"idx": "j", "t": "tb"}), ["g", "j"])
+        .join(totals, "g")
     )
     return out.select(
-        *by,
+        *[F.col(k).alias(c) for c, k in zip(names, keys, strict=True) if c in by],
         "ta",
         "tb",
-        F.try_divide((F.col("pos") - F.col("loss")).cast("double"), F.col("n")).alias("acc"),
+        F.try_divide((F.col("pos") + F.col("gain")).cast("double"), F.col("n")).alias("acc"),
     )
 
 

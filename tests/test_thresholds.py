@@ -7,33 +7,33 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from leakscope.operators import ordering, thresholds as T
+from leakscope.operators import ordering, pyramid
+from leakscope.operators import thresholds as T
 from leakscope.session import settle
 
 
-def cands(x, y):
-    o = np.lexsort((y, x))
-    x, y = x[o], y[o]
-    c = [(x[i] + x[i + 1]) / 2 for i in range(len(x) - 1) if y[i] != y[i + 1]]
-    return c or [x[0] - 0.1, x[-1] + 0.1]
+def candidates(x, y):
+    """Sorted thresholds between neighbours of different labels, one beyond each end if none."""
+    table = pd.DataFrame({"x": x, "y": y}).sort_values(["x", "y"]).to_numpy(float)
+    middle = table[:-1, 0] + np.diff(table[:, 0]) / 2
+    found = np.unique(np.where(np.diff(table[:, 1]) != 0, middle, np.nan))
+    found = found[~np.isnan(found)]
+    return found if len(found) else np.array([table[0, 0] - 0.1, table[-1, 0] + 0.1])
 
 
 def best(x, y):
-    top = (-1, None)
-    for c in cands(x, y):
-        hits = int(np.sum((x >= c) == y))
-        if hits > top[0]:
-            top = (hits, c)
-    return top[0] / len(x), top[1]
+    """Accuracies of all thresholds at once; argmax takes the lowest of several."""
+    t = candidates(x, y)
+    right = ((x[:, None] >= t) == y[:, None].astype(bool)).mean(axis=0)
+    return right.max(), t[right.argmax()]
 
 
 def best2(a, b, y):
-    top = (-1, None, None)
-    for ta, tb in itertools.product(cands(a, y), cands(b, y)):
-        hits = int(np.sum(((a < ta) | (b > tb)) == y))
-        if hits > top[0]:
-            top = (hits, ta, tb)
-    return top[0] / len(a), top[1], top[2]
+    ta, tb = candidates(a, y), candidates(b, y)
+    fires = (a[:, None, None] < ta[:, None]) | (b[:, None, None] > tb)
+    right = (fires == y[:, None, None].astype(bool)).mean(axis=0)
+    i, j = np.unravel_index(right.argmax(), right.shape)
+    return right[i, j], ta[i], tb[j]
 
 
 @pytest.fixture(scope="module")
@@ -87,11 +87,9 @@ def test_cv_threshold_over_pieces(data, many_pieces):
     check_cv(*data)
 
 
-@pytest.mark.parametrize("local", [True, False])
-def test_best_pair(data, local, monkeypatch):
-    if not local:
-        monkeypatch.setattr(T, "LOCAL_PAIRS", 0)
-        monkeypatch.setattr(T, "BLOCK", 16)
+@pytest.mark.parametrize("side", [pyramid.SIDE, 4])
+def test_best_pair(data, side, monkeypatch):
+    monkeypatch.setattr(pyramid, "SIDE", side)
     folded, pdf = data
     got = T.best_pair(folded, "a", "b", "y", ["g"]).toPandas()
     for r in got.itertuples():
@@ -109,9 +107,9 @@ NULL_PAIRS = {
 }
 
 
-@pytest.mark.parametrize("local", [10**9, -1])
-def test_best_pair_counts_nulls_as_not_firing(spark, local, monkeypatch):
-    monkeypatch.setattr(T, "LOCAL_PAIRS", local)
+@pytest.mark.parametrize("side", [pyramid.SIDE, 2])
+def test_best_pair_counts_nulls_as_not_firing(spark, side, monkeypatch):
+    monkeypatch.setattr(pyramid, "SIDE", side)
     rows = [(g, *r) for g, own in NULL_PAIRS.items() for r in own]
     df = spark.createDataFrame(rows, "g string, a double, b double, y int").repartition(4)
     got = {r["g"]: r for r in T.best_pair(df, "a", "b", "y", ["g"]).collect()}
@@ -128,12 +126,34 @@ def test_best_pair_counts_nulls_as_not_firing(spark, local, monkeypatch):
         for k in (0, 1):
             known = [(r[k], r[2]) for r in own if r[k] is not None and r[k] == r[k]]
             x, y = (np.array(c, float) for c in zip(*known, strict=True)) if known else ([], [])
-            lists.append(T._candidate_list(x, y, np.ones(len(x))) if known else [None])
+            lists.append(candidates(x, y) if known else [None])
         best = max(right(a, b) for a, b in itertools.product(*lists))
         assert got[g]["acc"] == pytest.approx(best)
     assert got["nothing"]["ta"] is None and got["nothing"]["tb"] is None and got["no a"]["ta"] is None
 
 
+@pytest.mark.parametrize("side", [2, 8])
+def test_best_corner_of_ties_and_noise(spark, side):
+    """Every corner by sums over the grid; groups of unequal size, plateaus and no cells."""
+    rng = np.random.default_rng(side)
+    cells, sizes, want = [], [], {}
+    for g, (na, nb, n, high) in enumerate(
+        [(1, 1, 1, 1), (30, 7, 80, 1), (7, 30, 80, 3), (40, 40, 300, 2), (5, 5, 0, 1), (64, 64, 500, 1)]
+    ):
+        grid = np.zeros((na + 1, nb), int)
+        for _ in range(n):
+            grid[rng.integers(1, na + 1), rng.integers(nb)] += rng.choice([-high, -1, 1, high])
+        own = [(g, int(p), int(q), int(grid[p, q])) for p, q in np.argwhere(grid)]
+        cells += own
+        sizes.append((g, na, nb))
+        gain = np.array([[grid[i + 1 :, : j + 1].sum() for j in range(nb)] for i in range(na)])
+        i, j = np.unravel_index(int(gain.argmax()), gain.shape)
+        want[g] = (int(gain.max()), int(i), int(j))
+    df = spark.createDataFrame(cells, "g long, ia long, ib long, w long").repartition(3)
+    got = pyramid.best_corner(df, spark.createDataFrame(sizes, "g long, na long, nb long"), side)
+    assert {r.g: (r.gain, r.i, r.j) for r in got.collect()} == want
+
+
 def test_one_class_falls_outside_the_range(spark):
     df = spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 1)], "ID string, x double, y int")
     assert sorted(r[0] for r in T.candidate_thresholds(df, "x", "y").collect()) == [0.9, 2.1]
