@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.functions.probability import mcnemar_exact, normal_two_sided
+from leakscope.functions.probability import binomial_quantiles, mcnemar_exact, normal_two_sided
 from leakscope.operators.ordering import exact_percentiles, join_null_safe, lay_out, running
 
 
@@ -56,8 +58,19 @@ def mcnemar(counts: DataFrame) -> DataFrame:
     )
 
 
-# Draws made by one row of the work list, so that no array grows with n.
-DRAW_CHUNK = 10_000
+def _quantiles(n: pd.Series, right: pd.Series, shares: pd.Series) -> pd.Series:
+    return pd.Series(
+        [
+            None if pd.isna(size) or not size else binomial_quantiles(int(size), int(hit), np.asarray(own)).tolist()
+            for size, hit, own in zip(n, right, shares, strict=True)
+        ]
+    )
+
+
+def _accuracy_at(shares: Column) -> Column:
+    """Accuracies that resamples of n rows have at the given shares of their distribution."""
+    hits = F.pandas_udf(_quantiles, "array<bigint>")(F.col("n"), F.col("right"), shares)
+    return F.transform(hits, lambda k: k / F.col("n"))
 
 
 def bootstrap_ci(
@@ -65,56 +78,40 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Percentile bootstrap of accuracy from (n, right) per group.
 
-    A resample draws n rows with replacement; only whether a draw lands on one
-    of the ``right`` rows matters, so rows are numbered with those first and
-    never joined back. Work is draws x n, spread over tasks by draw number.
+    The hits among n rows drawn with replacement are exactly Binomial(n, right / n), so a
+    resample is one quantile of it at a uniform share, the md5 of (seed, group, draw).
+    Quantiles keep the order of shares, so only those next to the two percentiles are
+    taken: no rows are made for draws, and the cost does not grow with draws times n.
+    A group without rows has null bounds.
     """
-    context = counts.sparkSession.sparkContext
-    tasks = max(
-        context.defaultParallelism,
-        int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-    )
-    work = counts.select(
-        *by, "n", "right", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b")
-    ).withColumn("chunk", F.expr(f"explode(sequence(0L, (n - 1) div {DRAW_CHUNK}L))"))
-    # A fixed task number: the rows are few and tiny, but each stands for many draws.
-    drawn = work.repartition(tasks, *by, "b", "chunk").withColumn(
-        "j",
-        F.expr(
-            f"explode(sequence(chunk * {DRAW_CHUNK}L + 1L, "
-            f"least((chunk + 1L) * {DRAW_CHUNK}L, n)))"
-        ),
-    )
-    landed = (
-        f"cast(conv(substr(md5(concat_ws('|', '{seed}', b, j)), 1, 12), 16, 10) as bigint) "
-        "% n < right"
-    )
-    joined = drawn.groupBy(*by, "b", "n").agg(F.expr(f"count_if({landed}) as hit")).withColumn(
-        "acc", F.col("hit") / F.col("n").cast("double")
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]
+    share = lambda b: (
+        F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *key, b.cast("string"))), 1, 12), 16, 10)
+        .cast("bigint") + 0.5
+    ) / float(1 << 48)
+    ordered = F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(draws)), share))
+    places = [q * (draws - 1) for q in (0.025, 0.975)]
+    picks = [min(int(x) + d, draws - 1) for x in places for d in (0, 1)]
+    near = counts.select(*by, "n", "right", ordered.alias("_u")).withColumn(
+        "_u", F.array(*[F.col("_u")[i] for i in picks])
     )
-    return joined.groupBy(*by).agg(
-        F.expr("percentile(acc, 0.025)").alias("acc_lower"),
-        F.expr("percentile(acc, 0.975)").alias("acc_upper"),
-    )
-
+    found = near.withColumn("_acc", _accuracy_at(F.col("_u")))
 
-def binomial_ci(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The limit of ``bootstrap_ci`` for many draws, at a cost that ignores n.
+    def between(first: int, place: float) -> Column:
+        low, high = F.col("_acc")[first], F.col("_acc")[first + 1]
+        return low + (high - low) * (place - int(place))
 
-    A resample of 0/1 values is exactly Binomial(n, right / n); its 2.5 and
-    97.5 percent points are taken with the normal curve, a continuity
-    correction and a skewness term.
-    """
-    z = 1.959963984540054
-    p = F.col("right") / F.col("n").cast("double")
-    sd = F.sqrt(p * (1 - p) / F.col("n"))
-    skew = (1 - 2 * p) * (z * z - 1) / (6 * F.col("n").cast("double"))
+    return found.select(
+        *by, between(0, places[0]).alias("acc_lower"), between(2, places[1]).alias("acc_upper")
+    )
 
-    def point(sign: int) -> Column:
-        raw = p + sign * z * sd + skew
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(raw * F.col("n")) / F.col("n")))
 
-    return counts.select(*by, point(-1).alias("acc_lower"), point(1).alias("acc_upper"))
+def binomial_ci(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What ``bootstrap_ci`` tends to with many draws."""
+    both = _accuracy_at(F.array(F.lit(0.025), F.lit(0.975)))
+    return counts.select(*by, "n", "right", both.alias("_acc")).select(
+        *by, F.col("_acc")[0].alias("acc_lower"), F.col("_acc")[1].alias("acc_upper")
+    )
 
 
 def mean_ci(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

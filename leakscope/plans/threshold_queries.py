@@ -237,17 +237,30 @@ def _right(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _resampled(groups: str, key: str) -> str:
+    """From ``groups`` (grp, n, c): bounds of 1,000 binomial quantiles at md5 shares."""
+    return f"""grp AS ({groups}),
+term AS (SELECT grp, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + CASE WHEN k > 0 THEN k * ln(c / n::DOUBLE) ELSE 0 END
+    + CASE WHEN k < n THEN (n - k) * ln(1 - c / n::DOUBLE) ELSE 0 END) AS w
+  FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM grp) WHERE c > 0 AND c < n),
+upto AS (SELECT grp, k, sum(w) OVER (PARTITION BY grp ORDER BY k) AS p FROM term),
+share AS (SELECT grp, n, c, b, (('0x' || substr(md5('42|' || {key}), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656 AS u
+  FROM (SELECT *, unnest(range(1, 1001)) AS b FROM grp)),
+drawn AS (SELECT s.grp, s.b, CASE WHEN any_value(c) IN (0, any_value(n)) THEN any_value(c) ELSE count(k) END / any_value(n)::DOUBLE AS acc
+  FROM share s LEFT JOIN upto t ON t.grp = s.grp AND t.p < s.u GROUP BY s.grp, s.b),
+bound AS (SELECT grp, quantile_cont(acc, 0.025::DOUBLE) AS acc_lower, quantile_cont(acc, 0.975::DOUBLE) AS acc_upper FROM drawn GROUP BY grp)"""
+
+
 @query(
     "bootstrap_ci",
     S.with_(
         LARGE, VOTES,
-        "rt AS (SELECT CATEGORY, count(*) AS n, count(*) FILTER (v_n_words = y) AS c FROM votes GROUP BY CATEGORY)",
-        """dr AS (SELECT CATEGORY, n, c, b, unnest(range(1, n + 1)) AS j FROM (SELECT *, unnest(range(1, 1001)) AS b FROM rt)),
-ac AS (SELECT CATEGORY, b, avg(CASE WHEN ('0x' || substr(md5('42|' || b || '|' || j), 1, 12))::BIGINT % n < c THEN 1::DOUBLE ELSE 0 END) AS acc
-  FROM dr GROUP BY CATEGORY, b)""",
+        _resampled(
+            "SELECT CATEGORY AS grp, count(*) AS n, count(*) FILTER (v_n_words = y) AS c FROM votes GROUP BY CATEGORY",
+            "grp || '|' || b",
+        ),
     )
-    + """SELECT CATEGORY, round(quantile_cont(acc, 0.025::DOUBLE), 9) AS acc_lower, round(quantile_cont(acc, 0.975::DOUBLE), 9) AS acc_upper
-  FROM ac GROUP BY CATEGORY""",
+    + "SELECT grp AS CATEGORY, round(acc_lower, 9) AS acc_lower, round(acc_upper, 9) AS acc_upper FROM bound",
 )
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return M.bootstrap_ci(_right(spark, sf), 1000, 42, ["CATEGORY"]).select(
@@ -256,11 +269,34 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("evaluate")
+@query(
+    "evaluate",
+    S.with_(
+        LARGE,
+        """cm AS (SELECT count(*) FILTER (y = 0 AND NOT p) AS tn, count(*) FILTER (y = 0 AND p) AS fp, count(*) FILTER (y = 1 AND NOT p) AS fn,
+  count(*) FILTER (y = 1 AND p) AS tp FROM (SELECT y, n_words > 150 AS p FROM large))""",
+        _resampled("SELECT 'all' AS grp, tn + fp + fn + tp AS n, tn + tp AS c FROM cm", "b"),
+    )
+    + f"""SELECT 'corpus' AS model_id, 'documents' AS data_name, 'n_words' AS method_name, '150.0' AS theta,
+  round((tn + tp)::DOUBLE / (tn + fp + fn + tp), 9) AS accuracy, round(acc_lower, 9) AS acc_lower, round(acc_upper, 9) AS acc_upper,
+  round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 9) AS recall,
+  round(coalesce((2 * tp)::DOUBLE / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1_score, tn, fp, fn, tp,
+  tn AS mcnemar_b, fn AS mcnemar_c, round({S.mcnemar('tn', 'fn')}, 9) AS mcnemar_p_value, 1000 AS n_bootstrap, 42 AS seed
+  FROM cm, bound""",
+)
 def evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    """Full test-log record; carries the run time, so it has no SQL twin."""
+    """The test-log record without its run time, nested values as columns."""
     docs = T.labelled_documents(spark, sf)
-    return tuning.evaluate(docs, "n_words", 150.0, "corpus", "documents", "n_words")
+    log = tuning.evaluate(docs, "n_words", 150.0, "corpus", "documents", "n_words")
+    rounded = ("accuracy", "precision", "recall", "f1_score", "mcnemar_p_value")
+    cells = F.col("metrics.confusion_matrix")
+    return log.select(
+        "model_id", "data_name", "method_name", "parameter.theta", "n_bootstrap", "seed",
+        "metrics.mcnemar_b", "metrics.mcnemar_c",
+        *[F.round(f"metrics.{c}", 9).alias(c) for c in rounded],
+        *[F.round(F.col("metrics.accuracy_95CI")[i], 9).alias(c) for i, c in enumerate(("acc_lower", "acc_upper"))],
+        *[cells[i][j].alias(c) for i, j, c in ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp"))],
+    )
 
 
 @query(

@@ -137,7 +137,7 @@ def evaluate(
     counts = counts.withColumns(
         {"n": F.expr("tn + fp + fn + tp"), "right": F.expr("tn + tp"), "_one": F.lit(1)}
     )
-    ci = metrics.bootstrap_ci(counts, draws, seed, ["_one"])
+    ci = metrics.bootstrap_ci(counts, draws, seed).withColumn("_one", F.lit(1))
     shown = str(tuple(theta)) if isinstance(theta, list) else str(theta)
     return counts.join(ci, "_one").select(
         F.lit(model_id).alias("model_id"),

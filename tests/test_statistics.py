@@ -1,6 +1,8 @@
 """Metrics, tests and votes against known values."""
 
+import hashlib
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -9,8 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from leakscope.functions import saturation
-from leakscope.functions.probability import mcnemar_exact, normal_two_sided
+from leakscope.functions import probability, saturation
+from leakscope.functions.probability import binomial_quantiles, mcnemar_exact, normal_two_sided
 from leakscope.operators import detectors as D
 from leakscope.operators import metrics as M
 from leakscope.operators import shape
@@ -45,20 +47,44 @@ def test_metrics_are_zero_when_undefined(spark):
     assert (r.accuracy, r.precision, r.recall, r.f1_score) == (1.0, 0.0, 0.0, 0.0)
 
 
-def test_binomial_ci_is_the_limit_of_resampling(spark):
-    counts = spark.createDataFrame([("g", 400, 260), ("h", 30, 19)], "g string, n long, right long")
-    a = {r["g"]: r for r in M.bootstrap_ci(counts, 1000, 42, ["g"]).collect()}
-    b = {r["g"]: r for r in M.binomial_ci(counts, ["g"]).collect()}
-    for g, width in (("g", 0.01), ("h", 0.04)):
-        assert a[g]["acc_lower"] == pytest.approx(b[g]["acc_lower"], abs=width)
-        assert a[g]["acc_upper"] == pytest.approx(b[g]["acc_upper"], abs=width)
+def test_binomial_quantiles_against_sums():
+    shares = np.array([1e-9, 0.025, 0.3, 0.5, 0.9, 0.975, 1 - 1e-12])
+    for n, right in [(1, 0), (1, 1), (7, 3), (40, 39), (400, 260), (1000, 1), (1500, 750)]:
+        p = Fraction(right, n)
+        upto = np.cumsum([float(math.comb(n, k) * p**k * (1 - p) ** (n - k)) for k in range(n + 1)])
+        want = [int(np.argmax(upto >= min(u, upto[-1]))) for u in shares]
+        assert binomial_quantiles(n, right, shares).tolist() == want
 
 
-def test_bootstrap_draws_over_several_chunks(spark, monkeypatch):
-    counts = spark.createDataFrame([("g", 25, 20)], "g string, n long, right long")
-    whole = M.bootstrap_ci(counts, 200, 42, ["g"]).first()
-    monkeypatch.setattr(M, "DRAW_CHUNK", 7)
-    assert M.bootstrap_ci(counts, 200, 42, ["g"]).first() == whole
+def test_binomial_quantiles_of_many_rows(monkeypatch):
+    """Far more rows than terms; several blocks of terms give the same."""
+    n, right = 10**10, 3 * 10**9
+    sd = math.sqrt(n * 0.3 * 0.7)
+    got = binomial_quantiles(n, right, np.array([0.025, 0.5, 0.975]))
+    assert (got - right) / sd == pytest.approx([-1.959964, 0, 1.959964], abs=1e-3)
+    few = np.array([0.025, 0.5, 0.975])
+    whole = binomial_quantiles(10**6, 4 * 10**5, few)
+    monkeypatch.setattr(probability, "_TERMS", 997)
+    assert binomial_quantiles(10**6, 4 * 10**5, few).tolist() == whole.tolist()
+
+
+def test_bootstrap_is_the_percentile_of_all_draws(spark):
+    counts = spark.createDataFrame(
+        [("g", 400, 260), ("h", 30, 19), (None, 5, 5), ("none", 0, 0), ("big", 10**9, 10**8)],
+        "g string, n long, right long",
+    )
+    got = {r["g"]: r for r in M.bootstrap_ci(counts, 1000, 7, ["g"]).collect()}
+    for g, n, right in [("g", 400, 260), ("h", 30, 19), (None, 5, 5)]:
+        digests = [hashlib.md5(f"7|{g or ''}|{b}".encode()).hexdigest() for b in range(1, 1001)]
+        shares = np.array([(int(d[:12], 16) + 0.5) / 2**48 for d in digests])
+        acc = binomial_quantiles(n, right, shares) / n
+        want = np.percentile(acc, [2.5, 97.5])
+        assert (got[g]["acc_lower"], got[g]["acc_upper"]) == pytest.approx(tuple(want))
+    assert got["none"]["acc_lower"] is None and got["none"]["acc_upper"] is None
+    assert got["big"]["acc_lower"] == pytest.approx(0.1, abs=1e-4)
+    limit = {r["g"]: r for r in M.binomial_ci(counts, ["g"]).collect()}
+    assert limit["g"]["acc_lower"] == pytest.approx(got["g"]["acc_lower"], abs=0.01)
+    assert limit["g"]["acc_upper"] == pytest.approx(got["g"]["acc_upper"], abs=0.01)
 
 
 def test_mann_whitney_against_pairwise_counts(spark):
