@@ -6,6 +6,11 @@ therefore be cut there first and its pieces encoded alone.  The tokenizers
 library encodes each distinct piece once per worker, many of them in one call;
 the ids of whole texts are gathered with numpy.  Texts that hold the string of a
 special token go to the library whole.
+
+Texts are split and their pieces numbered by Arrow, so that Python looks up the
+different pieces of a group of texts only.  What a worker remembers is bounded in
+bytes and kept in two generations: when the younger is full it becomes the older one,
+from which pieces that are met again are taken over.
 """
 
 from __future__ import annotations
@@ -14,16 +19,28 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
-
-# Distinct pieces that one Python worker remembers before it starts anew.
-CACHE_PIECES = 250_000
-# Longer texts are encoded part by part; so are groups of texts.
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# Bytes of pieces and ids that a generation of one Python worker's memory may hold, with
+# what Python needs for an entry besides the piece itself.
+CACHE_BYTES = 128 << 20
+ENTRY_BYTES = 150
+# Longer texts are encoded part by part.
 LONG_TEXT = 1 << 20
+# Texts are encoded together up to this many characters.
+GROUP_TEXT = 1 << 22
 
+_NONE, _SPACE = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 _CUT = re.compile(r"(?= \S)")
-_ODD_SPACE = re.compile(r" (?:\s|$)")
+# A space before white space of any kind, or at the end; wider classes only cost time.
+_ODD_SPACE = (
+    r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|$)"
+)
 
 
 def parts(text: str) -> Iterator[str]:
@@ -36,10 +53,39 @@ def parts(text: str) -> Iterator[str]:
         at = stop
 
 
+class _Generation:
+    """Pieces by number, and the ids of each in one pool."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.pool = np.zeros(0, np.uint32)
+        self.ends = np.zeros(1, np.int64)
+        self.bytes = 0
+
+    def find(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of the pieces; -1 for unknown ones."""
+        return np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.index)
+        self.index.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        self.pool = np.concatenate([self.pool, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.bytes += ENTRY_BYTES * len(pieces) + sum(map(len, pieces)) + 4 * len(ids)
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the numbered pieces in one array, and where each piece stops."""
+        starts = self.ends[at]
+        sizes = self.ends[at + 1] - starts
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        flat = np.arange(stops[-1]) + np.repeat(starts - stops[:-1], sizes)
+        return self.pool[flat], stops
+
+
 class Encoder:
     """Token ids of texts, with a bounded memory of pieces already encoded."""
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES) -> None:
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -49,15 +95,10 @@ class Encoder:
         self.size = max(vocabulary.values()) + 1
         self.opens = np.zeros(self.size, bool)  # ids whose bytes begin with a space
         self.opens[[i for s, i in vocabulary.items() if s.startswith("Ġ")]] = True
-        self.cache_pieces = cache_pieces
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.pool = np.zeros(0, np.uint32)
-        self.ends = np.zeros(1, np.int64)
+        self.cache_bytes = cache_bytes
+        self.young, self.old = _Generation(), _Generation()
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         plain, other = [], []
         for p in pieces:
             (plain if p[0] == " " and p.rfind(" ") == 0 else other).append(p)
@@ -66,66 +107,95 @@ class Encoder:
             got = self.library.encode_batch_fast(["".join(plain)], add_special_tokens=False)
             ids = np.asarray(got[0].ids, np.uint32)
         starts = np.append(np.flatnonzero(self.opens[ids]), len(ids))
-        sizes = [np.diff(starts)]
-        pool = [self.pool, ids]
+        sizes, found = [np.diff(starts)], [ids]
         if other:
             got = self.library.encode_batch_fast(other, add_special_tokens=False)
             sizes.append(np.fromiter((len(e.ids) for e in got), np.int64, len(got)))
-            pool += [np.asarray(e.ids, np.uint32) for e in got]
-        base = len(self.index)
-        self.index.update(zip(plain + other, range(base, base + len(pieces)), strict=True))
-        self.pool = np.concatenate(pool)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+            found += [np.asarray(e.ids, np.uint32) for e in got]
+        self.young.add(plain + other, np.concatenate(found), np.concatenate(sizes))
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of different pieces in the younger generation, which gets what it lacks."""
+        if self.young.bytes > self.cache_bytes:
+            self.young, self.old = _Generation(), self.young
+        at = self.young.find(pieces)
+        lost = np.flatnonzero(at < 0)
+        if not len(lost):
+            return at
+        wanted = [pieces[k] for k in lost.tolist()]
+        before = self.old.find(wanted)
+        known = np.flatnonzero(before >= 0)
+        if len(known):
+            ids, stops = self.old.ids(before[known])
+            self.young.add([wanted[k] for k in known.tolist()], ids, np.diff(stops))
+        fresh = np.flatnonzero(before < 0)
+        if len(fresh):
+            self._learn([wanted[k] for k in fresh.tolist()])
+        at[lost] = self.young.find(wanted)
+        return at
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text (null: none)."""
         whole: dict[int, np.ndarray] = {}
-        pieces: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
+        rest: list[str] = []
         for k, text in enumerate(texts):
-            if not text:
-                continue
-            if any(s in text for s in self.special):
+            if text and any(s in text for s in self.special):
                 got = self.library.encode(text, add_special_tokens=False)
                 whole[k] = np.asarray(got.ids, np.uint32)
-            elif len(text) > LONG_TEXT:
-                whole[k] = np.concatenate([self._one(p) for p in parts(text)])
-            else:
-                own = self._pieces(text)
-                pieces += own
-                counts[k] = len(own)
-        ids, upto = self._gather(pieces, counts)
+            elif text and len(text) > LONG_TEXT:
+                whole[k] = np.concatenate([self._group([p])[0] for p in parts(text)])
+            rest.append("" if k in whole or text is None else text)
+        ids, upto = self._group(rest)
         if not whole:
             return ids, np.diff(upto)
-        found = [whole.get(k, ids[upto[k] : upto[k + 1]]) for k in range(len(counts))]
+        found = [whole.get(k, ids[upto[k] : upto[k + 1]]) for k in range(len(texts))]
         return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _one(self, text: str) -> np.ndarray:
-        own = self._pieces(text)
-        return self._gather(own, np.array([len(own)]))[0]
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if _ODD_SPACE.search(text):
-            return [x for x in _CUT.split(text) if x]
-        first, *rest = text.split(" ")
-        return [first] * bool(first) + list(map(" ".__add__, rest))
-
-    def _gather(self, pieces: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > self.cache_pieces:
-            self._forget()
-        if new := set(pieces).difference(self.index):
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        sizes = self.ends[at + 1] - self.ends[at]
-        stops = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.arange(stops[-1]) + np.repeat(self.ends[at] - stops[:-1], sizes)
-        return self.pool[flat], stops[np.concatenate([[0], np.cumsum(counts)])]
+    def _group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text stops."""
+        column = pa.array(texts, pa.large_string())
+        odd = np.flatnonzero(pc.match_substring_regex(column, _ODD_SPACE).to_numpy(zero_copy_only=False))
+        if len(odd):
+            column = pa.array(
+                np.where(np.isin(np.arange(len(texts)), odd), "", np.array(texts, object)), pa.large_string()
+            )
+        split = pc.split_pattern(column, " ")
+        words = split.flatten().dictionary_encode()
+        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        values = words.dictionary.to_numpy(zero_copy_only=False)
+        spaced = pc.binary_join_element_wise(_NONE, words.dictionary, _SPACE)  # nothing, space, word
+        spaced = spaced.to_numpy(zero_copy_only=False)
+        offsets = split.offsets.to_numpy()
+        # The first word of a text has no space before it; an empty one is no piece.
+        opening = np.zeros(len(codes), bool)
+        opening[offsets[:-1]] = True
+        used = np.zeros((2, len(values)), bool)
+        used[1 - opening.astype(int), codes] = True
+        used[0] &= values != ""
+        first, later = np.flatnonzero(used[0]), np.flatnonzero(used[1])
+        pieces = values[first].tolist() + spaced[later].tolist()
+        cuts = {int(k): [x for x in _CUT.split(texts[k]) if x] for k in odd}
+        extra = list(set().union(*cuts.values()).difference(pieces)) if cuts else []
+        numbers = self._numbers(pieces + extra)
+        table = np.full((2, len(values)), -1, np.int64)
+        table[0, first] = numbers[: len(first)]
+        table[1, later] = numbers[len(first) : len(pieces)]
+        at = np.where(opening, table[0, codes], table[1, codes])
+        counts = np.add.reduceat((at >= 0).astype(np.int64), offsets[:-1]) if len(texts) else np.zeros(0, np.int64)
+        if cuts:
+            named = dict(zip(pieces + extra, numbers.tolist(), strict=True))
+            bounds = np.split(at, offsets[1:-1])
+            for k, own in cuts.items():
+                bounds[k] = np.array([named[x] for x in own], np.int64)
+                counts[k] = len(own)
+            at = np.concatenate(bounds)
+        ids, stops = self.young.ids(at[at >= 0])
+        return ids, stops[np.concatenate([[0], np.cumsum(counts)])]
 
 
 @lru_cache(maxsize=1)
 def shared_encoder(path: str) -> Encoder:
-    """One encoder for all tasks of a Python worker; its memory is bounded by CACHE_PIECES."""
+    """One encoder for all tasks of a Python worker; its memory is bounded by CACHE_BYTES."""
     return Encoder(path)
 
 
@@ -134,7 +204,7 @@ def encoded(encoder: Encoder, texts: list[str | None]) -> Iterator[tuple[int, np
     first = 0
     while first < len(texts):
         last, size = first + 1, len(texts[first] or "")
-        while last < len(texts) and (size := size + len(texts[last] or "")) <= LONG_TEXT:
+        while last < len(texts) and (size := size + len(texts[last] or "")) <= GROUP_TEXT:
             last += 1
         ids, counts = encoder.encode(texts[first:last])
         at = 0

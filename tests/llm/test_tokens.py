@@ -31,7 +31,7 @@ ODD = ["a  b", "x\n y", "x\n  y", " a", " ", "", "a ", "\t b\n\n c  ", "a \nb",
        "ab <|endoftext|> c", "é  x  y", "Ġ a", "  x  y", "1 22 3.3", "a\r\n b", None]
 
 
-@pytest.mark.parametrize("cache", [1, 100_000])
+@pytest.mark.parametrize("cache", [1, 2_000, 100_000_000])
 def test_pieces_give_the_ids_of_whole_texts(library, cache):
     encoder = Encoder(PATH, cache)
     for _ in range(2):
