@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leakscope.functions.arrays import grams
 from leakscope.functions.order import det_order
+from leakscope.operators.bloom import bloom_filter
 from leakscope.operators.ordering import top_k
 from leakscope.session import fits_broadcast, settle
 
@@ -43,28 +44,46 @@ def all_ngram_counts(docs: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> Dat
     )
 
 
-def _wanted(seen: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Occurrences whose key the items use.
+def item_counts(items: DataFrame, docs: DataFrame, sizes: tuple[int, ...] = (2,)) -> DataFrame:
+    """Counts (n, gram, n_seen) of all corpus words and of the items' n-grams, in one corpus pass.
 
-    Keys that fit are broadcast into the scan stage. Otherwise occurrences are
-    counted first, so that the shuffled join sees each distinct row once.
+    Every document is exploded once, whatever the number of sizes. N-grams of the items
+    that fit are broadcast into the scan; beyond that a Bloom filter of their hashes is, so
+    that the shuffle carries words and probable hits only, already counted, and equality
+    of the text decides after it.
     """
+    keys = items.select(
+        F.explode(F.flatten(F.array(*[grams(F.col("tokens"), n) for n in sizes]))).alias("gram")
+    ).distinct()
+    every = F.concat(F.col("tokens"), *[grams(F.col("tokens"), n) for n in sizes])
+    seen = docs.select(F.explode(every).alias("gram"))
+    # A word never holds a blank, an n-gram has n - 1: plain strings tell them apart.
+    is_word = F.instr("gram", " ") == 0
+    count = F.count(F.lit(1)).alias("n_seen")
     if fits_broadcast(keys):
-        return seen.join(F.broadcast(keys), key, "left_semi").groupBy(*seen.columns).agg(
-            F.count(F.lit(1)).alias("n_seen")
+        wanted = F.broadcast(keys.withColumn("_wanted", F.lit(True)))
+        counts = seen.join(wanted, "gram", "left").where(F.col("_wanted") | is_word).groupBy("gram").agg(count)
+    else:
+        own = F.xxhash64("gram")
+        probable = bloom_filter(keys, own).probable(seen, own, always=is_word)
+        counted = settle(probable.groupBy("gram").agg(count))
+        counts = counted.where(is_word).unionByName(
+            counted.where(~is_word).join(keys, "gram", "left_semi")
         )
-    return (
-        seen.groupBy(*seen.columns)
-        .agg(F.count(F.lit(1)).alias("n_seen"))
-        .join(keys, key, "left_semi")
-    )
+    blanks = F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit("")))
+    return settle(counts.withColumn("n", blanks + 1))
 
 
-def overlap_label(items: DataFrame, docs: DataFrame, n: int = 8) -> DataFrame:
-    """LABEL_BINARY = 1 when any n-word window of the item is in the corpus."""
+def overlap_label(
+    items: DataFrame, docs: DataFrame, n: int = 8, counts: DataFrame | None = None
+) -> DataFrame:
+    """LABEL_BINARY = 1 when any n-word window of the item is in the corpus.
+
+    ``counts`` of ``item_counts`` with this n saves a pass over the corpus.
+    """
     windows = items.select("ID", F.explode(grams(F.col("tokens"), n)).alias("gram"))
-    seen = docs.select(F.explode(grams(F.col("tokens"), n)).alias("gram"))
-    found = _wanted(seen, windows.select("gram").distinct(), "gram").select("gram")
+    counts = item_counts(items, docs, (n,)) if counts is None else counts
+    found = counts.where(F.col("n") == n).select("gram")
     hit = windows.join(found, "gram", "left_semi").select("ID").distinct()
     return (
         items.join(hit.withColumn("_hit", F.lit(1)), "ID", "left")
@@ -74,40 +93,17 @@ def overlap_label(items: DataFrame, docs: DataFrame, n: int = 8) -> DataFrame:
     )
 
 
-def score_counts(items: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts of all words and of the items' word pairs, from one corpus pass."""
-    pairs = items.select(F.explode(grams(F.col("tokens"), 2)).alias("gram")).distinct()
-    if fits_broadcast(pairs):
-        # A word never holds a blank, a pair always does: plain strings tell them apart.
-        wanted = F.broadcast(pairs.withColumn("_wanted", F.lit(True)))
-        both = F.concat(F.col("tokens"), grams(F.col("tokens"), 2))
-        counts = (
-            docs.select(F.explode(both).alias("gram"))
-            .join(wanted, "gram", "left")
-            .where("_wanted or instr(gram, ' ') = 0")
-            .groupBy("gram")
-            .agg(F.count(F.lit(1)).alias("n_seen"))
-            .withColumn("n", F.expr("if(instr(gram, ' ') = 0, 1, 2)"))
-        )
-    else:
-        every = all_ngram_counts(docs, (1, 2))
-        counts = every.where("n = 1").unionByName(
-            every.where("n = 2").join(pairs, "gram", "left_semi").select(*every.columns)
-        )
-    counts = settle(counts)
-    return (
-        counts.where("n = 1").select("gram", "n_seen"),
-        counts.where("n = 2").select("gram", "n_seen"),
-    )
-
-
-def token_scores(items: DataFrame, docs: DataFrame, mu: float = MU) -> DataFrame:
+def token_scores(
+    items: DataFrame, docs: DataFrame, mu: float = MU, counts: DataFrame | None = None
+) -> DataFrame:
     """One row per scored token (ID, pos, prev, token, prob, log_like).
 
     P(w|h) = (c(h,w) + mu p1(w)) / (c(h) + mu), p1(w) = (c(w) + 1) / (N + V).
-    The first token has no history and no score; pos counts from 0.
+    The first token has no history and no score; pos counts from 0. ``counts`` of
+    ``item_counts`` with pairs among its sizes saves a pass over the corpus.
     """
-    unigrams, pairs = score_counts(items, docs)
+    counts = item_counts(items, docs) if counts is None else counts
+    unigrams, pairs = (counts.where(F.col("n") == n).select("gram", "n_seen") for n in (1, 2))
     n_tokens, n_types = unigrams.agg(F.sum("n_seen"), F.count(F.lit(1))).first()
     spread = items.select("ID", "tokens", F.posexplode(F.slice("tokens", 2, 2**31 - 1)).alias("pos", "token")).selectExpr(
         "ID", "pos", "tokens[pos] as prev", "token", "concat_ws(' ', tokens[pos], token) as gram"
@@ -199,7 +195,10 @@ def continuations(
     if fits_broadcast(contexts):
         kept = seen.join(F.broadcast(contexts), "context", "left_semi")
     else:
-        kept = seen.join(contexts, "context", "left_semi")
+        # Only windows whose context may be wanted are shuffled with their words.
+        own = F.xxhash64("context")
+        probable = bloom_filter(contexts, own).probable(seen, own)
+        kept = probable.join(contexts, "context", "left_semi")
     kept = settle(kept)
     greedy = (
         kept.groupBy("context", "follow")

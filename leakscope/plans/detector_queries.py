@@ -451,8 +451,9 @@ THETA = 1e-5
 def mink_flagship(spark: SparkSession, sf: str) -> DataFrame:
     """From raw documents to detection quality per category in one plan."""
     items, docs = T.items(spark, sf), T.corpus(spark, sf)
-    features = D.mink_features(C.token_data(items, C.token_scores(items, docs)), [20])
-    labels = C.overlap_label(items, docs).select("ID", "LABEL_BINARY")
+    counts = C.item_counts(items, docs, (2, 8))  # one pass for scores and labels
+    features = D.mink_features(C.token_data(items, C.token_scores(items, docs, counts=counts)), [20])
+    labels = C.overlap_label(items, docs, counts=counts).select("ID", "LABEL_BINARY")
     scored = M.predict(features.join(labels, "ID"), "feature", THETA, "minK")
     return M.classification_metrics(scored, "minK", by=["CATEGORY"]).selectExpr(
         "CATEGORY", "tn + fp + fn + tp as n", "tn", "fp", "fn", "tp",

@@ -1,9 +1,12 @@
 """Corpus operators give the same rows whether or not the keys fit a broadcast."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from leakscope.operators import corpus as C
+from leakscope.operators.bloom import bloom_filter
 
 TEXTS = [
     "a b c d e f g h i j", "a b c d x", "a b c e", "a b c d e f g h z", "", "b", "a b c d e f g h i j",
@@ -40,6 +43,53 @@ def test_both_join_paths_agree(tables, monkeypatch):
     assert results(*tables) == small
 
 
+def test_one_pass_counts_every_size(tables, monkeypatch):
+    items, docs = tables
+    words = [t.split() for t in TEXTS]
+    want = Counter()
+    for n in (1, 2, 8):
+        own = {tuple(t.split()[i : i + n]) for _, t in ITEMS for i in range(len(t.split()) - n + 1)}
+        for w in words:
+            want.update((n, g) for i in range(len(w) - n + 1) if (g := tuple(w[i : i + n])) in own or n == 1)
+    for fits in (True, False):
+        monkeypatch.setattr(C, "fits_broadcast", lambda df, fits=fits: fits)
+        counts = C.item_counts(items, docs, (2, 8))
+        got = {(r.n, tuple(r.gram.split(" "))): r.n_seen for r in counts.collect()}
+        assert got == dict(want)
+    fresh = C.overlap_label(items, docs).select("ID", "LABEL_BINARY").collect()
+    assert sorted(C.overlap_label(items, docs, counts=counts).select("ID", "LABEL_BINARY").collect()) == sorted(fresh)
+    a, b = (
+        sorted(map(str, C.token_scores(items, docs, counts=c).select("ID", "pos", F.round("prob", 12)).collect()))
+        for c in (counts, None)
+    )
+    assert a == b
+
+
+def test_bloom_filter_loses_nothing_and_drops_most(spark):
+    keys = spark.range(0, 4000, 2).select(F.xxhash64("id").alias("h"))
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    built = bloom_filter(keys, F.col("h"))
+    assert built.bits >= 16 * 2000
+    passed = {r.id for r in built.probable(rows, F.col("h")).select("id").collect()}
+    assert set(range(0, 4000, 2)) <= passed and len(passed) < 2000 + 400
+    kept = built.probable(rows, F.col("h"), always=F.col("id") >= 19_000).count()
+    assert kept >= len(passed) + 900
+    tight = bloom_filter(keys, F.col("h"), max_bits=1 << 15)  # far too many keys for its bits
+    assert {r.id for r in tight.probable(rows, F.col("h")).collect()} >= set(range(0, 4000, 2))
+    none = bloom_filter(keys.limit(0), F.col("h"))
+    assert none.probable(rows, F.col("h")).count() == 0
+
+
+def test_flagship_reads_the_corpus_once(spark):
+    from leakscope.sources import tables as T
+
+    sf = "/root/testdata/sf0.001"
+    items, docs = T.items(spark, sf), T.corpus(spark, sf)
+    counts = C.item_counts(items, docs, (2, 8))
+    for df in (C.token_scores(items, docs, counts=counts), C.overlap_label(items, docs, counts=counts)):
+        assert "documents.parquet" not in df._jdf.queryExecution().toString()
+
+
 def test_overlap_and_greedy(tables):
     items, docs = tables
     got = {r["ID"]: r["LABEL_BINARY"] for r in C.overlap_label(items, docs).collect()}
