@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 BOXED = r"\\boxed\s*\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
 STEP_SUFFIX = "\nPlease reason step by step, and put your final answer within \\boxed"
 SYSTEM_TEXT = "You are a helpful assistant."
-EMPTY_TEMPLATE = "{question}"
+STEP_LEAD = " Let's think step by step.\nA:"
+SHOT_CLOSING = "\nThe final answer is \\boxed{"
 ZERO_SHOT_TEMPLATE = (
     "\nI have a math probelm. Please provide your answer to that problem in the following format:\n"
     "1. Present the detailed calculations and reasoning in line with the problem. Think step by step.\n"
@@ -79,7 +80,7 @@ def detector_text(problem: Column, solution: Column, mode: str = "joined") -> Co
 
 def format_shot(answer: Column, extracted: Column) -> Column:
     """Worked answer, closed by the boxed result when one is known."""
-    closing = F.concat(answer, F.lit("\nThe final answer is \\boxed{"), extracted, F.lit("}."))
+    closing = F.concat(answer, F.lit(SHOT_CLOSING), extracted, F.lit("}."))
     return F.when(F.length(extracted) > 0, closing).otherwise(answer)
 
 
@@ -89,7 +90,7 @@ def fill_template(template: str, question: Column) -> Column:
 
 def prompt_plain(shots: Column, question: Column) -> Column:
     """Question/answer blocks parted by blank lines; ``shots`` holds (q, a) structs."""
-    lead = F.lit(" Let's think step by step.\nA:")
+    lead = F.lit(STEP_LEAD)
     solved = F.transform(
         shots, lambda s: F.concat(F.lit("Q: "), s["q"], lead, F.lit(" "), s["a"])
     )

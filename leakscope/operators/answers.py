@@ -13,14 +13,14 @@ from leakscope.session import fits_broadcast
 
 
 def add_shots(
-    df: DataFrame, n: int, order: str, by: str = "CATEGORY", key: str = "ID"
+    df: DataFrame, n: int, order: str, by: str = "CATEGORY", key: str = "ID", donors: str = "true"
 ) -> DataFrame:
     """Adds ``shots`` (array of q, a) and ``shot_ids``; both are empty for n = 0.
 
     The first n rows of a category are the shots of all others; those first n
     get the last n instead. Rows are ordered by ``order``, then by ``key``; a
-    null category is one of its own. Only 2n rows per category are gathered:
-    whether a row is among the first n follows from the place of the n-th row.
+    null category is one of its own. Only rows where ``donors`` holds serve as
+    shots. Only 2n rows per category are gathered.
     """
     if n == 0:
         return df.withColumns(
@@ -36,19 +36,19 @@ def add_shots(
         format_shot(F.col("SOLUTION"), F.coalesce("EXTRACTED_ANSWER", F.lit(""))).alias("a"),
         F.col(key).cast("string").alias("id"),
     )
-    slim = df.select(by, F.col(order).alias("_o"), F.col(key).alias("_k"), shot.alias("s"))
+    slim = df.where(donors).select(by, F.col(order).alias("_o"), F.col(key).alias("_k"), shot.alias("s"))
 
     def gather(direction: Callable[[str], Column], name: str) -> DataFrame:
         chosen = top_k(slim, [by], [direction("_o"), direction("_k")], n)
         return chosen.groupBy(by).agg(F.array_sort(F.collect_list("s")).alias(name))
 
     picks = join_null_safe(gather(F.asc, "_head"), gather(F.desc, "_tail"), [by])
-    joined = join_null_safe(df, F.broadcast(picks) if fits_broadcast(picks) else picks, [by])
+    joined = join_null_safe(df, F.broadcast(picks) if fits_broadcast(picks) else picks, [by], "left")
     enough = F.when(
-        F.size("_head") < n,
+        F.coalesce(F.size("_head"), F.lit(0)) < n,
         F.raise_error(F.lit(f"fewer than {n} rows in a category")),
     ).otherwise(
-        F.when(place <= F.element_at("_head", -1)["p"], F.col("_tail")).otherwise(F.col("_head"))
+        F.when(F.exists("_head", lambda s: s["p"].eqNullSafe(place)), F.col("_tail")).otherwise(F.col("_head"))
     )
     return joined.withColumn("_use", enough).select(
         *df.columns,
@@ -57,18 +57,22 @@ def add_shots(
     )
 
 
-def add_prompts(df: DataFrame, n: int, model: str, order: str, by: str = "CATEGORY") -> DataFrame:
+def add_prompts(
+    df: DataFrame, n: int, model: str, order: str, by: str = "CATEGORY", donors: str = "true"
+) -> DataFrame:
     """Adds ``formatted_prompt`` for the model family and ``shot_ids``."""
     return (
-        add_shots(df, n, order, by)
+        add_shots(df, n, order, by, donors=donors)
         .withColumn("formatted_prompt", build_prompt(F.lit(model), F.col("shots"), F.col("PROBLEM")))
         .drop("shots")
     )
 
 
-def add_plain_prompts(df: DataFrame, n: int, order: str, by: str = "CATEGORY") -> DataFrame:
+def add_plain_prompts(
+    df: DataFrame, n: int, order: str, by: str = "CATEGORY", donors: str = "true"
+) -> DataFrame:
     return (
-        add_shots(df, n, order, by)
+        add_shots(df, n, order, by, donors=donors)
         .withColumn("formatted_prompt", prompt_plain(F.col("shots"), F.col("PROBLEM")))
         .drop("shots")
     )

@@ -212,26 +212,26 @@ def model_name(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "left_join_answers",
-    S.with_(S.QA)
-    + "SELECT q.conv_id, q.PROBLEM, a.SOLUTION FROM q LEFT JOIN a USING (conv_id)",
+    S.with_(S.QA) + "SELECT conv_id, turn, PROBLEM, SOLUTION FROM qa",
 )
 def left_join_answers(spark: SparkSession, sf: str) -> DataFrame:
-    return shape.with_answers(T.questions(spark, sf), T.answers(spark, sf), "conv_id").select(
-        "conv_id", "PROBLEM", "SOLUTION"
+    pairs = T.exchanges(spark, sf).withColumn("ID", F.concat_ws("-", "conv_id", "turn"))
+    verbose = pairs.where("SOLUTION is not null").select("ID", "SOLUTION")
+    return shape.with_answers(pairs.drop("SOLUTION"), verbose).select(
+        "conv_id", "turn", "PROBLEM", "SOLUTION"
     )
 
 
 @query(
     "detector_text",
     S.with_(S.QA)
-    + """SELECT q.conv_id, md5(PROBLEM || coalesce(SOLUTION, '')) AS joined, md5(concat_ws(' ', PROBLEM, SOLUTION)) AS spaced
-  FROM q LEFT JOIN a USING (conv_id)""",
+    + """SELECT conv_id, turn, md5(PROBLEM || coalesce(SOLUTION, '')) AS joined, md5(concat_ws(' ', PROBLEM, SOLUTION)) AS spaced
+  FROM qa""",
 )
 def detector_text(spark: SparkSession, sf: str) -> DataFrame:
-    rows = shape.with_answers(T.questions(spark, sf), T.answers(spark, sf), "conv_id")
     p, s = F.col("PROBLEM"), F.col("SOLUTION")
-    return rows.select(
-        "conv_id", F.md5(X.detector_text(p, s)).alias("joined"),
+    return T.exchanges(spark, sf).select(
+        "conv_id", "turn", F.md5(X.detector_text(p, s)).alias("joined"),
         F.md5(X.detector_text(p, s, "spaced")).alias("spaced"),
     )
 
@@ -287,42 +287,47 @@ SHOTS = 3
 
 
 def _qa(spark: SparkSession, sf: str) -> DataFrame:
-    rows = T.questions(spark, sf).join(T.answers(spark, sf), "conv_id")
-    return rows.select(
-        F.col("conv_id").alias("ID"),
+    return T.exchanges(spark, sf).select(
+        F.concat_ws("-", "conv_id", "turn").alias("ID"),
+        F.struct("conv_id", "turn").alias("place"),
         F.when(F.length("PROBLEM") < 200, "short").otherwise("long").alias("CATEGORY"),
         "PROBLEM", "SOLUTION",
         F.element_at(F.split("SOLUTION", " "), 1).alias("EXTRACTED_ANSWER"),
     )
 
 
+def _prompts(spark: SparkSession, sf: str, model: str) -> DataFrame:
+    """Few-shot prompts for every user turn; answered turns serve as shots."""
+    return AN.add_prompts(_qa(spark, sf), SHOTS, model, "place", donors="SOLUTION is not null")
+
+
+_STEP, _LEAD = S.text(X.STEP_SUFFIX), S.text(X.STEP_LEAD)
 _SHOT_SQL = (
     S.QA,
-    """item AS (SELECT conv_id AS ID, CASE WHEN length(PROBLEM) < 200 THEN 'short' ELSE 'long' END AS CATEGORY, PROBLEM,
+    f"""item AS (SELECT conv_id || '-' || turn AS ID, conv_id, turn, CASE WHEN length(PROBLEM) < 200 THEN 'short' ELSE 'long' END AS CATEGORY, PROBLEM,
   CASE WHEN length(string_split(SOLUTION, ' ')[1]) > 0
-    THEN SOLUTION || chr(10) || 'The final answer is \\boxed{' || string_split(SOLUTION, ' ')[1] || '}.' ELSE SOLUTION END AS shot FROM qa),
-num AS (SELECT *, row_number() OVER (PARTITION BY CATEGORY ORDER BY ID) - 1 AS idx, count(*) OVER (PARTITION BY CATEGORY) AS n FROM item)""".replace("\\\\", "\\"),
-    f"""head AS (SELECT CATEGORY, list(struct_pack(q := PROBLEM, a := shot, id := ID) ORDER BY idx) AS s FROM num WHERE idx < {SHOTS} GROUP BY CATEGORY),
+    THEN SOLUTION || {S.text(X.SHOT_CLOSING)} || string_split(SOLUTION, ' ')[1] || '}}.' ELSE SOLUTION END AS shot FROM qa),
+num AS (SELECT *, row_number() OVER (PARTITION BY CATEGORY ORDER BY conv_id, turn) - 1 AS idx, count(*) OVER (PARTITION BY CATEGORY) AS n
+  FROM item WHERE shot IS NOT NULL),
+head AS (SELECT CATEGORY, list(struct_pack(q := PROBLEM, a := shot, id := ID) ORDER BY idx) AS s FROM num WHERE idx < {SHOTS} GROUP BY CATEGORY),
 tail AS (SELECT CATEGORY, list(struct_pack(q := PROBLEM, a := shot, id := ID) ORDER BY idx) AS s FROM num WHERE idx >= n - {SHOTS} GROUP BY CATEGORY),
-shotted AS (SELECT num.ID, num.CATEGORY, num.PROBLEM, CASE WHEN idx < {SHOTS} THEN tail.s ELSE head.s END AS s
-  FROM num JOIN head USING (CATEGORY) JOIN tail USING (CATEGORY))""",
+shotted AS (SELECT item.ID, item.CATEGORY, item.PROBLEM, CASE WHEN num.idx < {SHOTS} THEN tail.s ELSE head.s END AS s
+  FROM item LEFT JOIN num USING (ID) JOIN head ON head.CATEGORY = item.CATEGORY JOIN tail ON tail.CATEGORY = item.CATEGORY)""",
 )
-_TAIL = X.STEP_SUFFIX.replace("\n", "' || chr(10) || '")
 
 
 @query(
     "few_shot_prompts",
     S.with_(*_SHOT_SQL)
     + f"""SELECT ID, array_to_string(list_transform(s, lambda x: x.id), ',') AS shot_ids,
-  md5('system:{X.SYSTEM_TEXT}' || chr(10) || array_to_string(list_transform(s, lambda x: 'user:' || x.q || '{_TAIL}' || chr(10) || 'assistant:' || x.a), chr(10))
-  || chr(10) || 'user:' || PROBLEM || '{_TAIL}') AS prompt_md5 FROM shotted""",
+  md5('system:{X.SYSTEM_TEXT}' || chr(10) || array_to_string(list_transform(s, lambda x: 'user:' || x.q || {_STEP} || chr(10) || 'assistant:' || x.a), chr(10))
+  || chr(10) || 'user:' || PROBLEM || {_STEP}) AS prompt_md5 FROM shotted""",
 )
 def few_shot_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    made = AN.add_prompts(_qa(spark, sf), SHOTS, "olmo-chat", "ID")
     flat = F.array_join(
         F.transform("formatted_prompt", lambda t: F.concat_ws(":", t["role"], t["content"])), "\n"
     )
-    return made.select(
+    return _prompts(spark, sf, "olmo-chat").select(
         "ID", F.array_join("shot_ids", ",").alias("shot_ids"), F.md5(flat).alias("prompt_md5")
     )
 
@@ -330,37 +335,33 @@ def few_shot_prompts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "prompt_plain",
     S.with_(*_SHOT_SQL)
-    + """SELECT ID, array_to_string(list_transform(s, lambda x: 'Q: ' || x.q || ' Let''s think step by step.' || chr(10) || 'A: ' || x.a), chr(10) || chr(10))
-  || chr(10) || chr(10) || 'Q: ' || PROBLEM || ' Let''s think step by step.' || chr(10) || 'A:' AS formatted_prompt FROM shotted""",
+    + f"""SELECT ID, array_to_string(list_transform(s, lambda x: 'Q: ' || x.q || {_LEAD} || ' ' || x.a), chr(10) || chr(10))
+  || chr(10) || chr(10) || 'Q: ' || PROBLEM || {_LEAD} AS formatted_prompt FROM shotted""",
 )
 def prompt_plain(spark: SparkSession, sf: str) -> DataFrame:
-    return AN.add_plain_prompts(_qa(spark, sf), SHOTS, "ID").select("ID", "formatted_prompt")
+    made = AN.add_plain_prompts(_qa(spark, sf), SHOTS, "place", donors="SOLUTION is not null")
+    return made.select("ID", "formatted_prompt")
 
 
 @query(
     "prompt_chat",
-    S.with_(S.QA)
-    + f"""SELECT conv_id AS ID, unnest(range(0, 1))::INTEGER AS pos, 'user' AS role, PROBLEM || '{_TAIL}' AS content FROM q""",
+    S.with_(*_SHOT_SQL)
+    + f"""SELECT ID, (2 * k)::INTEGER AS pos, 'user' AS role, s[k + 1].q || {_STEP} AS content FROM shotted, (SELECT unnest(range(0, {SHOTS})) AS k)
+UNION ALL SELECT ID, (2 * k + 1)::INTEGER, 'assistant', s[k + 1].a FROM shotted, (SELECT unnest(range(0, {SHOTS})) AS k)
+UNION ALL SELECT ID, {2 * SHOTS}::INTEGER, 'user', PROBLEM || {_STEP} FROM shotted""",
 )
 def prompt_chat(spark: SparkSession, sf: str) -> DataFrame:
-    no_shots = F.array().cast("array<struct<q:string,a:string>>")
-    rows = T.questions(spark, sf).withColumn("chat", X.prompt_chat(no_shots, F.col("PROBLEM")))
-    return rows.select(F.col("conv_id").alias("ID"), F.posexplode("chat").alias("pos", "t")).select(
-        "ID", "pos", "t.role", "t.content"
-    )
+    return _prompts(spark, sf, "deepseek-chat").select(
+        "ID", F.posexplode("formatted_prompt").alias("pos", "t")
+    ).select("ID", "pos", "t.role", "t.content")
 
 
 @query(
     "zero_shot_prompts",
     S.with_(S.QA)
-    + "SELECT conv_id AS ID, md5("
-    + " || ".join(
-        "PROBLEM" if part == "{question}" else "'" + part.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-        for part in (X.ZERO_SHOT_TEMPLATE.replace("{question}", ""), "{question}")
-    )
-    + ") AS prompt_md5 FROM q",
+    + f"""SELECT conv_id || '-' || turn AS ID, md5({S.text(X.ZERO_SHOT_TEMPLATE.replace("{question}", ""))} || PROBLEM) AS prompt_md5 FROM qa""",
 )
 def zero_shot_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    return T.questions(spark, sf).select(
-        F.col("conv_id").alias("ID"), F.md5(X.fill_template(X.ZERO_SHOT_TEMPLATE, F.col("PROBLEM"))).alias("prompt_md5")
+    return _qa(spark, sf).select(
+        "ID", F.md5(X.fill_template(X.ZERO_SHOT_TEMPLATE, F.col("PROBLEM"))).alias("prompt_md5")
     )

@@ -53,9 +53,14 @@ CORRECT = """cor AS (SELECT doc_id::VARCHAR AS ID, lang AS CATEGORY, source AS M
   CASE WHEN toxic = 1 THEN 'Conta' ELSE 'Clean' END AS LABEL, quality AS CORRECTNESS
   FROM documents JOIN labels USING (doc_id))"""
 
-QA = """q AS (SELECT conv_id, arg_min(text, turn) AS PROBLEM FROM conversations WHERE role = 'user' GROUP BY conv_id),
-a AS (SELECT conv_id, arg_min(text, turn) AS SOLUTION FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-qa AS (SELECT q.conv_id, PROBLEM, SOLUTION FROM q JOIN a USING (conv_id))"""
+# Every user turn with the assistant turn right after it, if there is one.
+QA = """qa AS (SELECT q.conv_id, q.turn, q.text AS PROBLEM, a.text AS SOLUTION FROM conversations q
+  LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user')"""
+
+
+def text(value: str) -> str:
+    """A string as an SQL literal, line ends spelled out."""
+    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
 def with_(*parts: str, recursive: bool = False) -> str:

@@ -86,16 +86,13 @@ def correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First user turn of each conversation."""
-    return _first_turn(spark, sf_dir, "user", "PROBLEM")
+def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One item per user turn, with the assistant turn right after it as its SOLUTION.
 
-
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First assistant turn of each conversation."""
-    return _first_turn(spark, sf_dir, "assistant", "SOLUTION")
-
-
-def _first_turn(spark: SparkSession, sf_dir: str, role: str, name: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where(F.col("role") == role)
-    return turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias(name))
+    A user turn without an answer has a null SOLUTION. Both sides meet on
+    (conv_id, turn), so a long conversation spreads like any other rows.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").selectExpr("conv_id", "turn", "text as PROBLEM")
+    said = turns.where("role = 'assistant'").selectExpr("conv_id", "turn - 1 as turn", "text as SOLUTION")
+    return asked.join(said, ["conv_id", "turn"], "left")
