@@ -245,17 +245,32 @@ def perplexity(scores: Column) -> Column:
     return F.exp(-A.array_mean(scores))
 
 
-def join_votes(frames: Sequence[DataFrame], cols: Sequence[str], key: str = "ID") -> DataFrame:
-    """Items present in every frame, with one vote column per frame."""
-    out = frames[0].select(key, cols[0])
-    for frame, col in zip(frames[1:], cols[1:], strict=True):
-        out = out.join(frame.select(key, col), key, "inner")
-    return out
+def join_votes(
+    frames: Sequence[DataFrame], cols: Sequence[str], keys: Sequence[str] = ("model_id", "ID")
+) -> DataFrame:
+    """Items present in every frame, with one vote column per frame.
+
+    Frames become one long table of votes that a single aggregation pivots, instead of a
+    join for each further frame. A vote may be null: the item counts as present. Of
+    several rows of an item in one frame the highest vote counts.
+    """
+    long = None
+    for i, (frame, col) in enumerate(zip(frames, cols, strict=True)):
+        votes = frame.select(*keys, F.lit(i).alias("_frame"), F.col(col).alias("_vote"))
+        long = votes if long is None else long.unionByName(votes)
+    cast = long.groupBy(*keys).agg(
+        F.count_distinct("_frame").alias("_present"),
+        *[F.max(F.when(F.col("_frame") == i, F.col("_vote"))).alias(col) for i, col in enumerate(cols)],
+    )
+    return cast.where(F.col("_present") == len(cols)).drop("_present")
 
 
 def majority_vote(df: DataFrame, cols: Sequence[str], seed: int = 42, key: str = "ID") -> DataFrame:
-    """Adds PREDICTION_BINARY; a tie is settled by the md5 of (seed, key)."""
-    ones = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
+    """Adds PREDICTION_BINARY; a tie is settled by the md5 of (seed, key).
+
+    A null vote is no vote for 1: it counts as 0.
+    """
+    ones = sum(F.when(F.col(c) == 1, 1).otherwise(0) for c in cols)
     coin = (F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key)), 1, 1) < "8").cast("int")
     half = F.lit(len(cols))
     return df.withColumn(

@@ -204,6 +204,22 @@ def gap_pivot(
     return wide.withColumn("gap", F.abs(gap) if absolute else gap)
 
 
+def by_contaminated_mean(pivot: DataFrame, index: str) -> DataFrame:
+    """A gap pivot with its rows' ``place``: highest Conta mean first, missing means last.
+
+    Ties follow ``index``. Places come from sorted ranges, not from one task.
+    """
+    keyed = pivot.withColumns(
+        {
+            "_all": F.lit(0),
+            "_none": F.col("Conta_mean").isNull().cast("int"),
+            "_down": -F.coalesce("Conta_mean", F.lit(0.0)),
+        }
+    )
+    ranked = running(lay_out(keyed, ["_all"], ["_none", "_down", index]), {"place": "1L"})
+    return ranked.select(*pivot.columns, "place").orderBy("place")
+
+
 def vote_corr(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair, 2 decimals; null for constants."""
     pairs = [(a, b) for a in cols for b in cols]

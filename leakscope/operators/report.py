@@ -11,16 +11,6 @@ from leakscope.functions import arrays as A
 from leakscope.functions.text import method_label, model_name, plus_minus
 from leakscope.operators.shape import best_per_group, filter_params
 
-TEST_COLUMNS = (
-    "model_id", "data_name", "method_name", "method_name_with_param", "accuracy",
-    "accuracy_95CI_lower", "accuracy_95CI_upper", "mcnemar_p_value",
-)
-TRAIN_COLUMNS = (
-    "model_id", "data_name", "method_name_with_param", "mean_val_acc", "std_val_acc",
-    "global_threshold",
-)
-
-
 def flatten_test_logs(logs: DataFrame, params: Sequence[str] = ("parameter1", "parameter2", "theta")) -> DataFrame:
     """One row per test log: metrics as columns, parameters as ``param_*``."""
     m = F.col("metrics")

@@ -84,8 +84,10 @@ def with_answers(items: DataFrame, verbose: DataFrame, key: str = "ID") -> DataF
     return items.join(verbose, key, "left")
 
 
-def with_labels(votes: DataFrame, features: DataFrame, key: str = "ID") -> DataFrame:
-    return features.select(key, "LABEL_BINARY").join(votes, key, "inner")
+def with_labels(
+    votes: DataFrame, features: DataFrame, keys: Sequence[str] = ("ID",)
+) -> DataFrame:
+    return features.select(*keys, "LABEL_BINARY").join(votes, list(keys), "inner")
 
 
 def in_ids(df: DataFrame, ids: DataFrame, key: str = "ID") -> DataFrame:

@@ -83,6 +83,22 @@ def gap_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return wide.select("CATEGORY", *[F.round(c, 9).alias(c) for c in wide.columns if c != "CATEGORY"])
 
 
+@query(
+    "gap_sorted",
+    S.with_(COR)
+    + """SELECT MODEL_SHORT, round(c, 9) AS Conta_mean, round(k, 9) AS Clean_mean, round(c - k, 9) AS gap,
+  row_number() OVER (ORDER BY c DESC NULLS LAST, MODEL_SHORT) - 1 AS place
+  FROM (SELECT MODEL_SHORT, avg(CORRECTNESS) FILTER (LABEL = 'Conta') AS c, avg(CORRECTNESS) FILTER (LABEL = 'Clean') AS k FROM cor GROUP BY MODEL_SHORT)""",
+)
+def gap_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """Signed gaps per model, models with the highest contaminated accuracy first."""
+    wide = M.gap_pivot(T.correctness(spark, sf), "MODEL_SHORT")
+    means = ("Conta_mean", "Clean_mean", "gap")
+    return M.by_contaminated_mean(wide, "MODEL_SHORT").select(
+        "MODEL_SHORT", *[F.round(c, 9).alias(c) for c in means], "place"
+    )
+
+
 _SCORES = """sc AS (SELECT MODEL_SHORT, CATEGORY, avg(CORRECTNESS) AS acc, count(*) AS n FROM cor GROUP BY MODEL_SHORT, CATEGORY),
 pos AS (SELECT *, list_position(['en', 'fr', 'de', 'es'], CATEGORY) AS grid_pos FROM sc)"""
 

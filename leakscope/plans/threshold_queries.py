@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leakscope.operators import detectors as D
 from leakscope.operators import metrics as M
+from leakscope.operators import report as R
 from leakscope.operators import shape
 from leakscope.operators import thresholds as TH
 from leakscope.plans import sql as S
@@ -299,6 +300,129 @@ def evaluate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_LOGS = """m AS (SELECT 'n_words' AS grp, '150.0' AS theta, y, n_words > 150 AS p FROM large
+  UNION ALL SELECT 'n_chars', '1000.0', y, n_chars > 1000 FROM large),
+cm AS (SELECT grp, theta, count(*) FILTER (y = 0 AND NOT p) AS tn, count(*) FILTER (y = 0 AND p) AS fp, count(*) FILTER (y = 1 AND NOT p) AS fn,
+  count(*) FILTER (y = 1 AND p) AS tp FROM m GROUP BY grp, theta)"""
+
+
+@query(
+    "flatten_test_logs",
+    S.with_(
+        LARGE, _LOGS.replace("grp", "method"),
+        _resampled("SELECT method AS grp, tn + fp + fn + tp AS n, tn + tp AS c FROM cm", "b"),
+    )
+    + f"""SELECT 'org/corpus' AS model_id, 'documents' AS data_name, method AS method_name,
+  method || '_parameter1=None_parameter2=None_theta=' || theta AS method_name_with_param, theta AS param_theta,
+  round((tn + tp)::DOUBLE / (tn + fp + fn + tp), 9) AS accuracy, round(acc_lower, 9) AS accuracy_95CI_lower,
+  round(acc_upper, 9) AS accuracy_95CI_upper, round(coalesce((2 * tp)::DOUBLE / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1_score,
+  tn AS mcnemar_b, fn AS mcnemar_c, round({S.mcnemar('tn', 'fn')}, 9) AS mcnemar_p_value, tp, 1000 AS n_bootstrap
+  FROM cm JOIN bound ON bound.grp = cm.method""",
+)
+def flatten_test_logs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = settle(T.labelled_documents(spark, sf))
+    logs = [
+        tuning.evaluate(docs, c, THETAS[c], "org/corpus", "documents", c) for c in ("n_words", "n_chars")
+    ]
+    log = logs[0].unionByName(logs[1])
+    names = ("parameter1", "parameter2", "theta")
+    pairs = F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"parameter.{n}"))])
+    flat = R.flatten_test_logs(log.withColumn("parameter", pairs))
+    rounded = ("accuracy", "accuracy_95CI_lower", "accuracy_95CI_upper", "f1_score", "mcnemar_p_value")
+    return flat.select(
+        "model_id", "data_name", "method_name", "method_name_with_param", "param_theta", "mcnemar_b",
+        "mcnemar_c", F.col("confusion_matrix")[1][1].alias("tp"), "n_bootstrap",
+        *[F.round(c, 9).alias(c) for c in rounded],
+    )
+
+
+LOG_KS = (5, 10, 20, 40)  # one per feature; the last is not in the summary's list
+
+
+def train_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Tuning records per language: every feature in turn, and one pair of features."""
+    by_language = features_long(spark, sf).withColumn("model_id", F.concat(F.lit("org/"), "CATEGORY"))
+    single = tuning.tune(by_language, by=("model_id", "grid_pos"))
+    pair = tuning.tune_pair(
+        T.labelled_documents(spark, sf).select(
+            "ID", "LABEL_BINARY", F.concat(F.lit("org/"), "CATEGORY").alias("model_id"),
+            F.lit(len(FEATURES)).alias("grid_pos"), "n_words", "distinct_share",
+        ),
+        "n_words", "distinct_share", by=("model_id", "grid_pos"),
+    )
+    k = F.array(*[F.lit(k) for k in LOG_KS])[F.col("grid_pos")]
+    entries = tuning.log_entries(single, "feature", F.create_map(F.lit("k"), k.cast("string")))
+    both = tuning.log_entries(pair, "pair", F.create_map(F.lit("fit"), F.lit("pair")), fit="pair")
+    return tuning.train_log(entries.unionByName(both), "documents", "feature", {"k": str(list(LOG_KS))})
+
+
+_TRAIN = (
+    LARGE,
+    "feat AS (" + " UNION ALL ".join(
+        f"SELECT CATEGORY || '|{i}' AS grid_pos, ID, y, {c}::DOUBLE AS x FROM large" for i, c in enumerate(FEATURES)
+    ) + ")",
+    S.cv(),
+    """flat AS (SELECT 'org/' || split_part(grid_pos, '|', 1) AS model_id, split_part(grid_pos, '|', 2)::INTEGER AS grid_pos,
+  avg(round(test_acc, 6)) FILTER (f >= 0) AS mean_val_acc, stddev_pop(round(test_acc, 6)) FILTER (f >= 0) AS std_val_acc,
+  avg(round(train_acc, 6)) FILTER (f >= 0) AS mean_train_acc, stddev_pop(round(train_acc, 6)) FILTER (f >= 0) AS std_train_acc,
+  avg(round(t, 6)) FILTER (f >= 0) AS mean_threshold, round(max(t) FILTER (f = -1), 6) AS global_threshold FROM cvr GROUP BY 1, 2)""",
+    f"named AS (SELECT *, [{', '.join(map(str, LOG_KS))}][grid_pos + 1] AS k FROM flat)",
+)
+_TRAIN_PAIR = (
+    LARGE,
+    "feat2 AS (SELECT CATEGORY AS grid_pos, ID, y, n_words::DOUBLE AS a, distinct_share AS b FROM large)",
+    S.cv_pair(),
+    """pairs AS (SELECT 'org/' || grid_pos AS model_id, avg(round(test_acc, 6)) FILTER (f >= 0) AS mean_val_acc,
+  stddev_pop(round(test_acc, 6)) FILTER (f >= 0) AS std_val_acc, avg(round(train_acc, 6)) FILTER (f >= 0) AS mean_train_acc,
+  stddev_pop(round(train_acc, 6)) FILTER (f >= 0) AS std_train_acc, avg(round(ta, 6) + round(tb, 6)) FILTER (f >= 0) / 2 AS mean_threshold,
+  round(max(ta) FILTER (f = -1), 6) AS first, round(max(tb) FILTER (f = -1), 6) AS second FROM cvr GROUP BY 1)""",
+)
+_FLAT = ("mean_val_acc", "std_val_acc", "mean_train_acc", "std_train_acc", "mean_threshold")
+_FLAT_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in _FLAT)
+
+
+@query(
+    "flatten_train_logs",
+    "SELECT * FROM (" + S.with_(*_TRAIN)
+    + f"""SELECT model_id, grid_pos, 'feature' AS method_name, 'feature_k=' || k AS method_name_with_param, {_FLAT_SQL},
+  global_threshold AS threshold_1, NULL AS threshold_2, k::VARCHAR AS param_k FROM named) UNION ALL SELECT * FROM ("""
+    + S.with_(*_TRAIN_PAIR)
+    + f"""SELECT model_id, {len(FEATURES)} AS grid_pos, 'pair' AS method_name, 'pair_fit=pair' AS method_name_with_param, {_FLAT_SQL},
+  first AS threshold_1, second AS threshold_2, NULL AS param_k FROM pairs)""",
+)
+def flatten_train_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Tuning results written as records of one type and flattened again."""
+    flat = R.flatten_train_logs(train_logs(spark, sf), params=("k",))
+    theta = F.col("global_threshold")
+    return flat.select(
+        "model_id", "grid_pos", "method_name", "method_name_with_param", "param_k",
+        F.try_element_at(theta, F.lit(1)).alias("threshold_1"),
+        F.try_element_at(theta, F.lit(2)).alias("threshold_2"),
+        *[F.round(c, 6).alias(c) for c in _FLAT],
+    )
+
+
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+@query(
+    "summary_table",
+    S.with_(
+        *_TRAIN,
+        """cell AS (SELECT 'feature_k=' || k AS method, split_part(model_id, '/', 2) AS lang, round_even(mean_val_acc, 2) AS m,
+  round_even(std_val_acc, 3) AS s FROM named WHERE k IN (5, 10, 20, 30))""",
+    )
+    + "SELECT method AS method_name_with_param, "
+    + ", ".join(f"max(m || ' ± ' || s) FILTER (lang = '{x}') AS {x}" for x in LANGUAGES)
+    + """, round_even(avg(m), 4) || ' ± ' || coalesce(round_even(stddev_samp(m), 4)::VARCHAR, 'nan') AS result FROM cell GROUP BY method
+UNION ALL SELECT 'baseline', """
+    + ", ".join("'0.5 ± 0.0'" for _ in range(len(LANGUAGES) + 1)),
+)
+def summary_table(spark: SparkSession, sf: str) -> DataFrame:
+    single = R.flatten_train_logs(train_logs(spark, sf), params=("k", "alpha")).where("method_name = 'feature'")
+    return R.summary_table(single, models=LANGUAGES)
+
+
 @query(
     "run_detector",
     S.with_(LARGE)
@@ -322,10 +446,44 @@ def run_detector(spark: SparkSession, sf: str) -> DataFrame:
 def join_votes(spark: SparkSession, sf: str) -> DataFrame:
     table = votes(spark, sf)
     cols = ["v_n_words", "v_distinct_share", "v_n_chars"]
-    joined = D.join_votes([table.select("ID", c) for c in cols], cols)
+    joined = D.join_votes([table.select("ID", c) for c in cols], cols, ["ID"])
     return shape.with_labels(joined, table)
 
 
+# Two models with rules of their own, frames that lack items, and votes that are null.
+SCALES = {"mild": 1.0, "strict": 1.5}
+
+
+@query(
+    "ensemble_votes",
+    S.with_(
+        LARGE,
+        "model AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {x!r}::DOUBLE)" for m, x in SCALES.items()) + ") t(model_id, scale))",
+        f"""cast_votes AS (SELECT model_id, ID, CATEGORY, y, (n_words > {THETAS['n_words']!r}::DOUBLE * scale)::INTEGER AS v_n_words,
+  CASE WHEN digit_share > 0 THEN (distinct_share > {THETAS['distinct_share']!r}::DOUBLE * scale)::INTEGER END AS v_distinct_share,
+  (n_chars > {THETAS['n_chars']!r}::DOUBLE * scale)::INTEGER AS v_n_chars, (chars_per_word > {THETAS['chars_per_word']!r}::DOUBLE)::INTEGER AS v_chars_per_word
+  FROM large, model WHERE NOT (model_id = 'strict' AND CATEGORY = 'fr'))""",
+    )
+    + """SELECT model_id, ID, y AS LABEL_BINARY, v_n_words, v_distinct_share, v_n_chars, v_chars_per_word,
+  (CASE WHEN s = 2 THEN CASE WHEN substr(md5('42|' || ID), 1, 1) < '8' THEN 1 ELSE 0 END WHEN s > 2 THEN 1 ELSE 0 END)::INTEGER AS PREDICTION_BINARY
+  FROM (SELECT *, v_n_words + coalesce(v_distinct_share, 0) + v_n_chars + v_chars_per_word AS s FROM cast_votes)""",
+)
+def ensemble_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """Votes of four detectors for two models, joined on (model_id, ID), and their majority."""
+    scales = F.explode(
+        F.array(*[F.struct(F.lit(m).alias("model_id"), F.lit(x).alias("scale")) for m, x in SCALES.items()])
+    )
+    docs = T.labelled_documents(spark, sf).withColumn("m", scales).select("*", "m.model_id", "m.scale")
+    cols = ["v_n_words", "v_distinct_share", "v_n_chars", "v_chars_per_word"]
+    rules = {c: F.expr(f"cast({c[2:]} > {THETAS[c[2:]]!r}D * scale as int)") for c in cols[:3]}
+    rules["v_chars_per_word"] = F.expr(f"cast(chars_per_word > {THETAS['chars_per_word']!r}D as int)")
+    rules["v_distinct_share"] = F.when(F.col("digit_share") > 0, rules["v_distinct_share"])
+    frames = [docs.select("model_id", "ID", "CATEGORY", rules[c].alias(c)) for c in cols]
+    frames[2] = frames[2].where("not (model_id = 'strict' and CATEGORY = 'fr')")
+    voted = D.majority_vote(D.join_votes(frames, cols), cols)
+    return shape.with_labels(voted, docs, ["model_id", "ID"])
+
+
 @query(
     "majority_vote",
     S.with_(LARGE, VOTES)

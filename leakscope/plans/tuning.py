@@ -105,6 +105,88 @@ def tune_pair(
     return _mark_best(_summary(cv, by, pair=True), by)
 
 
+def log_entries(
+    tuned: DataFrame, method: str, parameter: Column, fit: str | None = None
+) -> DataFrame:
+    """Tuning results as log entries: the columns of ``tuned`` that name groups, and ``entry``.
+
+    One type holds every kind of grid: parameters are a map of text, and thresholds,
+    a number or a pair, are variants. Entries of several grids can be put in one union.
+    """
+    pair = "global_threshold_1" in tuned.columns
+
+    def variant(value: Column) -> Column:
+        return F.try_parse_json(F.to_json(F.struct(value.alias("v"))))
+
+    if pair:
+        both = variant(F.array("global_threshold_1", "global_threshold_2"))
+        listed = variant(
+            F.transform(
+                F.arrays_zip("all_thresholds_1", "all_thresholds_2"),
+                lambda t: F.array(t["all_thresholds_1"], t["all_thresholds_2"]),
+            )
+        )
+    else:
+        both, listed = variant(F.col("global_threshold")), variant(F.col("all_thresholds"))
+    middle = ("median_threshold", "median_threshold_1", "median_threshold_2")
+    entry = F.struct(
+        F.lit(method).alias("method"),
+        F.lit(fit).cast("string").alias("fit"),
+        parameter.cast("map<string,string>").alias("parameter"),
+        F.try_variant_get(both, "$.v", "variant").alias("global_threshold"),
+        *[
+            (F.col(c) if c in tuned.columns else F.lit(None)).cast("double").alias(c)
+            for c in middle
+        ],
+        "mean_cvacc_train",
+        "mean_cvacc_test",
+        F.try_variant_get(listed, "$.v", "variant").alias("all_thresholds"),
+        "all_cvacc_train",
+        "all_cvacc_test",
+    )
+    special = {"is_best", "mean_cvacc_train", "mean_cvacc_test", "all_cvacc_train", "all_cvacc_test"}
+    keys = [c for c in tuned.columns if c not in special and "threshold" not in c]
+    return tuned.select(*keys, entry.alias("entry"))
+
+
+def train_log(
+    entries: DataFrame,
+    data_set: str,
+    method_name: str,
+    parameter_range: dict[str, str],
+    k: int = 5,
+    seed: int = 42,
+) -> DataFrame:
+    """One tuning record per model_id in the train log's shape, from (model_id, grid_pos, entry).
+
+    Entries stand in grid order; the best has the highest mean test accuracy, the earliest
+    of several. A record holds the grid, whose size does not depend on the items.
+    """
+    in_order = F.array_sort(
+        F.collect_list(F.struct("grid_pos", "entry")),
+        lambda a, b: (a["grid_pos"] - b["grid_pos"]).cast("int"),
+    )
+    pairs = [F.lit(v) for kv in parameter_range.items() for v in kv]
+    grid = F.create_map(*pairs) if pairs else F.map_from_arrays(F.array(), F.array())
+    top = F.array_max(F.transform("all_log_entries", lambda e: e["mean_cvacc_test"]))
+    best = F.filter("all_log_entries", lambda e: e["mean_cvacc_test"] == top)
+    return (
+        entries.groupBy("model_id")
+        .agg(in_order.alias("e"))
+        .select(
+            "model_id",
+            F.lit(data_set).alias("data_set"),
+            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("datetime"),
+            F.lit(method_name).alias("method_name"),
+            grid.cast("map<string,string>").alias("parameter_range"),
+            F.lit(k).alias("CV_folds"),
+            F.lit(seed).alias("CV_seed"),
+            F.col("e.entry").alias("all_log_entries"),
+        )
+        .withColumn("best_log_entry", F.get(best, F.lit(0)))
+    )
+
+
 def evaluate(
     df: DataFrame,
     feature: str | Sequence[str],

@@ -15,6 +15,7 @@ from leakscope.functions import probability, saturation
 from leakscope.functions.probability import binomial_quantiles, mcnemar_exact, normal_two_sided
 from leakscope.operators import detectors as D
 from leakscope.operators import metrics as M
+from leakscope.operators import report as R
 from leakscope.operators import shape
 from leakscope.plans import tuning
 
@@ -114,6 +115,22 @@ def test_constant_vote_has_no_correlation(spark):
     assert got[("a", "b")] is None and got[("b", "b")] == 1.0
 
 
+def test_votes_join_on_model_and_id(spark):
+    """Same id in two models, items that a frame lacks, null votes and repeated rows."""
+    kind = "model_id string, ID string, v int"
+    a = spark.createDataFrame([("m", "1", 1), ("n", "1", 0), ("m", "2", None), ("m", "3", 1), (None, "1", 1)], kind)
+    b = spark.createDataFrame([("m", "1", 0), ("n", "1", 0), ("m", "2", 1), ("m", "2", 1), (None, "1", 1)], kind)
+    joined = D.join_votes([a, b.withColumnRenamed("v", "w")], ["v", "w"])
+    assert {tuple(r) for r in joined.collect()} == {
+        ("m", "1", 1, 0), ("n", "1", 0, 0), ("m", "2", None, 1), (None, "1", 1, 1),
+    }
+    got = {(r.model_id, r.ID): r.PREDICTION_BINARY for r in D.majority_vote(joined, ["v", "w"]).collect()}
+    assert got["n", "1"] == 0 and got[None, "1"] == 1
+    coin = {i: int(hashlib.md5(f"42|{i}".encode()).hexdigest()[0] < "8") for i in "12"}
+    assert got["m", "1"] == coin["1"] and got["m", "2"] == coin["2"]
+    assert "Join" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_majority_vote_and_ties(spark):
     df = spark.createDataFrame([("a", 1, 1), ("b", 0, 0), ("c", 1, 0)], "ID string, u int, v int")
     got = {r["ID"]: r["PREDICTION_BINARY"] for r in D.majority_vote(df, ["u", "v"]).collect()}
@@ -225,3 +242,42 @@ def test_shape_helpers(spark):
     ids = df.where("ID = '1'")
     assert shape.in_ids(df, ids).count() == 1
     assert shape.not_in_ids(shape.drop_null_id(df), ids).count() == 1
+
+
+def test_train_log_holds_grids_of_both_kinds(spark):
+    """Entries of single thresholds and of pairs in one record, flattened again."""
+    single = spark.createDataFrame(
+        [("m", 1, 0.0, 0.1, [0.0, 0.2], 0.7, 0.6, [0.7, 0.7], [0.5, 0.7], True),
+         ("m", 0, 2.5, 2.0, [2.0, None], 0.8, 0.6, [0.8, 0.8], [0.6, 0.6], False),
+         ("n", 0, 1.0, 1.0, [1.0, 1.0], 0.9, 0.9, [0.9, 0.9], [0.9, 0.9], True)],
+        "model_id string, grid_pos int, global_threshold double, median_threshold double, all_thresholds array<double>, "
+        "mean_cvacc_train double, mean_cvacc_test double, all_cvacc_train array<double>, all_cvacc_test array<double>, is_best boolean",
+    )
+    pair = spark.createDataFrame(
+        [("m", 2, 1.5, 0.5, 1.0, 0.4, [1.0, 2.0], [0.25, 0.75], 0.6, 0.4, [0.6, 0.6], [0.4, 0.4], True)],
+        "model_id string, grid_pos int, global_threshold_1 double, global_threshold_2 double, median_threshold_1 double, "
+        "median_threshold_2 double, all_thresholds_1 array<double>, all_thresholds_2 array<double>, mean_cvacc_train double, "
+        "mean_cvacc_test double, all_cvacc_train array<double>, all_cvacc_test array<double>, is_best boolean",
+    )
+    k = F.create_map(F.lit("k"), (10 * F.col("grid_pos")).cast("string"))
+    entries = tuning.log_entries(single, "minK", k).unionByName(
+        tuning.log_entries(pair, "curve", F.create_map(F.lit("fit"), F.lit("exponential")), "exponential")
+    )
+    log = tuning.train_log(entries, "d", "minK", {"k": "[0, 10]"})
+    assert log.count() == 2
+    best = log.where("model_id = 'm'").select("best_log_entry.parameter", "CV_folds", "parameter_range").first()
+    assert best["parameter"] == {"k": "0"} and best["CV_folds"] == 5 and best["parameter_range"] == {"k": "[0, 10]"}
+    flat = {(r.model_id, r.grid_pos): r for r in R.flatten_train_logs(log).collect()}
+    assert set(flat) == {("m", 0), ("m", 1), ("m", 2), ("n", 0)}
+    assert flat["m", 1].global_threshold == [0.0] and flat["m", 2].global_threshold == [1.5, 0.5]
+    assert flat["m", 2].method_name_with_param == "curve_fit=exponential" and flat["m", 2].param_k is None
+    assert flat["m", 2].mean_threshold == pytest.approx(1.0)
+    assert flat["m", 1].mean_val_acc == pytest.approx(0.6) and flat["m", 1].std_val_acc == pytest.approx(0.1)
+
+
+def test_gaps_are_placed_by_contaminated_mean(spark):
+    wide = spark.createDataFrame(
+        [("a", 0.5, 0.1), ("b", None, 0.2), ("c", 0.9, None), ("d", 0.5, 0.3)], "m string, Conta_mean double, gap double"
+    )
+    got = [(r.m, r.place) for r in M.by_contaminated_mean(wide, "m").collect()]
+    assert got == [("c", 0), ("a", 1), ("d", 2), ("b", 3)]
