@@ -5,9 +5,8 @@ every 4 bytes) that cover the whole document, each filter keeps its largest answ
 (max pooling), and a logistic unit makes one probability of them.  Long documents
 pass through in pieces whose maxima are combined, so memory does not grow with a text.
 
-The model is fitted on the driver from at most ``SAMPLE_DOCS`` labelled documents,
-those with the smallest hash of their id; of a document longer than
-``SAMPLE_BYTES`` the fit sees evenly spaced parts.  Scores always read whole texts.
+The model is fitted on the driver from a bounded sample of labelled documents, each
+with its whole text.  Scores always read whole texts of all documents.
 """
 
 from __future__ import annotations
@@ -22,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from leakscope.llm import words as W
+from leakscope.llm.shelf import Shelf
 
 STRIDE, TAPS = 4, 4  # a chunk is STRIDE * TAPS bytes
 DIMS, FILTERS = 8, 32
-SAMPLE_DOCS = 8000
-SAMPLE_BYTES = 8192
-PART = 512
+# The fit takes labelled documents in order of a hash of their id, up to so many, and so many
+# bytes of text in all; longer texts than SAMPLE_TEXT are not among them.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT = 8000, 48 << 20, 4 << 20
 STEPS, BATCH, RATE = 400, 64, 0.01
 PIECE = 1 << 20
 
@@ -157,19 +157,13 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int =
     return net
 
 
-def excerpt(text: bytes) -> bytes:
-    """The whole text up to SAMPLE_BYTES, else evenly spaced parts of it."""
-    if len(text) <= SAMPLE_BYTES:
-        return text
-    n = SAMPLE_BYTES // PART
-    return b"".join(text[(at := k * (len(text) - PART) // (n - 1)) : at + PART] for k in range(n))
-
-
 def sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of at most SAMPLE_DOCS labelled documents.
+    """Whole texts and labels of labelled documents, within the three bounds above.
 
-    Rows without id or label, or with contradicting labels, teach nothing.
+    Rows without id or label, or with contradicting labels, teach nothing.  Rows that
+    repeat id and text count once.
     """
+    shelf = Shelf(docs.sparkSession, "sample")
     known = (
         labels.where(F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -177,21 +171,24 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[bytes],
         .where("label = other")
     )
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("doc_id", "label")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = pa.array([excerpt(t) for t in W.utf8(b.column(2))], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), parts], ["doc_id", "label", "part"])
-
-    rows = (
-        docs.select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = shelf.put(
+        docs.select("doc_id", text.cast("binary").alias("text"), F.xxhash64("doc_id").alias("place"))
         .join(F.broadcast(chosen), "doc_id")  # SAMPLE_DOCS rows
-        .select("doc_id", "label", "text")
-        .mapInArrow(cut, "doc_id long, label int, part binary")
-        .collect()
+        .withColumns({"own": F.xxhash64("doc_id", "text"), "size": F.octet_length("text")})
+        .where(F.col("size") <= SAMPLE_TEXT)
+        .dropDuplicates(["doc_id", "own"]),
+        "rows",
     )
-    rows = sorted(rows, key=lambda r: (r.doc_id, bytes(r.part)))[: 2 * SAMPLE_DOCS]
-    return [bytes(r.part) for r in rows], np.array([r.label for r in rows], np.float32)
+    key = ["place", "doc_id", "own"]
+    sizes = rows.select(*key, "size").orderBy(*key).limit(SAMPLE_DOCS).collect()
+    upto = np.searchsorted(np.cumsum([r.size for r in sizes]), SAMPLE_BYTES, side="right")
+    if not upto:
+        return [], np.zeros(0, np.float32)
+    last = sizes[int(upto) - 1]
+    taken = F.struct(*key) <= F.struct(*[F.lit(last[k]).alias(k) for k in key])
+    got = sorted(rows.where(taken).select("doc_id", "label", "text").collect(), key=lambda r: (r.doc_id, bytes(r.text)))
+    return [bytes(r.text) for r in got], np.array([r.label for r in got], np.float32)
 
 
 def with_quality(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
@@ -212,7 +209,10 @@ def with_quality(docs: DataFrame, net: Network, name: str = "score") -> DataFram
 
 
 def score_quality(docs: DataFrame, net: Network) -> DataFrame:
-    """(doc_id, score) of every row of (doc_id, text)."""
+    """(doc_id, score) of every row of (doc_id, text).
+
+    Rows that repeat a text share its score; null ids stay; an empty table gives an empty result.
+    """
     return with_quality(docs.select("doc_id", "text"), net).select("doc_id", "score")
 
 

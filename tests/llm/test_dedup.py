@@ -214,7 +214,7 @@ def test_empty_tables(empty):
 
 
 def test_attach_gives_each_of_repeated_rows_one_result(spark, edge):
-    got = attach(edge, exact_dedup(edge), ["kept"], Shelf(spark, "test"))
+    got = attach(edge, exact_dedup(edge), {"kept": "llm_kept"}, Shelf(spark, "test"))
     assert got.columns == [*edge.columns, "llm_kept"]
     assert got.count() == len(edge_rows())
     kept = Counter(r.text or "" for r in got.where("llm_kept").collect())

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline as P
 import public_tokenizers
 import pytest
+from llm_cases import edge_rows
 from test_dedup import near_brute, substring_brute
 from tokenizers import Tokenizer
 
@@ -97,3 +98,47 @@ def test_packing(stages):
             assert p.offset == ends[-1]
             ends.append(ends[-1] + p.length)
         assert ends[-1] <= 2048
+
+
+CLASHING = "llm_kept llm_score llm_text llm_kept_text attach_id attach_own kept score row key source_key pack_size"
+
+
+@pytest.fixture(scope="module")
+def odd_documents(spark):
+    """Nulls, empty and long texts, repeated rows and ties, with names that stages might use."""
+    names = CLASHING.split()
+    rows = [(i, t, None, None, len(t or ""), *names) for i, t, *_ in edge_rows()]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, "
+    return spark.createDataFrame(rows, kind + ", ".join(f"{n} string" for n in names)).repartition(3)
+
+
+@pytest.mark.parametrize("name,stage", P.STAGES[:-1])
+def test_stages_on_odd_documents(spark, odd_documents, name, stage):
+    before = Counter(map(tuple, odd_documents.collect()))
+    out = stage(spark, odd_documents, SF)
+    assert out.columns == odd_documents.columns
+    after = Counter(map(tuple, out.collect()))
+    texts = {t or "" for _, t, *_ in before}
+    if name == "exact dedup":
+        assert not after - before and Counter(t or "" for _, t, *_ in after.elements()) == Counter(texts)
+    elif name == "substring dedup":
+        assert sum(after.values()) == sum(before.values())
+        assert Counter(r[0] for r in after.elements()) == Counter(r[0] for r in before.elements())
+        assert all(r[4] == len(r[1] or "") for r in after)
+    else:
+        assert after and not after - before
+    assert stage(spark, odd_documents.limit(0), SF).collect() == []
+
+
+def test_packing_of_odd_documents(spark, odd_documents):
+    docs = odd_documents.collect()
+    pieces = P.packing(spark, odd_documents, SF).collect()
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for r in docs:
+        want[r.doc_id] += len(library.encode(r.text or "", add_special_tokens=False).ids) + 1
+    got = Counter()
+    for p in pieces:
+        got[p.doc_id] += p.length
+    assert got == want
+    assert P.packing(spark, odd_documents.limit(0), SF).collect() == []

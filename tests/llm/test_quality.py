@@ -111,10 +111,22 @@ def test_gradients_like_differences():
             assert (up - down) / 2e-5 == pytest.approx(g[k], rel=1e-2, abs=1e-6)
 
 
-def test_excerpt_spans_the_text():
-    text = bytes(np.random.default_rng(0).integers(0, 256, 50_000, np.uint8))
-    got = Q.excerpt(text)
-    assert len(got) == Q.SAMPLE_BYTES and got[: Q.PART] == text[: Q.PART] and got[-Q.PART :] == text[-Q.PART :]
+def test_sample_takes_whole_texts_within_its_bounds(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(k, f"{k} " * (k + 1)) for k in range(60)] + [(5, "other"), (5, "other"), (60, "x" * 500)],
+        "doc_id long, text string",
+    ).repartition(4)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(61)], "doc_id long, quality int")
+    whole = {f"{k} " * (k + 1) for k in range(60)} | {"other", "x" * 500}
+    texts, y = Q.sample(docs, labels, "quality")
+    assert len(texts) == len(y) == 62 and {t.decode() for t in texts} == whole
+    for name, value in (("SAMPLE_DOCS", 20), ("SAMPLE_BYTES", 900), ("SAMPLE_TEXT", 100)):
+        with monkeypatch.context() as m:
+            m.setattr(Q, name, value)
+            few, _ = Q.sample(docs, labels, "quality")
+            assert 0 < len(few) < 62 and {t.decode() for t in few} < whole
+            assert sum(map(len, few)) <= Q.SAMPLE_BYTES and max(map(len, few)) <= Q.SAMPLE_TEXT
+            assert few == Q.sample(docs.repartition(2), labels, "quality")[0]
 
 
 def held_out_rows(spark, name, label, folds, fold):
