@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 
 # Bytes of pieces and ids that a generation of one Python worker's memory may hold, with
 # what Python needs for an entry besides the piece itself.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 56 << 20
 ENTRY_BYTES = 150
 # Longer texts are encoded part by part.
 LONG_TEXT = 1 << 20
