@@ -150,10 +150,6 @@ def truncate_samples(samples: Column, end: Column) -> Column:
     return F.transform(samples, lambda ids: truncate_ids(ids, end))
 
 
-def cut_greedy(ids: Column, n: Column) -> Column:
-    return F.slice(ids, F.lit(1), n)
-
-
 def max_length(greedy: Column, samples: Column) -> Column:
     longest = F.aggregate(samples, F.lit(0), lambda acc, s: F.greatest(acc, F.size(s)))
     return F.greatest(F.size(greedy), longest)
@@ -169,8 +165,10 @@ def _one_char(position: Column) -> Column:
 def token_distance(a: Column, b: Column, limit: Column | None = None) -> Column:
     """Edit distance over tokens with unit costs.
 
-    Each distinct token of the pair becomes one character, after which the
-    built-in string distance counts tokens.
+    Each distinct token of the pair becomes one character, after which the built-in string
+    distance counts tokens; a pair may have 1.1 million distinct tokens.  With ``limit`` only
+    a band of that width around the diagonal is computed, and any larger distance is given
+    as ``limit + 1``; a negative limit counts as 0.
     """
     known = F.array_distinct(F.concat(a, b))
 
@@ -179,7 +177,11 @@ def token_distance(a: Column, b: Column, limit: Column | None = None) -> Column:
             F.transform(tokens, lambda t: _one_char(F.array_position(known, t))), ""
         )
 
-    return F.levenshtein(encode(a), encode(b))
+    if limit is None:
+        return F.levenshtein(encode(a), encode(b))
+    bound = F.greatest(limit.cast("int"), F.lit(0))
+    near = F.call_function("levenshtein", encode(a), encode(b), bound)
+    return F.when(near < 0, bound + 1).otherwise(near)
 
 
 def peak(distances: Column, longest: Column, alpha: Column) -> Column:

@@ -70,11 +70,14 @@ def ngram_ll_features(
     )
 
 
-def sample_distances(generation: DataFrame, ns: Sequence[int] | None = None) -> DataFrame:
+def sample_distances(
+    generation: DataFrame, ns: Sequence[int] | None = None, alphas: Sequence[float] | None = None
+) -> DataFrame:
     """Edit distance of every sample to the greedy output, optionally cut to each n.
 
     Distances are computed once here, whatever alphas follow. The samples are
-    spread over tasks before the quadratic distance runs.
+    spread over tasks before the quadratic distance runs. With ``alphas`` a distance
+    beyond the largest alpha times the longest output is only known to be beyond it.
     """
     base = generation
     if ns is None:
@@ -90,9 +93,12 @@ def sample_distances(generation: DataFrame, ns: Sequence[int] | None = None) ->
         )
     cut = cut.withColumn("longest", A.max_length(F.col("g"), F.col("ss")))
     keys = [c for c in generation.columns if c not in ("GREEDY_IDS", "SAMPLE_IDS", "MAX_LENGTH")]
+    limit = None
+    if alphas:  # no distance is above the longest output
+        limit = F.floor(F.lit(min(float(max(alphas)), 1.0)) * F.col("longest"))
     return cut.select(
         *keys, "n", "longest", "g", F.posexplode_outer("ss").alias("sample", "s")
-    ).withColumn("distance", A.token_distance(F.col("g"), F.col("s"))).drop("g", "s")
+    ).withColumn("distance", A.token_distance(F.col("g"), F.col("s"), limit)).drop("g", "s")
 
 
 def cut_generations(generation: DataFrame, ns: Sequence[int]) -> DataFrame:
@@ -148,7 +154,7 @@ def _unpivot(wide: DataFrame, keys: Sequence[str], alphas: Sequence[float]) -> D
 def cdd_features(generation: DataFrame, alphas: Sequence[float]) -> DataFrame:
     """Peakedness of the output distribution per alpha; 0 without samples."""
     keys = [c for c in generation.columns if c not in ("GREEDY_IDS", "SAMPLE_IDS", "MAX_LENGTH")]
-    wide = _peaks(sample_distances(generation), keys, alphas)
+    wide = _peaks(sample_distances(generation, alphas=alphas), keys, alphas)
     return _unpivot(wide, keys, alphas).withColumnRenamed("alpha_pos", "grid_pos")
 
 
@@ -159,7 +165,7 @@ def ngram_cdd_features(
     drop = ("GREEDY_IDS", "SAMPLE_IDS", "MAX_LENGTH")
     keys = [c for c in generation.columns if c not in drop]
     items = [c for c in keys if c != slot]
-    per_start = _peaks(sample_distances(generation, ns), [*keys, "n"], alphas)
+    per_start = _peaks(sample_distances(generation, ns, alphas), [*keys, "n"], alphas)
     mean = per_start.groupBy(*items, "n").agg(
         *[F.avg(f"_a{i}").alias(f"_a{i}") for i in range(len(alphas))]
     )

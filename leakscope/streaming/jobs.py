@@ -90,6 +90,65 @@ def stream_metrics(
     )
 
 
+def line_events(lines: DataFrame, file_time: Column) -> DataFrame:
+    """Lines of a method log with event_time and line_key.
+
+    Two lines with the same key are one event that was logged twice.  A line without a
+    readable timestamp takes ``file_time``.
+    """
+    names = [c for c in lines.columns if c not in ("parameters", "output", "label")]
+    settings = F.array_sort(F.map_entries("parameters"))
+    return lines.select(
+        "*",
+        F.coalesce(F.try_to_timestamp("timestamp"), file_time).alias("event_time"),
+        F.to_json(F.struct(*names, settings.alias("parameters"))).alias("line_key"),
+    )
+
+
+def stream_batch_metrics(
+    spark: SparkSession, in_dir: str, out_dir: str, state_dir: str, lateness: str = "1 hour"
+) -> StreamingQuery:
+    """Hits and totals of the lines of each micro-batch, one row per model and method.
+
+    A line logged twice counts once: its key stays in the state until the watermark has
+    passed its time by ``lateness``, and whatever comes later than that is left out.  A
+    batch that is replayed overwrites its own partition, so it changes nothing.
+    """
+    lines = spark.readStream.schema(schemas.METHOD_LINE).json(in_dir)
+    events = line_events(lines, F.col("_metadata.file_modification_time"))
+
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        (
+            answer_counts(batch)
+            .withColumn("batch_id", F.lit(batch_id))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id")
+            .parquet(out_dir)
+        )
+
+    return (
+        events.withWatermark("event_time", lateness)
+        .dropDuplicatesWithinWatermark(["line_key"])
+        .writeStream.foreachBatch(flush)
+        .option("checkpointLocation", state_dir)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def metrics_so_far(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Running accuracy per model and method from the written batches."""
+    kind = "model_id string, method_name string, total long, correct long, batch_id int"
+    counts = spark.read.schema(kind).parquet(out_dir)
+    return counts.groupBy("model_id", "method_name").agg(
+        F.sum("total").alias("total"),
+        F.sum("correct").alias("correct"),
+        F.try_divide(F.sum("correct"), F.sum("total")).alias("accuracy"),
+        F.max("batch_id").alias("last_batch"),
+    )
+
+
 def stream_answers(
     answers: DataFrame, metadata: Column, out_dir: str, state_dir: str
 ) -> StreamingQuery:

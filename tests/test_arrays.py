@@ -43,6 +43,19 @@ def test_token_distance_matches_brute_force(spark):
         assert r["d"] <= max(len(a), len(b))
 
 
+@pytest.mark.parametrize("limit", [-3, 0, 1, 3, 20])
+def test_token_distance_stops_at_its_limit(spark, limit):
+    rng = np.random.default_rng(limit + 3)
+    pairs = [([], []), ([1], []), ([], [1, 2]), (None, [1]), ([1, 2], None)]
+    for _ in range(60):
+        pairs.append(tuple(rng.integers(0, 4, rng.integers(0, 14)).tolist() for _ in range(2)))
+    df = spark.createDataFrame(pairs, "a array<int>, b array<int>")
+    got = df.select("a", "b", A.token_distance(F.col("a"), F.col("b"), F.lit(limit)).alias("d"))
+    for r in got.collect():
+        null = r["a"] is None or r["b"] is None
+        assert r["d"] == (None if null else min(edit(r["a"], r["b"]), max(limit, 0) + 1))
+
+
 def test_token_distance_many_distinct_tokens(spark):
     # Past the surrogate block: 60,000 distinct tokens in one pair.
     point = A._one_char(F.col("p"))

@@ -82,6 +82,44 @@ def test_running_metrics(spark, tmp_path):
     assert (seen[-1][0]["total"], seen[-1][0]["correct"]) == (3, 2)
 
 
+def test_batch_metrics_count_each_line_once(spark, tmp_path):
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+
+    def line(ident, time, output, model="m", **more):
+        return {"model_id": model, "method_name": "k", "ID": ident, "timestamp": time, "label": "1",
+                "output": output, "parameters": {"a": "1"}} | more
+
+    def run(name, *lines):
+        (folder / name).write_text("\n".join(map(json.dumps, lines)))
+        jobs.stream_batch_metrics(spark, str(folder), out, state, "1 hour").awaitTermination()
+        found = jobs.metrics_so_far(spark, out).collect()
+        return {r["model_id"]: (r["total"], r["correct"], r["last_batch"]) for r in found}
+
+    first = line("1", "2024-01-01 10:00:00", True)
+    got = run("a.json", first, first, line("2", "2024-01-01 10:05:00", False))
+    assert got == {"m": (2, 1, 0)}
+    # A line again in a later file, one with other parameters, and one that is late but not too late.
+    got = run("b.json", first, first | {"parameters": {"a": "2"}}, line("3", "2024-01-01 09:30:00", True))
+    assert got["m"][:2] == (4, 3)
+    run("c.json", line("4", "2024-01-01 15:00:00", True))
+    got = run("d.json", line("5", "2024-01-01 11:00:00", True), first, line("6", None, True, model=None))
+    assert got["m"][:2] == (5, 4)  # too late, and known
+    assert got[None][:2] == (1, 1)  # without a time: that of its file
+
+
+def test_a_replayed_batch_of_metrics_changes_nothing(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    line = {"model_id": "m", "method_name": "k", "ID": "1", "timestamp": "2024-01-01 10:00:00", "label": "1"}
+    (folder / "a.json").write_text(json.dumps(line | {"output": True}))
+    out = str(tmp_path / "out")
+    for state in ("state", "lost"):  # the second run starts over, as if its commit had been lost
+        jobs.stream_batch_metrics(spark, str(folder), out, str(tmp_path / state)).awaitTermination()
+    row = jobs.metrics_so_far(spark, out).first()
+    assert (row["total"], row["correct"], row["accuracy"]) == (1, 1, 1.0)
+
+
 def test_answer_stream_writes_each_batch_once(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
