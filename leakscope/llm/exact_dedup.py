@@ -4,12 +4,16 @@
    key are counted with map-side combining.
 2. The driver sees row counts of key prefixes only (65,536 at most) and builds the
    directory: it doubles while a bucket holds more keys than ``capacity``, and each
-   overfull bucket is split by the next bit of the key.
+   overfull bucket is split by the next bit of the key.  Below a full prefix the
+   directory keeps the depth alone, and the bits of the key name the bucket.
 3. Documents whose key occurs once are unique.  The others are first collapsed
    within each input task (bytes compared), then go to the owner of their bucket,
    which walks its key range in order, chains the different texts of a key and
-   compares bytes.  The chains are the index file of the bucket, in the shared folder.
-4. Entries read their chain's result back.
+   compares bytes.  A link of a chain holds a text's best id, how many rows have that
+   id, and its number of rows.  The chains are the index file of the bucket, in the
+   shared folder.
+4. Entries read their link back.  Only where the best id itself is on several rows,
+   the first of these entries is looked up.
 
 A hot text leaves each input task as one row, so its owner gets at most one row
 of it a task.
@@ -35,14 +39,20 @@ def directory(counts: dict[int, int], capacity: int, bits: int = PREFIX_BITS) ->
     """prefix of ``bits`` bits -> (bucket's own prefix, local depth).
 
     Starts as one bucket of depth 0 and splits every bucket that holds more than
-    ``capacity`` keys by its next bit, down to ``bits`` bits.
+    ``capacity`` keys by its next bit.  Where a whole prefix holds more, it gets the
+    depth at which evenly spread keys fit; its buckets lie below the own prefix.
     """
     found: dict[int, tuple[int, int]] = {}
 
     def split(prefix: int, depth: int, cells: list[tuple[int, int]]) -> None:
-        if depth == bits or sum(n for _, n in cells) <= capacity:
+        load = sum(n for _, n in cells)
+        if load <= capacity:
             found.update((cell, (prefix, depth)) for cell, _ in cells)
             return
+        if depth == bits:
+            below = (-(-load // capacity) - 1).bit_length()
+            found.update((cell, (prefix, min(depth + below, 63))) for cell, _ in cells)
+            return
         shift = bits - depth - 1
         for bit in (0, 1):
             split(
@@ -53,45 +63,75 @@ def directory(counts: dict[int, int], capacity: int, bits: int = PREFIX_BITS) ->
     return found
 
 
+def add(link: list, best: int | None, copies: int, rows: int) -> None:
+    """Count rows of a text into its link [best, copies, rows]; a null id is the least."""
+    link[2] += rows
+    if best == link[0]:
+        link[1] += copies
+    elif link[0] is None or (best is not None and best > link[0]):
+        link[0], link[1] = best, copies
+
+
 def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text): one row for each different text, as far as FLUSH_BYTES reach."""
-    seen: dict[bytes, int] = {}
+    """(key, body, best): one row for each different text, as far as FLUSH_BYTES reach."""
+    seen: dict[bytes, tuple[int, list]] = {}
     held = 0
 
     def out() -> pa.RecordBatch:
+        keys, links = zip(*seen.values(), strict=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(seen.values()), pa.int64()), pa.array(list(seen), pa.binary())],
-            ["key", "body"],
+            [
+                pa.array(keys, pa.int64()),
+                pa.array(list(seen), pa.binary()),
+                *(pa.array(c, pa.int64()) for c in zip(*links, strict=True)),
+            ],
+            ["key", "body", "best", "copies", "rows"],
         )
 
     for batch in batches:
-        for key, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if body not in seen:
-                seen[body] = key
-                held += len(body)
-                if held > FLUSH_BYTES:
-                    yield out()
-                    seen, held = {}, 0
+        for key, body, best in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if body in seen:
+                add(seen[body][1], best, 1, 1)
+                continue
+            seen[body] = (key, [best, 1, 1])
+            held += len(body)
+            if held > FLUSH_BYTES:
+                yield out()
+                seen, held = {}, 0
     if seen:
         yield out()
 
 
+CHAIN = "key long, text_sha256 string, chain long, best long, copies long, rows long"
+
+
 def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, body) in order of key: number the different bodies of each key."""
-    last, bodies = None, []
+    """Links in order of key: the different bodies of each key, numbered, with all their rows."""
+    kind = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    names = [c.split()[0] for c in CHAIN.split(", ")]
+    last, links, done = None, {}, []
+
+    def close() -> None:
+        done.extend(
+            (last, hashlib.sha256(body).hexdigest(), k, *link)
+            for k, (body, link) in enumerate(links.items())
+        )
+
+    def out() -> pa.RecordBatch:
+        columns = zip(*done, strict=True) if done else [[]] * len(kind)
+        arrays = [pa.array(c, t) for c, t in zip(columns, kind, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names)
+
     for batch in batches:
-        rows = []
-        for key, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, body, best, copies, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != last:
-                last, bodies = key, []
-            if body not in bodies:
-                bodies.append(body)
-                rows.append((key, hashlib.sha256(body).hexdigest(), len(bodies) - 1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in zip(*rows, strict=True)] if rows else
-            [pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.int64())],
-            ["key", "text_sha256", "chain"],
-        )
+                close()
+                last, links = key, {}
+            add(links.setdefault(body, [best, 0, 0]), best, copies, rows)
+        yield out()
+        done = []
+    close()
+    yield out()
 
 
 def exact_dedup(
@@ -124,46 +164,49 @@ def exact_dedup(
         "keys",
     )
     counts = {r[0]: r[1] for r in keys.groupBy("prefix").count().collect()}
-    slots = [(cell, p, d) for cell, (p, d) in directory(counts, capacity).items()]
+    slots = [(cell, d) for cell, (_, d) in directory(counts, capacity).items()]
     spark = docs.sparkSession
-    table = shelf.put(
-        spark.createDataFrame(slots, "prefix int, bucket int, depth int").coalesce(1), "directory"
-    )
-    owned = keys.join(F.broadcast(table), "prefix").select("key", "bucket", "depth")
-    same = docs.select(hashed.alias("key"), F.encode(text, "UTF-8").alias("body")).join(
-        owned.select("key"), "key", "left_semi"
-    )
-    alone = same.mapInArrow(collapse, "key long, body binary")
+    table = shelf.put(spark.createDataFrame(slots, "prefix int, depth int").coalesce(1), "directory")
+    order = F.col("doc_id") if keep == "largest" else F.bitwise_not("doc_id")
+    same = docs.select(
+        hashed.alias("key"), F.encode(text, "UTF-8").alias("body"), order.alias("best")
+    ).join(keys.select("key"), "key", "left_semi")
+    bucket = F.when(F.col("depth") == 0, 0).otherwise(F.expr("shiftrightunsigned(key, 64 - depth)"))
     chains = shelf.put(
-        alone.withColumn("prefix", prefix)
+        same.mapInArrow(collapse, "key long, body binary, best long, copies long, rows long")
+        .withColumn("prefix", prefix)
         .join(F.broadcast(table), "prefix")
+        .withColumn("bucket", bucket)
         .repartition("bucket", "depth")
         .sortWithinPartitions("key")
-        .select("key", "body")
-        .mapInArrow(chain, "key long, text_sha256 string, chain long"),
+        .select("key", "body", "best", "copies", "rows")
+        .mapInArrow(chain, CHAIN),
         "chains",
     )
-    order = F.col("doc_id") if keep == "largest" else -F.col("doc_id")
-    best = F.struct(F.coalesce(order, F.lit(-(1 << 63))).alias("o"), "row", "doc_id")
-    winners = entries.groupBy("key", "text_sha256").agg(
-        F.max(best).alias("w"), F.count(F.lit(1)).alias("group_size")
-    )
-    result = shelf.put(
-        chains.join(winners, ["key", "text_sha256"]).select(
-            "key",
-            "text_sha256",
-            F.col("w.doc_id").alias("keep_id"),
-            F.col("w.row").alias("keep_row"),
-            "group_size",
-        ),
-        "result",  # a table, so that the join below can split a hot text's entries
+    best = F.col("best") if keep == "largest" else F.bitwise_not("best")
+    links = chains.select(
+        "key", "text_sha256", best.alias("keep_id"), "copies", F.col("rows").alias("group_size")
     )
+    by = ["key", "text_sha256"]
+    repeated = links.where("copies > 1").select(*by, F.col("keep_id").alias("doc_id"))
+    if repeated.isEmpty():
+        result = links.withColumn("keep_row", F.lit(None).cast("long"))
+    else:
+        rows = entries.groupBy(*by, "doc_id").agg(F.min("row").alias("keep_row")).alias("e")
+        same_id = F.col("e.doc_id").eqNullSafe(F.col("r.doc_id"))
+        on = [F.col(f"e.{c}") == F.col(f"r.{c}") for c in by]
+        first = rows.join(repeated.alias("r"), [*on, same_id], "left_semi").drop("doc_id")
+        result = links.join(first, by, "left")
+    result = shelf.put(result, "result")  # a table, so that the join below can split a hot text
     lone = F.col("group_size").isNull()
-    return entries.join(result, ["key", "text_sha256"], "left").select(
+    is_best = F.when(F.col("copies") == 1, F.col("doc_id").eqNullSafe(F.col("keep_id"))).otherwise(
+        F.col("row") == F.col("keep_row")
+    )
+    return entries.join(result, by, "left").select(
         "doc_id",
         F.when(lone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.when(lone, True).otherwise(F.col("row") == F.col("keep_row")).alias("kept"),
+        F.when(lone, True).otherwise(is_best).alias("kept"),
         "text_sha256",
         "source_key",
     )

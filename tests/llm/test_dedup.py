@@ -1,12 +1,13 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from llm_cases import WORD, edge_rows, filler
 from pyspark.sql import functions as F
 
 from leakscope.llm import near_dedup as N
-from leakscope.llm.exact_dedup import directory, exact_dedup
+from leakscope.llm.exact_dedup import chain, collapse, directory, exact_dedup
 from leakscope.llm.graph import components
 from leakscope.llm.near_dedup import near_dedup
 from leakscope.llm.rows import attach
@@ -53,14 +54,34 @@ def test_exact_dedup_keeps_the_smallest_if_asked(spark):
 def test_directory_splits_overfull_buckets_only():
     counts = {0: 3, 1: 3, 8: 1, 15: 50}
     found = directory(counts, 5, bits=4)
-    assert found == {0: (0, 4), 1: (1, 4), 8: (2, 2), 15: (15, 4)}
+    assert found == {0: (0, 4), 1: (1, 4), 8: (2, 2), 15: (15, 8)}
     load = Counter()
     for cell, bucket in found.items():
         load[bucket] += counts[cell]
-    assert all(n <= 5 or depth == 4 for (_, depth), n in load.items())
+    assert all(n / 2 ** max(0, depth - 4) <= 5 for (_, depth), n in load.items())
+    assert all(depth <= 4 or load[p, depth] > 5 for p, depth in load)
+    assert directory({3: 1000}, 5, bits=4) == {3: (3, 12)}
     assert directory({}, 5) == {}
 
 
+def batches(rows, names):
+    return [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])]
+
+
+def test_links_hold_the_best_id_and_all_rows():
+    rows = [(1, b"a", 5), (1, b"b", None), (1, b"a", 7), (2, b"c", None), (1, b"a", 7), (2, b"c", None), (1, b"b", 3)]
+    parts = [batches(rows[k::2], ["key", "body", "best"]) for k in (0, 1)]  # two input tasks
+    sent = sorted((r for p in parts for b in collapse(p) for r in b.to_pylist()), key=lambda r: r["key"])
+    owner = [pa.RecordBatch.from_pylist(sent[:2]), pa.RecordBatch.from_pylist(sent[2:])]  # a chain over two batches
+    got = {(r["key"], r["text_sha256"]): r for b in chain(owner) for r in b.to_pylist()}
+    want = {(1, b"a"): (7, 2, 3), (1, b"b"): (3, 1, 2), (2, b"c"): (None, 2, 2)}
+    assert len(got) == len(want)
+    for (key, body), link in want.items():
+        r = got[key, hashlib.sha256(body).hexdigest()]
+        assert (r["best"], r["copies"], r["rows"]) == link
+    assert {r["chain"] for (k, _), r in got.items() if k == 1} == {0, 1}
+
+
 def near_brute(rows, percent):
     sets = []
     for _, t in rows:
