@@ -1,25 +1,36 @@
-"""SentencePiece encoding by byte-pair merges, in chunks that start at words.
+"""SentencePiece encoding by byte-pair merges, with a max-plus scan of giant documents.
 
 The ids are those of the library's own encoder.  No piece has U+2581 behind another
 character, so no merge crosses the start of a word, and words are encoded on their own,
 each distinct word once a worker.
 
-A giant document is split at word starts; its chunks are encoded in many tasks and their
-ids joined in order.  A word longer than a chunk is not cut: the order of its merges
-depends on all of its characters.
+A giant document is split into chunks at any place, also within words.  ``pair_scan.py``
+gives each chunk's matrix between the states at its boundaries, combines the matrices and
+traces every chunk alone in many tasks; their ids are joined in order.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leakscope.llm.pair_scan import (
+    CHUNKS,
+    MATRICES,
+    PairScan,
+    between,
+    cut_anywhere,
+    matrices,
+    parts_of,
+    states_between,
+    traces,
+)
 from leakscope.llm.pieces import (
     _WORD,
     CACHE_WORDS,
@@ -78,15 +89,21 @@ def merged_words(path: str) -> MergedWords:
     return MergedWords(path)
 
 
-def cut(text: str, chunk: int) -> list[str]:
-    """A normalised text in parts that start at words, each of ``chunk`` characters or more but the last."""
-    parts, at = [], 0
-    while at < len(text):
-        start = _START.search(text, at + chunk)
-        end = start.start() if start else len(text)
-        parts.append(text[at:end])
-        at = end
-    return parts
+@lru_cache(maxsize=2)
+def pair_scan(path: str) -> PairScan:
+    return PairScan(path, _START)
+
+
+def encode_chunked(path: str, text: str, chunk: int = CHUNK) -> list[int]:
+    """The whole scan of one text in one process."""
+    scan, words = pair_scan(path), merged_words(path)
+    parts = parts_of(normalise(text), chunk, scan.longest)
+    ends = between([scan.matrix(t, a, a + n) for a, n, t in parts])
+    found: list[int] = []
+    for (a, n, t), (i, j) in zip(parts, ends, strict=True):
+        head, inner, tail = scan.trace(t, a, a + n, i, j)
+        found += [*head, *words.encode_many([inner])[0].tolist(), *tail]
+    return found
 
 
 def _whole(path: str):
@@ -108,35 +125,6 @@ def _whole(path: str):
     return run
 
 
-def _chunks(chunk: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts = cut(normalise(text), chunk)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row] * len(parts), pa.int64()),
-                        pa.array(range(len(parts)), pa.int64()),
-                        pa.array(parts, pa.string()),
-                    ],
-                    ["row", "chunk", "part"],
-                )
-
-    return run
-
-
-def _parts(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = merged_words(path)
-        for b in batches:
-            ids = [x.tobytes() for x in words.encode_many(b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(ids, pa.binary())], ["row", "chunk", "ids"]
-            )
-
-    return run
-
-
 def encode_merges(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, text, n_chunks, ids) of every row of (doc_id, text); ids are little-endian int32.
 
@@ -151,11 +139,19 @@ def encode_merges(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = C
     large = shelf.put(
         rows.where(F.length("text") > giant).withColumn("row", F.monotonically_increasing_id()), "large"
     )
-    parts = (
-        large.select("row", "text")
-        .mapInArrow(_chunks(chunk), "row long, chunk long, part string")
-        .repartition("row", "chunk")
-        .mapInArrow(_parts(path), "row long, chunk long, ids binary")
+    chunks = shelf.put(
+        large.select("row", "text").mapInArrow(cut_anywhere(path, chunk), CHUNKS).repartition("row", "chunk"),
+        "chunks",
+    )
+    scan, words = partial(pair_scan, path), partial(merged_words, path)
+    ends = shelf.put(
+        chunks.mapInArrow(matrices(scan), MATRICES)
+        .groupBy("row")
+        .applyInPandas(states_between, "row long, chunk long, left_state long, right_state long"),
+        "ends",
+    )
+    parts = chunks.join(ends, ["row", "chunk"]).mapInArrow(
+        traces(scan, words), "row long, chunk long, ids binary"
     )
     whole = parts.groupBy("row").applyInPandas(_join, "row long, n_chunks long, ids binary")
     return small.unionByName(large.join(whole, "row").select("doc_id", "text", "n_chunks", "ids"))

@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +8,7 @@ from llm_cases import edge_rows
 from sentencepiece import SentencePieceProcessor
 
 from leakscope.llm import merges as M
+from leakscope.llm.pair_scan import parts_of
 from leakscope.llm.pieces import check_pieces, normalise
 from leakscope.llm.queries import QUERIES
 
@@ -19,18 +21,30 @@ TEXTS = ["", " ", "a", "The theory of the other. ", "  two  spaces  ", "tab\tand
 @pytest.mark.parametrize("chunk", [1, 3, 16, 1000])
 @pytest.mark.parametrize("text", TEXTS)
 def test_ids_of_the_library(text, chunk):
-    words = M.merged_words(PATH)
-    parts = M.cut(normalise(text), chunk)
-    assert "".join(parts) == normalise(text)
-    got = [i for x in words.encode_many(parts) for i in x.tolist()] if parts else []
-    assert got == words.encode_many([normalise(text)])[0].tolist() == LIBRARY.encode(text)
+    assert M.encode_chunked(PATH, text, chunk) == LIBRARY.encode(text)
+    assert M.merged_words(PATH).encode_many([normalise(text)])[0].tolist() == LIBRARY.encode(text)
 
 
 @settings(max_examples=200, deadline=None)
 @given(text=st.text(alphabet=" then▁aé龘\n", max_size=40), chunk=st.integers(1, 20))
 def test_any_text_in_any_chunks(text, chunk):
-    got = M.merged_words(PATH).encode_many([*M.cut(normalise(text), chunk), ""])
-    assert np.concatenate(got).tolist() == LIBRARY.encode(text)
+    assert M.encode_chunked(PATH, text, chunk) == LIBRARY.encode(text)
+
+
+@pytest.mark.parametrize("chunk", [7, 64, 1024])
+def test_documents_cut_anywhere(chunk):
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])
+    texts = sorted((t for t in table["text"].to_pylist() if t), key=len)[:60]
+    unbroken = "".join(texts).replace(" ", "").replace("\n", "")[:6000]  # no word starts in any chunk
+    for text in [*texts, unbroken]:
+        assert M.encode_chunked(PATH, text, chunk) == LIBRARY.encode(text)
+
+
+def test_products_are_associative():
+    scan = M.pair_scan(PATH)
+    parts = parts_of(normalise("internationalisation" * 5), 9, scan.longest)
+    a, b, c = (scan.matrix(t, lead, lead + n) for lead, n, t in parts[1:4])
+    assert ((a @ b) @ c == a @ (b @ c)).all() and (a @ b @ c).any()
 
 
 def test_documents_in_chunks_on_spark(spark):
