@@ -150,7 +150,8 @@ def encode_merges(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = C
         .applyInPandas(states_between, "row long, chunk long, left_state long, right_state long"),
         "ends",
     )
-    parts = chunks.join(ends, ["row", "chunk"]).mapInArrow(
+    # The file of states is far smaller than its rows in memory, so its size must not decide a broadcast.
+    parts = chunks.join(ends.hint("merge"), ["row", "chunk"]).mapInArrow(
         traces(scan, words), "row long, chunk long, ids binary"
     )
     whole = parts.groupBy("row").applyInPandas(_join, "row long, n_chunks long, ids binary")
