@@ -1,19 +1,21 @@
-"""Substring dedup by an index of windows over all earlier text.
-
-The windows of every document are looked up in those of every other one, and of
-its own earlier part.  This stands in for a relative Lempel-Ziv parse:
-
-1. Anchors.  In each window of ``window`` words the smallest hash of an ``ANCHOR``-word
-   gram is its anchor; equal windows have equal anchors.  About one word in
-   seven starts one.  Anchors that occur once in the corpus cannot lie in a repeated
-   window, so only the words around repeated anchors go on.
-2. Index.  Each window around a repeated anchor is looked up by a 128-bit
-   fingerprint; the first place where it starts is kept, every other one has a reference.
-3. Factors.  Windows with a reference that overlap or touch are merged to one span.
-   A span may hold passages of several documents; reference places are not joined back,
-   as no result has them.  A parse would cut such a span where its reference changes
-   and could miss a window across a cut; here each window is looked up on its own.
-   Words in spans are removed.
+"""Substring dedup by a relative Lempel-Ziv parse over all earlier text.
+
+1. Blocks.  In each window of ``window`` words the smallest hash of a gram of half the
+   window and one word is its anchor; equal windows have equal anchors, and those that
+   follow one another overlap or touch.  Every document is cut at its anchors into such
+   reference blocks, and each block is indexed by the first place where it starts.
+   Anchors that occur once cannot lie in a repeated window, so only the words around
+   repeated ones go on.
+2. Factors.  A document is parsed from left to right: a factor begins at an anchor that
+   starts earlier and grows as long as the next anchor continues the same reference,
+   that is, first starts as many words further on there as here.  As anchors leave no
+   word between them, all words of a factor equal those of its reference.  Windows inside a
+   factor are repeated.
+3. Boundaries.  Greedy factors end where their reference changes, and a repeated window may
+   cross such an end.  So all windows around anchors that no factor holds are compared
+   by a 128-bit fingerprint; the first place of each is kept, the others are repeated too.  The
+   first occurrence of a window lies in no factor, so it is always among those.
+4. Repeated windows that overlap or touch are merged to spans, and words in spans removed.
 
 Documents with the same words are parsed once: the first is the reference of the
 others, which are one factor each if they have a window at all.
@@ -33,7 +35,11 @@ from leakscope.llm import words as W
 from leakscope.llm.shelf import Shelf
 
 WINDOW = 20
-ANCHOR = 8
+
+
+def block_size(window: int) -> int:
+    """Words of an anchor: as many as two that follow one another may lie apart, or one more."""
+    return window // 2 + 1
 
 
 def text_words(text: bytes) -> list[bytes]:
@@ -45,7 +51,7 @@ def anchor_places(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray,
     """(hash, place) of the anchors of all windows of one text; leftmost of equal ones."""
     if len(words) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    size = min(ANCHOR, window)
+    size = block_size(window)
     g = W.grams(words, size)
     span = window - size + 1
     best = g[: len(g) - span + 1].copy()
@@ -86,23 +92,61 @@ def _scan(window: int):
 
 def near_anchor(n_words: int, places: np.ndarray, window: int) -> np.ndarray:
     """Starts of the windows that hold one of these anchors."""
-    size = min(ANCHOR, window)
+    size = block_size(window)
     inside = np.zeros(n_words + 2, np.int64)
     np.add.at(inside, np.maximum(places + size - window, 0), 1)
     np.add.at(inside, places + 1, -1)
     return np.flatnonzero(np.cumsum(inside)[: max(0, n_words - window + 1)] > 0)
 
 
-def _windows(window: int, bits: int):
-    """(seq, text, places) -> fingerprint and place of every window around an anchor."""
+def parse(own: np.ndarray, ref: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """Greedy factors (from, to, reference of the first word), of at least a window each.
+
+    ``own`` has the places of repeated anchors in order, ``ref`` where each starts first; places
+    of all documents are on one scale, and an anchor without an earlier one refers to itself.
+    """
+    if not len(own):
+        return []
+    size = block_size(window)
+    gap = np.diff(own)
+    goes_on = (np.diff(ref) == gap) & (gap <= size)
+    firsts = np.concatenate([[0], np.flatnonzero(~goes_on) + 1])
+    lasts = np.concatenate([firsts[1:] - 1, [len(own) - 1]])
+    long = (ref[firsts] < own[firsts]) & (own[lasts] + size - own[firsts] >= window)
+    return [
+        (int(own[a]), int(own[b]) + size, int(ref[a]))
+        for a, b in zip(firsts[long], lasts[long], strict=True)
+    ]
+
+
+def window_starts(
+    n_words: int, seq: int, bits: int, blocks: pa.ListScalar, window: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows inside factors, and of the others around anchors."""
+    place = blocks.values.field("place").to_numpy()
+    ref = blocks.values.field("ref").to_numpy()
+    order = np.argsort(place)
+    place, ref = place[order].astype(np.int64), ref[order]
+    base = seq << bits
+    inside = np.zeros(n_words + 1, np.int64)
+    for a, b, _ in parse(place + base, ref, window):
+        inside[a - base] += 1
+        inside[b - base - window + 1] -= 1
+    held = np.cumsum(inside) > 0
+    at = near_anchor(n_words, place, window)
+    return np.flatnonzero(held), at[~held[at]]
+
+
+def _boundaries(window: int, bits: int):
+    """(seq, text, blocks) -> fingerprint and place of every window around an anchor, but
+    those inside factors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seqs = batch.column(0).to_pylist()
-            places = batch.column(2)
             for k, text in enumerate(W.utf8(batch.column(1))):
                 words = W.word_hashes(text)
-                at = near_anchor(len(words), np.asarray(places[k].values), window)
+                _, at = window_starts(len(words), seqs[k], bits, batch.column(2)[k], window)
                 g, h = (W.grams(w, window)[at].view(np.int64) for w in (words, W.mix(words, 0xC33)))
                 for a in range(0, len(at), 1 << 16):
                     part = slice(a, a + (1 << 16))
@@ -112,12 +156,8 @@ def _windows(window: int, bits: int):
     return run
 
 
-def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Greedy factors [from, to) in words, given the starts of windows with a reference.
-
-    A factor grows while the next window has a reference; windows that overlap or
-    touch without a gap between their starts larger than a window merge into one span.
-    """
+def spans_of(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Spans [from, to) of words in repeated windows, which overlap or touch within a span."""
     if not len(starts):
         return []
     breaks = np.flatnonzero(np.diff(starts) > window) + 1
@@ -126,18 +166,18 @@ def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) + window) for a, b in zip(firsts, lasts, strict=True)]
 
 
-def _parse(window: int, texts: bool):
-    """(seq, text, places, firsts) -> factors and what is left of the text."""
+def _cut(window: int, bits: int, texts: bool):
+    """(seq, text, blocks, firsts) -> repeated spans and what is left of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            places, firsts = batch.column(2), batch.column(3)
+            seqs, firsts = batch.column(0).to_pylist(), batch.column(3)
             for k, text in enumerate(W.utf8(batch.column(1))):
                 words = text_words(text)
-                at = near_anchor(len(words), np.asarray(places[k].values), window)
+                inside, at = window_starts(len(words), seqs[k], bits, batch.column(2)[k], window)
                 new = np.asarray(firsts[k].values) if firsts[k].is_valid else np.zeros(0, np.int64)
-                spans = factors(np.setdiff1d(at, new), window)
+                spans = spans_of(np.union1d(inside, np.setdiff1d(at, new)), window)
                 keep, last = [], 0
                 for a, b in spans:
                     keep += words[last:a]
@@ -221,35 +261,45 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     anchors = (
         rows.join(firsts.select("row", "seq"), "row")
         .select("seq", F.explode(F.arrays_zip("anchors", "places")).alias("x"))
-        .select(F.col("x.anchors").alias("anchor"), "seq", F.col("x.places").alias("place"))
+        .select(
+            F.col("x.anchors").alias("anchor"),
+            (F.shiftleft("seq", bits) + F.col("x.places")).alias("own"),
+        )
     )
-    repeated = shelf.put(  # a table, so that the join below can split a hot anchor
-        anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"),
-        "repeated",
+    index = shelf.put(  # a table, so that the join below can split a hot anchor
+        anchors.groupBy("anchor")
+        .agg(F.min("own").alias("ref"), F.max("own").alias("last"))
+        .where("ref < last")
+        .drop("last"),
+        "index",
     )
-    places = shelf.put(
-        anchors.join(repeated, "anchor")
-        .groupBy("seq")
-        .agg(F.collect_list("place").alias("places")),  # of one document
-        "places",
+    mask = F.lit((1 << bits) - 1)
+    blocks = shelf.put(
+        anchors.join(index, "anchor")
+        .groupBy(F.shiftright("own", bits).alias("seq"))
+        .agg(  # of one document
+            F.collect_list(F.struct(F.col("own").bitwiseAND(mask).cast("int").alias("place"), "ref")).alias("blocks")
+        ),
+        "blocks",
     )
-    wanted = firsts.join(places, "seq").select("seq", "source_key", "places")
+    shelf.drop("index")
+    wanted = firsts.join(blocks, "seq").select("seq", "source_key", "blocks")
     parsed = shelf.put(
-        source.select("source_key", "text").join(wanted, "source_key").select("seq", "text", "places"),
+        source.select("source_key", "text").join(wanted, "source_key").select("seq", "text", "blocks"),
         "parsed",
     )
-    mask = (1 << bits) - 1
+    shelf.drop("blocks")
     first = (
-        parsed.mapInArrow(_windows(window, bits), "g long, h long, place long")
+        parsed.mapInArrow(_boundaries(window, bits), "g long, h long, place long")
         .groupBy("g", "h")
         .agg(F.min("place").alias("place"))
         .groupBy(F.shiftright("place", bits).alias("seq"))
-        .agg(F.collect_list(F.col("place").bitwiseAND(F.lit(mask))).alias("firsts"))
+        .agg(F.collect_list(F.col("place").bitwiseAND(mask)).alias("firsts"))
     )
     done = (
         parsed.join(first, "seq", "left")
-        .select("seq", "text", "places", "firsts")
-        .mapInArrow(_parse(window, texts), f"seq long, {_PARSED}")
+        .select("seq", "text", "blocks", "firsts")
+        .mapInArrow(_cut(window, bits, texts), f"seq long, {_PARSED}")
         .groupBy("seq")  # rows that repeat both id and text were parsed alike
         .agg(F.any_value(F.struct(*_PARSED_NAMES)).alias("x"))
         .join(firsts.select("seq", "row"), "seq")

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from llm_cases import WORD, edge_rows, filler
@@ -12,7 +13,7 @@ from leakscope.llm.graph import components
 from leakscope.llm.near_dedup import near_dedup
 from leakscope.llm.rows import attach
 from leakscope.llm.shelf import Shelf
-from leakscope.llm.substring_dedup import substring_dedup
+from leakscope.llm.substring_dedup import parse, substring_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -230,6 +231,33 @@ def test_substring_dedup_of_overlapping_passages(spark):
         assert sum(f.stop - f.start for f in r.factors or []) == removed
 
 
+def test_factors_grow_while_the_reference_goes_on():
+    # Blocks of 11 words; references jump at place 20, and places from 40 on refer to themselves.
+    own = np.array([0, 9, 15, 20, 31, 40, 60])
+    ref = np.array([0, 9, 15, 20, 31, 40, 60]) - np.array([100, 100, 100, 300, 300, 0, 0])
+    assert parse(own, ref, 20) == [(0, 26, -100), (20, 42, -280)]
+    assert parse(own[:2], ref[:2], 20) == [(0, 20, -100)]
+    assert parse(own[:1], ref[:1], 20) == parse(own[:0], ref[:0], 20) == []
+    assert parse(np.array([0, 12]), np.array([-50, -38]), 20) == []  # a word lies between
+
+
+def test_windows_across_ends_of_factors(spark):
+    """The last row is a passage of the third, whose halves start first in two other rows."""
+    a, b = filler(60, 21), filler(60, 22)
+    rows = [(1, a), (2, b), (3, f"{a} {b}"), (4, " ".join(f"{a} {b}".split()[30:90]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in substring_dedup(df).collect()}
+    assert got == {r[:4] for r in substring_brute(rows, 20)}
+    assert {r[0]: r[2] for r in got} == {1: 0, 2: 0, 3: 120, 4: 60}
+
+
+def test_substring_dedup_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted(texts_of(docs))
+    got = {tuple(r) for r in substring_dedup(docs).collect()}
+    assert got == {r[:4] for r in substring_brute(rows, 20)}
+
+
 def test_empty_tables(empty):
     assert exact_dedup(empty).count() == near_dedup(empty).count() == substring_dedup(empty).count() == 0
 
