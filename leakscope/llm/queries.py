@@ -16,6 +16,7 @@ from leakscope.llm.quality_rules import quality_rules
 from leakscope.llm.registry import ORACLES, QUERIES, documents, query
 from leakscope.llm.sharding import shard_documents
 from leakscope.llm.simhash import simhash_dedup
+from leakscope.llm.sql import near_sql, rules_sql, substring_sql
 from leakscope.llm.substring_dedup import substring_dedup
 from leakscope.llm.token_files import token_files
 from leakscope.llm.toxicity import score_toxicity, toxicity_model
@@ -55,7 +56,7 @@ def _(spark, sf_dir):
     )
 
 
-@query("op5_quality_rules")
+@query("op5_quality_rules", rules_sql())
 def _(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir))
 
@@ -76,12 +77,12 @@ def _(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir)).drop("source_key")
 
 
-@query("op2_near_dedup")
+@query("op2_near_dedup", near_sql(85))
 def _(spark, sf_dir):
     return near_dedup(documents(spark, sf_dir), percent=85).drop("source_key")
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", substring_sql(20))
 def _(spark, sf_dir):
     return substring_dedup(documents(spark, sf_dir))
 
