@@ -106,6 +106,46 @@ def bootstrap_ci(
     )
 
 
+# Draws made by one row of the work list, so that no array grows with n.
+DRAW_CHUNK = 10_000
+
+
+def resampled_ci(
+    counts: DataFrame, draws: int = 1000, seed: int = 42, by: Sequence[str] = ()
+) -> DataFrame:
+    """Percentile bootstrap of accuracy from (n, right) per group, every draw of every resample made.
+
+    A resample draws n rows with replacement; only whether a draw lands on one
+    of the ``right`` rows matters, so rows are numbered with those first and
+    never joined back. Work is draws x n, spread over tasks by draw number. A group
+    without rows has null bounds.
+    """
+    spark = counts.sparkSession
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    work = counts.select(
+        *by, "n", "right", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b")
+    ).withColumn("chunk", F.expr(f"explode(sequence(0L, greatest(n - 1, 0L) div {DRAW_CHUNK}L))"))
+    # A fixed task number: the rows are few and tiny, but each stands for many draws.
+    drawn = work.repartition(tasks, *by, "b", "chunk").withColumn(
+        "j",
+        F.expr(
+            f"explode_outer(if(n > 0, sequence(chunk * {DRAW_CHUNK}L + 1L, "
+            f"least((chunk + 1L) * {DRAW_CHUNK}L, n)), null))"
+        ),
+    )
+    landed = F.expr(
+        f"cast(conv(substr(md5(concat_ws('|', '{seed}', b, j)), 1, 12), 16, 10) as bigint) "
+        "% nullif(n, 0L) < right"
+    )
+    hits = drawn.groupBy(*by, "b", "n").agg(F.count_if(landed).alias("hit"))
+    return hits.withColumn("acc", F.try_divide(F.col("hit").cast("double"), F.col("n"))).groupBy(*by).agg(
+        F.expr("percentile(acc, 0.025)").alias("acc_lower"),
+        F.expr("percentile(acc, 0.975)").alias("acc_upper"),
+    )
+
+
 def binomial_ci(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """What ``bootstrap_ci`` tends to with many draws."""
     both = _accuracy_at(F.array(F.lit(0.025), F.lit(0.975)))

@@ -256,15 +256,16 @@ bound AS (SELECT grp, quantile_cont(acc, 0.025::DOUBLE) AS acc_lower, quantile_c
     "bootstrap_ci",
     S.with_(
         LARGE, VOTES,
-        _resampled(
-            "SELECT CATEGORY AS grp, count(*) AS n, count(*) FILTER (v_n_words = y) AS c FROM votes GROUP BY CATEGORY",
-            "grp || '|' || b",
-        ),
+        "rt AS (SELECT CATEGORY, count(*) AS n, count(*) FILTER (v_n_words = y) AS c FROM votes GROUP BY CATEGORY)",
+        """dr AS (SELECT CATEGORY, n, c, b, unnest(range(1, n + 1)) AS j FROM (SELECT *, unnest(range(1, 1001)) AS b FROM rt)),
+ac AS (SELECT CATEGORY, b, avg(CASE WHEN ('0x' || substr(md5('42|' || b || '|' || j), 1, 12))::BIGINT % n < c THEN 1::DOUBLE ELSE 0 END) AS acc
+  FROM dr GROUP BY CATEGORY, b)""",
     )
-    + "SELECT grp AS CATEGORY, round(acc_lower, 9) AS acc_lower, round(acc_upper, 9) AS acc_upper FROM bound",
+    + """SELECT CATEGORY, round(quantile_cont(acc, 0.025::DOUBLE), 9) AS acc_lower, round(quantile_cont(acc, 0.975::DOUBLE), 9) AS acc_upper
+  FROM ac GROUP BY CATEGORY""",
 )
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return M.bootstrap_ci(_right(spark, sf), 1000, 42, ["CATEGORY"]).select(
+    return M.resampled_ci(_right(spark, sf), 1000, 42, ["CATEGORY"]).select(
         "CATEGORY", F.round("acc_lower", 9).alias("acc_lower"),
         F.round("acc_upper", 9).alias("acc_upper"),
     )

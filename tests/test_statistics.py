@@ -88,6 +88,31 @@ def test_bootstrap_is_the_percentile_of_all_draws(spark):
     assert limit["g"]["acc_upper"] == pytest.approx(got["g"]["acc_upper"], abs=0.01)
 
 
+def test_resampled_ci_makes_every_draw(spark, monkeypatch):
+    counts = spark.createDataFrame(
+        [("g", 25, 20), ("h", 40, 13), (None, 5, 5), ("none", 0, 0)], "g string, n long, right long"
+    )
+    monkeypatch.setattr(M, "DRAW_CHUNK", 7)
+    got = {r["g"]: r for r in M.resampled_ci(counts, 200, 42, ["g"]).collect()}
+    for g, n, right in [("g", 25, 20), ("h", 40, 13), (None, 5, 5)]:
+        draws = [
+            [int(hashlib.md5(f"42|{b}|{j}".encode()).hexdigest()[:12], 16) % n < right for j in range(1, n + 1)]
+            for b in range(1, 201)
+        ]
+        want = np.percentile([np.mean(d) for d in draws], [2.5, 97.5])
+        assert (got[g]["acc_lower"], got[g]["acc_upper"]) == pytest.approx(tuple(want))
+    assert got["none"]["acc_lower"] is None and got["none"]["acc_upper"] is None
+
+
+def test_bootstrap_query_and_its_sql_make_draws(spark):
+    """Not binomial quantiles in place of the draws, in neither of the two."""
+    from leakscope.plans import registry
+
+    registry.load()
+    assert "unnest(range(1, n + 1)) AS j" in registry.ORACLES["bootstrap_ci"]
+    assert "lgamma" not in registry.ORACLES["bootstrap_ci"]
+
+
 def test_mann_whitney_against_pairwise_counts(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame(
