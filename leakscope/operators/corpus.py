@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.functions.arrays import grams
+from leakscope.functions.arrays import grams  # noqa: F401
 from leakscope.functions.order import det_order
 from leakscope.operators.bloom import bloom_filter
 from leakscope.operators.ordering import top_k
@@ -19,9 +19,33 @@ from leakscope.session import fits_broadcast, settle
 MU = 10.0
 
 
+def places(df: DataFrame, *keep: str) -> DataFrame:
+    """One row per word: ``tokens``, its place ``pos`` from 0 and ``word``.
+
+    The words after it are read from ``tokens`` by position, so a window becomes text only
+    where that is asked for, after rows that nobody wants are gone.
+    """
+    return df.select(*keep, "tokens", F.posexplode("tokens").alias("pos", "word"))
+
+
+def _words_at(n: int, tokens: str = "tokens", pos: Column | str = "pos") -> list[Column]:
+    at = F.col(pos) if isinstance(pos, str) else pos
+    return [F.get(F.col(tokens), at + i) for i in range(n)]
+
+
+def _window_key(n: int) -> Column:
+    """64-bit hash of the n words from ``pos`` on, null where fewer are left."""
+    return F.when(F.col("pos") + n <= F.size("tokens"), F.xxhash64(*_words_at(n)))
+
+
+def _window_text(n: int) -> Column:
+    return F.when(F.col("pos") + n <= F.size("tokens"), F.concat_ws(" ", *_words_at(n)))
+
+
 def ngram_counts(docs: DataFrame, n: int) -> DataFrame:
     return (
-        docs.select(F.explode(grams(F.col("tokens"), n)).alias("gram"))
+        places(docs).select(_window_text(n).alias("gram"))
+        .where(F.col("gram").isNotNull())
         .groupBy("gram")
         .agg(F.count(F.lit(1)).alias("n_seen"))
     )
@@ -44,34 +68,47 @@ def all_ngram_counts(docs: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> Dat
     )
 
 
-def item_counts(items: DataFrame, docs: DataFrame, sizes: tuple[int, ...] = (2,)) -> DataFrame:
-    """Counts (n, gram, n_seen) of all corpus words and of the items' n-grams, in one corpus pass.
+def item_counts(
+    items: DataFrame, docs: DataFrame, sizes: tuple[int, ...] = (2,), all_words: bool = True
+) -> DataFrame:
+    """Counts (gram, n_seen, n) of all corpus words and of the items' n-grams, in one corpus pass.
 
-    Every document is exploded once, whatever the number of sizes. N-grams of the items
-    that fit are broadcast into the scan; beyond that a Bloom filter of their hashes is, so
-    that the shuffle carries words and probable hits only, already counted, and equality
-    of the text decides after it.
+    Every document is exploded once, whatever the number of sizes. Hashes of the items' n-grams
+    that fit are broadcast into the scan; beyond that a Bloom filter of them is. Only words
+    and probable hits become text and reach the shuffle, already counted, and equality
+    of the text decides after it. Without ``all_words`` the items' n-grams only are counted.
     """
-    keys = items.select(
-        F.explode(F.flatten(F.array(*[grams(F.col("tokens"), n) for n in sizes]))).alias("gram")
-    ).distinct()
-    every = F.concat(F.col("tokens"), *[grams(F.col("tokens"), n) for n in sizes])
-    seen = docs.select(F.explode(every).alias("gram"))
-    # A word never holds a blank, an n-gram has n - 1: plain strings tell them apart.
-    is_word = F.instr("gram", " ") == 0
-    count = F.count(F.lit(1)).alias("n_seen")
+    lengths = sorted(set(sizes) - ({1} if all_words else set()))
+    if not lengths:
+        return settle(ngram_counts(docs, 1).withColumn("n", F.lit(1)))
+
+    def windows(df: DataFrame, lengths: list[int]) -> DataFrame:
+        wide = places(df).select("tokens", "pos", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n"))
+        key, text = (
+            F.coalesce(*[F.when(F.col("n") == n, of(n)) for n in lengths]) for of in (_window_key, _window_text)
+        )
+        return wide.withColumn("own", key).where(F.col("own").isNotNull()).withColumn("gram", text)
+
+    keys = settle(windows(items, lengths).select("n", "own", "gram").distinct())
+    every = places(docs)
+    words = [F.struct(F.lit(1).alias("n"), F.col("word").alias("gram"))] if all_words else []
+    always = (F.col("n") == 1) if all_words else F.lit(False)
     if fits_broadcast(keys):
-        wanted = F.broadcast(keys.withColumn("_wanted", F.lit(True)))
-        counts = seen.join(wanted, "gram", "left").where(F.col("_wanted") | is_word).groupBy("gram").agg(count)
+        for n in lengths:
+            own = keys.where(F.col("n") == n).select("own", F.lit(True).alias(f"_hit{n}")).distinct()
+            every = every.withColumn("own", _window_key(n)).join(F.broadcast(own), "own", "left").drop("own")
+        hits = [F.struct(F.lit(n).alias("n"), F.when(F.col(f"_hit{n}"), _window_text(n)).alias("gram")) for n in lengths]
+        if not all_words:
+            every = every.where(" or ".join(f"_hit{n}" for n in lengths))
+        probable = every.select(F.inline(F.array(*words, *hits))).where(F.col("gram").isNotNull())
     else:
-        own = F.xxhash64("gram")
-        probable = bloom_filter(keys, own).probable(seen, own, always=is_word)
-        counted = settle(probable.groupBy("gram").agg(count))
-        counts = counted.where(is_word).unionByName(
-            counted.where(~is_word).join(keys, "gram", "left_semi")
-        )
-    blanks = F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit("")))
-    return settle(counts.withColumn("n", blanks + 1))
+        bloom = bloom_filter(keys.select("own").distinct(), F.col("own"))
+        seen = windows(docs, [1, *lengths] if all_words else lengths)
+        probable = bloom.probable(seen, F.col("own"), always if all_words else None)
+    counted = settle(probable.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("n_seen")))
+    found = settle(counted.where(~always).join(keys.select("n", "gram"), ["n", "gram"], "left_semi"))
+    both = counted.where(always).unionByName(found) if all_words else found
+    return both.select("gram", "n_seen", "n")
 
 
 def overlap_label(
@@ -82,7 +119,7 @@ def overlap_label(
     ``counts`` of ``item_counts`` with this n saves a pass over the corpus.
     """
     windows = items.select("ID", F.explode(grams(F.col("tokens"), n)).alias("gram"))
-    counts = item_counts(items, docs, (n,)) if counts is None else counts
+    counts = item_counts(items, docs, (n,), all_words=False) if counts is None else counts
     found = counts.where(F.col("n") == n).select("gram")
     hit = windows.join(found, "gram", "left_semi").select("ID").distinct()
     return (

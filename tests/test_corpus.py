@@ -108,3 +108,11 @@ def test_probability_formula(tables):
     words = [w for t in TEXTS for w in t.split()]
     base = (words.count("b") + 1) / (len(words) + len(set(words)))
     assert got[("2", 0)] == pytest.approx((5 + 10 * base) / (words.count("a") + 10))
+
+
+def test_words_are_counted_once_as_a_size_of_their_own(tables):
+    items, docs = tables
+    counts = {r.gram: r.n_seen for r in C.item_counts(items, docs, (1,)).collect()}
+    assert counts == Counter(w for t in TEXTS for w in t.split())
+    both = {r.gram: r.n_seen for r in C.item_counts(items, docs, (1, 2)).where("n = 1").collect()}
+    assert both == counts
