@@ -204,22 +204,6 @@ def top_next(docs: DataFrame) -> DataFrame:
     )
 
 
-def _windows(docs: DataFrame, c: int, n: int) -> DataFrame:
-    """Every context of c words with up to n words after it, and where it stands.
-
-    Near the end of a document fewer words follow; the last context has one.
-    """
-    room = f"size(tokens) - {c}"
-    return docs.select(
-        "doc_id",
-        F.expr(
-            f"inline(transform(if({room} > 0, sequence(1, {room}), cast(array() as array<int>)), "
-            f"i -> struct(i as at, array_join(slice(tokens, i, {c}), ' ') as context, "
-            f"array_join(slice(tokens, i + {c}, {n}), ' ') as follow)))"
-        ),
-    )
-
-
 def continuations(
     docs: DataFrame, contexts: DataFrame, c: int, n: int, samples: int, seed: int
 ) -> DataFrame:
@@ -228,15 +212,29 @@ def continuations(
     ``contexts`` has a distinct ``context`` column. Returns greedy, an array of
     words, and samples, an array of word arrays in md5 order of (seed, doc, place).
     """
-    seen = _windows(docs, c, n)
-    if fits_broadcast(contexts):
-        kept = seen.join(F.broadcast(contexts), "context", "left_semi")
+    # Near the end of a document fewer words follow; the last context has one.
+    seen = places(docs, "doc_id").where(F.col("pos") + c < F.size("tokens"))
+    asked = F.split("context", " ", -1)
+    wanted = (
+        contexts.select("context", asked.alias("tokens"), F.lit(0).alias("pos"))
+        .where(F.size("tokens") == c)
+        .select("context", _window_key(c).alias("own"))
+    )
+    hashes = wanted.select("own").distinct()
+    if fits_broadcast(wanted):
+        probable = seen.withColumn("own", _window_key(c)).join(F.broadcast(hashes), "own", "left_semi")
     else:
-        # Only windows whose context may be wanted are shuffled with their words.
-        own = F.xxhash64("context")
-        probable = bloom_filter(contexts, own).probable(seen, own)
-        kept = probable.join(contexts, "context", "left_semi")
-    kept = settle(kept)
+        # Only windows whose context may be wanted become text and are shuffled.
+        own = _window_key(c)
+        probable = bloom_filter(hashes, F.col("own")).probable(seen, own)
+    kept = settle(
+        probable.select(
+            "doc_id",
+            (F.col("pos") + 1).alias("at"),
+            F.concat_ws(" ", *_words_at(c)).alias("context"),
+            F.array_join(F.slice("tokens", F.col("pos") + c + 1, n), " ").alias("follow"),
+        ).join(contexts, "context", "left_semi")
+    )
     greedy = (
         kept.groupBy("context", "follow")
         .agg(F.count(F.lit(1)).alias("n_seen"))

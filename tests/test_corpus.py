@@ -110,6 +110,21 @@ def test_probability_formula(tables):
     assert got[("2", 0)] == pytest.approx((5 + 10 * base) / (words.count("a") + 10))
 
 
+def test_corpus_windows_become_text_after_the_join(tables, monkeypatch):
+    """No scan builds a window's text before it is known to be wanted."""
+    items, docs = tables
+    contexts = C.settle(items.select(F.explode(C.grams(F.col("tokens"), 2)).alias("context")).distinct())
+    plans = []
+    monkeypatch.setattr(
+        C, "settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df
+    )
+    seen = C.continuations(docs, contexts, 2, 3, 0, 42).collect()
+    C.item_counts(items, docs, (2, 8)).collect()
+    C.item_counts(items, docs, (8,), all_words=False).collect()
+    assert len(plans) > 3 and not any("lambdafunction" in p for p in plans)
+    assert {r.context: r.greedy for r in seen}["a b"] == ["c", "d", "e"]
+
+
 def test_words_are_counted_once_as_a_size_of_their_own(tables):
     items, docs = tables
     counts = {r.gram: r.n_seen for r in C.item_counts(items, docs, (1,)).collect()}
