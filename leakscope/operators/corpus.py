@@ -51,20 +51,13 @@ def ngram_counts(docs: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _sized_grams(docs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
-    """Occurrences of several n in one pass over the corpus."""
-
-    def sized(n: int) -> Column:
-        return F.transform(
-            grams(F.col("tokens"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
-        )
-
-    return docs.select(F.inline(F.flatten(F.array(*[sized(n) for n in sizes]))))
-
-
 def all_ngram_counts(docs: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    return _sized_grams(docs, sizes).groupBy("n", "gram").agg(
-        F.count(F.lit(1)).alias("n_seen")
+    sized = [F.struct(F.lit(n).alias("n"), _window_text(n).alias("gram")) for n in sizes]
+    return (
+        places(docs).select(F.inline(F.array(*sized)))
+        .where(F.col("gram").isNotNull())
+        .groupBy("n", "gram")
+        .agg(F.count(F.lit(1)).alias("n_seen"))
     )
 
 

@@ -99,7 +99,7 @@ START_GENERATED = (
     ),
 )
 def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return C.all_ngram_counts(T.corpus(spark, sf))
+    return C.all_ngram_counts(T.corpus(spark, sf, finer=8))
 
 
 @query(

@@ -22,9 +22,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as word arrays."""
+def corpus(spark: SparkSession, sf_dir: str, finer: int = 1) -> DataFrame:
+    """Documents as word arrays.
+
+    ``finer`` cuts every split into so many tasks, for counts that hold what a task has
+    seen: texts are shuffled once, and the memory of a task does not grow with the split.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if finer > 1:
+        docs = docs.repartition(finer * docs.rdd.getNumPartitions(), "doc_id")
     return spread(docs, "doc_id").select("doc_id", words(F.col("text")).alias("tokens"))
 
 

@@ -110,6 +110,18 @@ def test_probability_formula(tables):
     assert got[("2", 0)] == pytest.approx((5 + 10 * base) / (words.count("a") + 10))
 
 
+def test_ngram_counts_at_document_ends(tables):
+    """Windows by position: none beyond the end, and no lambda that builds all of them first."""
+    _, docs = tables
+    words = [t.split() for t in TEXTS]
+    want = Counter(
+        (n, " ".join(w[i : i + n])) for n in (1, 2, 3) for w in words for i in range(len(w) - n + 1)
+    )
+    counts = C.all_ngram_counts(docs)
+    assert {(r.n, r.gram): r.n_seen for r in counts.collect()} == dict(want)
+    assert "lambdafunction" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_corpus_windows_become_text_after_the_join(tables, monkeypatch):
     """No scan builds a window's text before it is known to be wanted."""
     items, docs = tables
