@@ -27,12 +27,14 @@ import pyarrow.compute as pc
 
 # Bytes of pieces and ids that a generation of one Python worker's memory may hold, with
 # what Python needs for an entry besides the piece itself.
-CACHE_BYTES = 56 << 20
+CACHE_BYTES = 32 << 20
 ENTRY_BYTES = 150
 # Longer texts are encoded part by part.
 LONG_TEXT = 1 << 20
-# Texts are encoded together up to this many characters.
-GROUP_TEXT = 1 << 22
+# Texts are encoded together up to this many characters, and the library gets this many of new
+# pieces at once: what it returns takes a hundred times their room for a moment.
+GROUP_TEXT = 1 << 21
+LEARN_TEXT = 1 << 16
 
 _NONE, _SPACE = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 _CUT = re.compile(r"(?= \S)")
@@ -43,6 +45,18 @@ _ODD_SPACE = (
 )
 
 
+def _runs(pieces: list[str]) -> Iterator[list[str]]:
+    """Consecutive pieces of LEARN_TEXT characters together, or one that is longer."""
+    first = size = 0
+    for k, piece in enumerate(pieces):
+        if size and size + len(piece) > LEARN_TEXT:
+            yield pieces[first:k]
+            first, size = k, 0
+        size += len(piece)
+    if first < len(pieces):
+        yield pieces[first:]
+
+
 def parts(text: str) -> Iterator[str]:
     """Cut a long text before spaces that are followed by a visible character."""
     at = 0
@@ -102,14 +116,15 @@ class Encoder:
         plain, other = [], []
         for p in pieces:
             (plain if p[0] == " " and p.rfind(" ") == 0 else other).append(p)
-        ids = np.zeros(0, np.uint32)
-        if plain:
-            got = self.library.encode_batch_fast(["".join(plain)], add_special_tokens=False)
+        sizes, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for run in _runs(plain):
+            got = self.library.encode_batch_fast(["".join(run)], add_special_tokens=False)
             ids = np.asarray(got[0].ids, np.uint32)
-        starts = np.append(np.flatnonzero(self.opens[ids]), len(ids))
-        sizes, found = [np.diff(starts)], [ids]
-        if other:
-            got = self.library.encode_batch_fast(other, add_special_tokens=False)
+            starts = np.append(np.flatnonzero(self.opens[ids]), len(ids))
+            sizes.append(np.diff(starts))
+            found.append(ids)
+        for run in _runs(other):
+            got = self.library.encode_batch_fast(run, add_special_tokens=False)
             sizes.append(np.fromiter((len(e.ids) for e in got), np.int64, len(got)))
             found += [np.asarray(e.ids, np.uint32) for e in got]
         self.young.add(plain + other, np.concatenate(found), np.concatenate(sizes))
@@ -212,3 +227,15 @@ def encoded(encoder: Encoder, texts: list[str | None]) -> Iterator[tuple[int, np
             yield first + k, ids[at : at + n]
             at += n
         first = last
+
+
+def encoded_column(encoder: Encoder, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """The same for an Arrow column, of which one group at once becomes Python strings."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(column):
+        before = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, before + GROUP_TEXT, side="right")))
+        for k, ids in encoded(encoder, column.slice(first, last - first).to_pylist()):
+            yield first + k, ids
+        first = last

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leakscope.llm.bpe import encoded, shared_encoder
+from leakscope.llm.bpe import encoded_column, shared_encoder
 from leakscope.llm.shelf import Shelf
 
 STEP = 8
@@ -148,7 +148,7 @@ def _pieces(path: str, end_id: int, length: int):
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []
-            for k, found in encoded(encoder, b.column(1).to_pylist()):
+            for k, found in encoded_column(encoder, b.column(1)):
                 own = np.append(found, end_id).astype("<u4")
                 for a in range(0, len(own), length):
                     part = own[a : a + length]

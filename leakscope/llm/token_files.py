@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.llm.bpe import encoded, shared_encoder
+from leakscope.llm.bpe import encoded_column, shared_encoder
 from leakscope.llm.shelf import Shelf
 
 MAX_BITS = 18
@@ -151,7 +151,7 @@ def _encode(path: str, end_id: int, width: np.dtype):
                 held.clear()
                 return got
 
-            for k, ids in encoded(encoder, b.column(2).to_pylist()):
+            for k, ids in encoded_column(encoder, b.column(2)):
                 held.append((k, np.append(ids, end_id).astype(width).tobytes()))
                 size += len(held[-1][1])
                 if size > 4 << 20:

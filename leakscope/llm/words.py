@@ -8,7 +8,7 @@ text is eight bytes a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -86,14 +86,20 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 def groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about SLICE bytes together."""
-    first = size = 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > SLICE:
+    return ranges(map(len, texts))
+
+
+def ranges(sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """The same for texts of these numbers of bytes."""
+    first = size = last = 0
+    for k, own in enumerate(sizes):
+        if size and size + own > SLICE:
             yield first, k
             first, size = k, 0
-        size += len(text) + 1
-    if first < len(texts):
-        yield first, len(texts)
+        size += own + 1
+        last = k + 1
+    if first < last:
+        yield first, last
 
 
 def many_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

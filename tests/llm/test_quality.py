@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import WORD, edge_rows
 
@@ -89,6 +90,28 @@ def test_every_chunk_of_a_text_counts(monkeypatch):
     assert np.allclose(Q.scores(net, texts), whole, atol=1e-6)
 
 
+def test_few_chunks_are_embedded_at_once(monkeypatch):
+    """Many texts of one batch and a long text: what is held beside the answers is one block."""
+    net, taken = Q.Network.fresh(), []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, at):
+            if isinstance(at, np.ndarray):
+                taken.append(at.size)
+            return super().__getitem__(at)
+
+    texts = [bytes(range(k, k + 40)) * 50 for k in range(90)] + [b"long text " * 30_000, b"", None]
+    plain = [t or b"" for t in texts]
+    want = np.array([plain_pool(net, t) for t in plain[:3]])
+    whole = Q.scores(net, plain)
+    net.embed = net.embed.view(Watched)
+    monkeypatch.setattr(Q, "BLOCK", 500)
+    assert np.allclose(Q.column_scores(net, pa.array(texts, pa.binary())), whole, atol=1e-6)
+    assert taken and max(taken) <= 2 * (500 + Q.TAPS) * Q.STRIDE
+    assert np.allclose(Q.pooled(net, plain[:3]), want, atol=1e-4)
+    assert Q.column_scores(net, pa.array(texts, pa.binary()).slice(91)).shape == (2,)
+
+
 def test_gradients_like_differences():
     net = Q.Network.fresh()
     for name in ("embed", "filters", "bias", "out", "base"):

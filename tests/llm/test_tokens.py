@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from llm_cases import edge_rows
 from tokenizers import Tokenizer
 
 from leakscope.llm import token_files as T
-from leakscope.llm.bpe import Encoder, encoded, parts
+from leakscope.llm.bpe import Encoder, encoded, encoded_column, parts
 from leakscope.llm.packing import STEP, column_generation, pack_documents, pack_pieces, patterns
 from leakscope.llm.shelf import Shelf
 
@@ -59,6 +60,35 @@ def test_long_texts_in_parts(encoder, library, monkeypatch):
     ]
 
 
+def test_the_library_gets_few_new_pieces_at_once(library, monkeypatch):
+    """Columns of many texts: groups and calls stay small, the ids are those of whole texts."""
+    monkeypatch.setattr("leakscope.llm.bpe.GROUP_TEXT", 3_000)
+    monkeypatch.setattr("leakscope.llm.bpe.LEARN_TEXT", 200)
+    encoder, calls, groups = Encoder(PATH), [], []
+    inner, group = encoder.library, encoder._group
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(sum(map(len, texts)))
+            return inner.encode_batch_fast(texts, **options)
+
+        def encode(self, text, **options):
+            return inner.encode(text, **options)
+
+    def watched(texts):
+        groups.append(sum(len(t or "") for t in texts))
+        return group(texts)
+
+    encoder.library, encoder._group = Watched(), watched
+    texts = [" ".join(f"w{k}x{j}é" for j in range(k % 90)) for k in range(300)] + ODD
+    column = pa.array(["out", *texts, "out"]).slice(1, len(texts))
+    got = list(encoded_column(encoder, column))
+    assert [k for k, _ in got] == list(range(len(texts)))
+    assert [ids.tolist() for _, ids in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert max(calls) <= 200 and max(groups) <= 3_000
+    assert not list(encoded_column(encoder, column.slice(0, 0)))
+
+
 @pytest.mark.parametrize("counts", [[5], [1, 1], [0, 3, 0, 9], [2**k for k in range(30)], list(range(1, 3000))])
 def test_code_lengths_are_complete_and_limited(counts):
     counts = np.array(counts)
