@@ -2,22 +2,24 @@
 
 The pre-tokenizer of such a vocabulary always cuts before a space that is
 followed by a visible character, whatever stands around it.  A text may
-therefore be cut there first and its pieces encoded alone.  The tokenizers
-library encodes each distinct piece once per worker, many of them in one call;
-the ids of whole texts are gathered with numpy.  Texts that hold the string of a
-special token go to the library whole.
+therefore be cut there first and its pieces encoded alone.  The different pieces are
+cut further as the pre-tokenizer does, so that a word and the marks after it count apart,
+and the library's model encodes each distinct token once per worker; the ids of
+whole texts are gathered with numpy.  Pieces with characters whose kind is not sure
+here go through the library's pre-tokenizer, and texts that hold the string of a special
+token go to the library whole.
 
-Texts are split and their pieces numbered by Arrow, so that Python looks up the
+Texts are split and their pieces numbered by Arrow, so that Python cuts and looks up the
 different pieces of a group of texts only.  What a worker remembers is bounded in
 bytes and kept in two generations: when the younger is full it becomes the older one,
-from which pieces that are met again are taken over.
+from which tokens that are met again are taken over.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import repeat
 
@@ -25,16 +27,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Bytes of pieces and ids that a generation of one Python worker's memory may hold, with
-# what Python needs for an entry besides the piece itself.
-CACHE_BYTES = 32 << 20
+# Bytes of tokens and ids that a generation of one Python worker's memory may hold, with
+# what Python needs for an entry besides the token itself.
+CACHE_BYTES = 16 << 20
 ENTRY_BYTES = 150
 # Longer texts are encoded part by part.
 LONG_TEXT = 1 << 20
-# Texts are encoded together up to this many characters, and the library gets this many of new
-# pieces at once: what it returns takes a hundred times their room for a moment.
-GROUP_TEXT = 1 << 21
+# Texts are encoded together up to this many characters, and the library's pre-tokenizer gets this
+# many of new pieces at once: what it returns takes a hundred times their room for a moment.
+GROUP_TEXT = 1 << 23
 LEARN_TEXT = 1 << 16
+# Pieces whose ids are gathered at once.
+GATHER = 1 << 18
 
 _NONE, _SPACE = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 _CUT = re.compile(r"(?= \S)")
@@ -43,6 +47,25 @@ _ODD_SPACE = (
     r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|$)"
 )
+# Letters of any version of Unicode, and with them the characters whose kind is sure: digits, marks
+# and white space are those of ASCII, further marks are neither letters nor numbers nor space.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿĀ-ſ\u0400-\u0481\u048a-\u052f"
+_MARKS = "¡-©«¬®-±´¶-¸»¿×÷\u2010-\u2027\u2030-\u205e"
+_SURE = rf"^[\t\n\r -~{_LETTERS}{_MARKS}]*$"
+_SURE_PIECE = re.compile(_SURE[1:-1])
+_TOKEN = re.compile(
+    rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
+)
+# The vocabulary's letters for bytes: the character of that number, or one from 256 on for those
+# without a visible one.
+_BYTES = np.arange(256, dtype="<u4")
+_BYTES[[*range(33), *range(127, 161), 173]] = np.arange(256, 256 + 68)
+
+
+def _spelled(tokens: list[str]) -> list[str]:
+    """Tokens without the character 0 in the vocabulary's letters."""
+    letters = np.frombuffer("\0".join(tokens).encode(), np.uint8)
+    return _BYTES[letters].tobytes().decode("utf-32-le").split(chr(_BYTES[0]))
 
 
 def _runs(pieces: list[str]) -> Iterator[list[str]]:
@@ -67,8 +90,22 @@ def parts(text: str) -> Iterator[str]:
         at = stop
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """What to_pylist gives, in a fifth of its time."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gather(pool: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the numbered entries of a pool in one array, and where each stops, from 0 on."""
+    starts = ends[at]
+    sizes = ends[at + 1] - starts
+    stops = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.arange(stops[-1]) + np.repeat(starts - stops[:-1], sizes)
+    return pool[flat], stops
+
+
 class _Generation:
-    """Pieces by number, and the ids of each in one pool."""
+    """Tokens by number, and the ids of each in one pool."""
 
     def __init__(self) -> None:
         self.index: dict[str, int] = {}
@@ -76,34 +113,37 @@ class _Generation:
         self.ends = np.zeros(1, np.int64)
         self.bytes = 0
 
-    def find(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of the pieces; -1 for unknown ones."""
-        return np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+    def find(self, tokens: list[str]) -> np.ndarray:
+        """Numbers of the tokens; -1 for unknown ones."""
+        return np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int64, len(tokens))
 
-    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def add(self, tokens: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of new tokens, in their order."""
         first = len(self.index)
-        self.index.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        self.index.update(zip(tokens, range(first, first + len(tokens)), strict=True))
         self.pool = np.concatenate([self.pool, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.bytes += ENTRY_BYTES * len(pieces) + sum(map(len, pieces)) + 4 * len(ids)
+        self.bytes += ENTRY_BYTES * len(tokens) + sum(map(len, tokens)) + 4 * len(ids)
+        return np.arange(first, first + len(tokens))
 
     def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the numbered pieces in one array, and where each piece stops."""
-        starts = self.ends[at]
-        sizes = self.ends[at + 1] - starts
-        stops = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.arange(stops[-1]) + np.repeat(starts - stops[:-1], sizes)
-        return self.pool[flat], stops
+        return _gather(self.pool, self.ends, at)
 
 
 class Encoder:
-    """Token ids of texts, with a bounded memory of pieces already encoded."""
+    """Token ids of texts, with a bounded memory of tokens already encoded."""
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
+        self.model, cut = self.library.model, self.library.pre_tokenizer
+        # Only with this pre-tokenizer does _TOKEN give what it gives.
+        self.known_cut = (
+            isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space and self.library.normalizer is None
+        )
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
@@ -112,43 +152,90 @@ class Encoder:
         self.cache_bytes = cache_bytes
         self.young, self.old = _Generation(), _Generation()
 
-    def _learn(self, pieces: list[str]) -> None:
-        plain, other = [], []
-        for p in pieces:
-            (plain if p[0] == " " and p.rfind(" ") == 0 else other).append(p)
-        sizes, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        for run in _runs(plain):
+    def _modelled(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of tokens that the pre-tokenizer would not cut, and the number of each."""
+        sizes: list[int] = []
+        found: list[int] = []
+        for token in _spelled(tokens):
+            got = [t.id for t in self.model.tokenize(token)]
+            sizes.append(len(got))
+            found += got
+        return np.array(found, np.uint32), np.array(sizes, np.int64)
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any pieces with one space, which they begin with."""
+        sizes, found = [], []
+        for run in _runs(pieces):
             got = self.library.encode_batch_fast(["".join(run)], add_special_tokens=False)
             ids = np.asarray(got[0].ids, np.uint32)
             starts = np.append(np.flatnonzero(self.opens[ids]), len(ids))
             sizes.append(np.diff(starts))
             found.append(ids)
-        for run in _runs(other):
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any pieces."""
+        sizes, found = [], []
+        for run in _runs(pieces):
             got = self.library.encode_batch_fast(run, add_special_tokens=False)
-            sizes.append(np.fromiter((len(e.ids) for e in got), np.int64, len(got)))
+            sizes += [len(e.ids) for e in got]
             found += [np.asarray(e.ids, np.uint32) for e in got]
-        self.young.add(plain + other, np.concatenate(found), np.concatenate(sizes))
+        return np.concatenate(found), np.array(sizes, np.int64)
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of different pieces in the younger generation, which gets what it lacks."""
+    def _numbers(self, tokens: list[str], uncut: set[str]) -> np.ndarray:
+        """Numbers of different tokens in the younger generation, which gets what it lacks.
+
+        Those in ``uncut`` are pieces that only the library can cut.
+        """
         if self.young.bytes > self.cache_bytes:
             self.young, self.old = _Generation(), self.young
-        at = self.young.find(pieces)
+        at = self.young.find(tokens)
         lost = np.flatnonzero(at < 0)
-        if not len(lost):
-            return at
-        wanted = [pieces[k] for k in lost.tolist()]
+        wanted = [tokens[k] for k in lost.tolist()]
         before = self.old.find(wanted)
         known = np.flatnonzero(before >= 0)
         if len(known):
             ids, stops = self.old.ids(before[known])
-            self.young.add([wanted[k] for k in known.tolist()], ids, np.diff(stops))
-        fresh = np.flatnonzero(before < 0)
-        if len(fresh):
-            self._learn([wanted[k] for k in fresh.tolist()])
-        at[lost] = self.young.find(wanted)
+            at[lost[known]] = self.young.add([wanted[k] for k in known.tolist()], ids, np.diff(stops))
+        kinds: dict[Callable, list[int]] = {self._modelled: [], self._joined: [], self._apart: []}
+        for k in np.flatnonzero(before < 0).tolist():
+            p = wanted[k]
+            if p not in uncut:
+                kinds[self._modelled].append(k)
+            else:
+                kinds[self._joined if p[0] == " " and p.rfind(" ") == 0 else self._apart].append(k)
+        for learn, some in kinds.items():
+            if some:
+                fresh = [wanted[k] for k in some]
+                at[lost[some]] = self.young.add(fresh, *learn(fresh))
         return at
 
+    def _pool(self, joined: str, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces in ``joined`` and of ``pieces``, and where each stops.
+
+        Those in ``joined`` are sure, and begin with the one space that they hold and a
+        visible character.
+        """
+        tokens = _TOKEN.findall(joined)
+        opens = np.fromiter((t[0] == " " for t in tokens), bool, len(tokens))
+        sizes = np.diff(np.append(np.flatnonzero(opens), len(tokens)))
+        uncut: set[str] = set()
+        counts: list[int] = []
+        for piece in pieces:
+            if self.known_cut and _SURE_PIECE.fullmatch(piece):
+                own = _TOKEN.findall(piece)
+            else:
+                own = [piece]
+                uncut.add(piece)
+            tokens += own
+            counts.append(len(own))
+        different = pa.array(tokens, pa.large_string()).dictionary_encode()
+        del tokens
+        numbers = self._numbers(_strings(different.dictionary), uncut)
+        ids, stops = self.young.ids(numbers[different.indices.to_numpy()])
+        sizes = np.concatenate([sizes, np.array(counts, np.int64)])
+        return ids, stops[np.concatenate([[0], np.cumsum(sizes)])]
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text (null: none)."""
         whole: dict[int, np.ndarray] = {}
@@ -176,36 +263,41 @@ class Encoder:
             )
         split = pc.split_pattern(column, " ")
         words = split.flatten().dictionary_encode()
-        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        values = words.dictionary.to_numpy(zero_copy_only=False)
-        spaced = pc.binary_join_element_wise(_NONE, words.dictionary, _SPACE)  # nothing, space, word
-        spaced = spaced.to_numpy(zero_copy_only=False)
+        codes, values = words.indices.to_numpy(zero_copy_only=False), words.dictionary
+        spaced = pc.binary_join_element_wise(_NONE, values, _SPACE)  # nothing, space, word
         offsets = split.offsets.to_numpy()
         # The first word of a text has no space before it; an empty one is no piece.
         opening = np.zeros(len(codes), bool)
         opening[offsets[:-1]] = True
         used = np.zeros((2, len(values)), bool)
-        used[1 - opening.astype(int), codes] = True
-        used[0] &= values != ""
-        first, later = np.flatnonzero(used[0]), np.flatnonzero(used[1])
-        pieces = values[first].tolist() + spaced[later].tolist()
+        used[0, codes[opening]] = True
+        used[1, codes[~opening]] = True
+        used[0] &= pc.binary_length(values).to_numpy(zero_copy_only=False) > 0
+        sure = np.zeros(len(values), bool)
+        if self.known_cut:
+            sure = pc.match_substring_regex(values, _SURE).to_numpy(zero_copy_only=False)
+        first, easy, later = np.flatnonzero(used[0]), np.flatnonzero(used[1] & sure), np.flatnonzero(used[1] & ~sure)
+        pieces = _strings(values.take(first)) + _strings(spaced.take(later))
         cuts = {int(k): [x for x in _CUT.split(texts[k]) if x] for k in odd}
-        extra = list(set().union(*cuts.values()).difference(pieces)) if cuts else []
-        numbers = self._numbers(pieces + extra)
+        extra = list(set().union(*cuts.values()).difference(pieces))
+        pool, ends = self._pool("".join(_strings(spaced.take(easy))), pieces + extra)
         table = np.full((2, len(values)), -1, np.int64)
-        table[0, first] = numbers[: len(first)]
-        table[1, later] = numbers[len(first) : len(pieces)]
+        order = np.arange(len(easy) + len(pieces))
+        table[1, easy], table[0, first], table[1, later] = np.split(order, [len(easy), len(easy) + len(first)])
         at = np.where(opening, table[0, codes], table[1, codes])
         counts = np.add.reduceat((at >= 0).astype(np.int64), offsets[:-1]) if len(texts) else np.zeros(0, np.int64)
         if cuts:
-            named = dict(zip(pieces + extra, numbers.tolist(), strict=True))
+            named = {x: k for k, x in enumerate(pieces + extra, len(easy))}
             bounds = np.split(at, offsets[1:-1])
             for k, own in cuts.items():
                 bounds[k] = np.array([named[x] for x in own], np.int64)
                 counts[k] = len(own)
             at = np.concatenate(bounds)
-        ids, stops = self.young.ids(at[at >= 0])
-        return ids, stops[np.concatenate([[0], np.cumsum(counts)])]
+        at = at[at >= 0]
+        cut = range(0, max(len(at), 1), GATHER)
+        ids = np.concatenate([_gather(pool, ends, at[k : k + GATHER])[0] for k in cut])
+        sizes = np.concatenate([[0], np.cumsum((ends[1:] - ends[:-1])[at])])
+        return ids, sizes[np.concatenate([[0], np.cumsum(counts)])]
 
 
 @lru_cache(maxsize=1)

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from llm_cases import edge_rows
 from tokenizers import Tokenizer
 
+from leakscope.llm import bpe
 from leakscope.llm import token_files as T
 from leakscope.llm.bpe import Encoder, encoded, encoded_column, parts
 from leakscope.llm.packing import STEP, column_generation, pack_documents, pack_pieces, patterns
@@ -89,6 +90,33 @@ def test_the_library_gets_few_new_pieces_at_once(library, monkeypatch):
     assert not list(encoded_column(encoder, column.slice(0, 0)))
 
 
+def test_words_and_the_marks_after_them_are_learned_apart(library):
+    """Each token once, not each word with each mark (F: 512 CPU seconds a GB)."""
+    encoder = Encoder(PATH)
+    words = [f"ré{a}{b}on" for a in "abcdefgh" for b in "uvwxyz"]
+    texts = [" ".join(w + mark + x for w in words) for mark in (",", ".", ";", "...", ".\n", '!"\n\n') for x in ("", "It's")]
+    got = [ids.tolist() for _, ids in encoded(encoder, texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(encoder.young.index) <= len(words) + 20
+
+
+SURE = [c for c in map(chr, range(0x3000)) if bpe._SURE_PIECE.fullmatch(c)]
+
+
+def test_sure_characters_are_cut_as_by_the_library(library):
+    cut = library.pre_tokenizer.pre_tokenize_str
+    for c in SURE:
+        text = f"a{c}a 1{c}1 .{c}. {c}{c} {c}"
+        assert bpe._spelled(bpe._TOKEN.findall(text)) == [t for t, _ in cut(text)], (c, hex(ord(c)))
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(st.sampled_from(SURE + list(" \n\t'slr.1a" * 30) + list("µ²\x85\x1c\0漢\u2003\u0301")), max_size=60))
+def test_text_of_sure_characters_and_few_others(text):
+    encoder = test_any_text_like_the_library.encoder
+    assert encoder.encode([text])[0].tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("counts", [[5], [1, 1], [0, 3, 0, 9], [2**k for k in range(30)], list(range(1, 3000))])
 def test_code_lengths_are_complete_and_limited(counts):
     counts = np.array(counts)
