@@ -22,6 +22,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ LEARN_TEXT = 1 << 16
 # Pieces whose ids are gathered at once.
 GATHER = 1 << 18
 
+_ID = attrgetter("id")
 _NONE, _SPACE = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 _CUT = re.compile(r"(?= \S)")
 # A space before white space of any kind, or at the end; wider classes only cost time.
@@ -52,6 +54,7 @@ _ODD_SPACE = (
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿĀ-ſ\u0400-\u0481\u048a-\u052f"
 _MARKS = "¡-©«¬®-±´¶-¸»¿×÷\u2010-\u2027\u2030-\u205e"
 _SURE = rf"^[\t\n\r -~{_LETTERS}{_MARKS}]*$"
+_WORD = f"^ [{_LETTERS}]+$"
 _SURE_PIECE = re.compile(_SURE[1:-1])
 _TOKEN = re.compile(
     rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
@@ -157,9 +160,9 @@ class Encoder:
         sizes: list[int] = []
         found: list[int] = []
         for token in _spelled(tokens):
-            got = [t.id for t in self.model.tokenize(token)]
+            got = self.model.tokenize(token)
             sizes.append(len(got))
-            found += got
+            found.extend(map(_ID, got))
         return np.array(found, np.uint32), np.array(sizes, np.int64)
 
     def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,11 +213,11 @@ class Encoder:
                 at[lost[some]] = self.young.add(fresh, *learn(fresh))
         return at
 
-    def _pool(self, joined: str, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the pieces in ``joined`` and of ``pieces``, and where each stops.
+    def _pool(self, whole: pa.Array, joined: str, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``whole``, of the pieces in ``joined`` and of ``pieces``, and where each stops.
 
-        Those in ``joined`` are sure, and begin with the one space that they hold and a
-        visible character.
+        Those in ``whole`` are tokens.  Those in ``joined`` are sure, and begin with the one
+        space that they hold and a visible character.
         """
         tokens = _TOKEN.findall(joined)
         opens = np.fromiter((t[0] == " " for t in tokens), bool, len(tokens))
@@ -229,11 +232,12 @@ class Encoder:
                 uncut.add(piece)
             tokens += own
             counts.append(len(own))
-        different = pa.array(tokens, pa.large_string()).dictionary_encode()
+        column = pa.concat_arrays([whole, pa.array(tokens, pa.large_string())])
         del tokens
+        different = column.dictionary_encode()
         numbers = self._numbers(_strings(different.dictionary), uncut)
         ids, stops = self.young.ids(numbers[different.indices.to_numpy()])
-        sizes = np.concatenate([sizes, np.array(counts, np.int64)])
+        sizes = np.concatenate([np.ones(len(whole), np.int64), sizes, np.array(counts, np.int64)])
         return ids, stops[np.concatenate([[0], np.cumsum(sizes)])]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -276,18 +280,24 @@ class Encoder:
         sure = np.zeros(len(values), bool)
         if self.known_cut:
             sure = pc.match_substring_regex(values, _SURE).to_numpy(zero_copy_only=False)
-        first, easy, later = np.flatnonzero(used[0]), np.flatnonzero(used[1] & sure), np.flatnonzero(used[1] & ~sure)
-        pieces = _strings(values.take(first)) + _strings(spaced.take(later))
+        word = pc.match_substring_regex(spaced, _WORD).to_numpy(zero_copy_only=False) & sure
+        first, other = np.flatnonzero(used[0]), np.flatnonzero(used[1] & ~sure)
+        plain, easy = np.flatnonzero(used[1] & word), np.flatnonzero(used[1] & sure & ~word)
+        pieces = _strings(values.take(first)) + _strings(spaced.take(other))
         cuts = {int(k): [x for x in _CUT.split(texts[k]) if x] for k in odd}
         extra = list(set().union(*cuts.values()).difference(pieces))
-        pool, ends = self._pool("".join(_strings(spaced.take(easy))), pieces + extra)
+        whole, joined = spaced.take(plain), "".join(_strings(spaced.take(easy)))
         table = np.full((2, len(values)), -1, np.int64)
-        order = np.arange(len(easy) + len(pieces))
-        table[1, easy], table[0, first], table[1, later] = np.split(order, [len(easy), len(easy) + len(first)])
+        del column, split, words, values, spaced
+        pool, ends = self._pool(whole, joined, pieces + extra)
+        of_words = np.concatenate([plain, easy])
+        table[1, of_words] = np.arange(len(of_words))
+        table[0, first] = len(of_words) + np.arange(len(first))
+        table[1, other] = len(of_words) + len(first) + np.arange(len(other))
         at = np.where(opening, table[0, codes], table[1, codes])
         counts = np.add.reduceat((at >= 0).astype(np.int64), offsets[:-1]) if len(texts) else np.zeros(0, np.int64)
         if cuts:
-            named = {x: k for k, x in enumerate(pieces + extra, len(easy))}
+            named = {x: k for k, x in enumerate(pieces + extra, len(of_words))}
             bounds = np.split(at, offsets[1:-1])
             for k, own in cuts.items():
                 bounds[k] = np.array([named[x] for x in own], np.int64)

@@ -24,7 +24,7 @@ from leakscope.llm.bpe import encoded_column, shared_encoder
 from leakscope.llm.shelf import Shelf
 
 MAX_BITS = 18
-CHECKPOINT = 64  # times MAX_BITS must fit 16 bits
+CHECKPOINT = 64  # even; times MAX_BITS must fit 16 bits
 BLOCK = 1 << 17
 _BLOCKS = (
     "file int, first_row long, before long, n_ids long, doc_ids array<long>, sizes array<long>, "
@@ -73,24 +73,25 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Coded bits and the bit offset of every CHECKPOINT-th id."""
-    size = lengths[ids].astype(np.int64)
+    size, code = lengths[ids].astype(np.int64), codes[ids]
+    if len(ids) % 2:
+        size, code = np.append(size, 0), np.append(code, np.uint64(0))
+    # Two ids at once: what follows works on pairs.
+    code = code[::2] << size[1::2].astype(np.uint64) | code[1::2]
+    size = size[::2] + size[1::2]
     ends = np.cumsum(size)
     at = ends - size
     if not len(ids):
         return b"", at
     out = np.zeros(int(ends[-1]) // 64 + 2, np.uint64)
     word, room = at >> 6, 64 - (at & 63) - size
-    code = codes[ids]
-    high = np.where(
-        room >= 0,
-        code << np.maximum(room, 0).astype(np.uint64),
-        code >> np.maximum(-room, 0).astype(np.uint64),
-    )
+    over = np.flatnonzero(room < 0)  # at most one pair crosses into each word
+    high = code << np.maximum(room, 0).astype(np.uint64)
+    high[over] = code[over] >> (-room[over]).astype(np.uint64)
     firsts = np.flatnonzero(np.diff(word, prepend=-1))
     out[word[firsts]] = np.bitwise_or.reduceat(high, firsts)
-    over = np.flatnonzero(room < 0)  # at most one id crosses into each word
     out[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-    return out.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], at[::CHECKPOINT]
+    return out.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], at[:: CHECKPOINT // 2]
 
 
 def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
