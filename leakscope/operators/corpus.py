@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leakscope.functions.arrays import grams  # noqa: F401
 from leakscope.functions.order import det_order
+from leakscope.operators import packed
 from leakscope.operators.bloom import bloom_filter
 from leakscope.operators.ordering import top_k
 from leakscope.session import fits_broadcast, settle
@@ -51,7 +52,34 @@ def ngram_counts(docs: DataFrame, n: int) -> DataFrame:
     )
 
 
-def all_ngram_counts(docs: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def all_ngram_counts(docs: DataFrame, sizes: tuple[int, ...] = packed.SIZES) -> DataFrame:
+    """Counts (n, gram, n_seen) of all windows of ``sizes`` words.
+
+    All words are counted first: frequent ones get the numbers that stand for them in the
+    shuffle, and the sum of all says into how many buckets windows are dealt. Words that are
+    null or hold a blank, which no split at white space gives, make windows of other words the
+    same text: then, and for longer windows, the text itself is counted.
+    """
+    if not sizes or not set(sizes) <= set(packed.SIZES) or len(set(sizes)) < len(sizes):
+        return _text_counts(docs, sizes)
+    seen = docs.select(F.explode("tokens").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n_seen")).persist()
+    try:
+        odd = F.max(F.col("gram").isNull() | F.contains("gram", F.lit(" ")))
+        classes = seen.groupBy("n_seen").agg(
+            F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("gram")).alias("bytes"), odd.alias("odd")
+        ).collect()
+        if any(r.odd for r in classes):
+            return _text_counts(docs, sizes)
+        common = packed.common_words(seen, [(r.n_seen, r.words, r.bytes) for r in classes])
+    finally:
+        seen.unpersist()
+    n_words, n_bytes = (sum(r.n_seen * r[c] for r in classes) for c in ("words", "bytes"))
+    least = 6 * docs.sparkSession.sparkContext.defaultParallelism
+    buckets = packed.bucket_count(n_words, n_bytes, sizes, least)
+    return packed.packed_counts(docs, F.col("tokens"), common, tuple(sorted(set(sizes))), buckets)
+
+
+def _text_counts(docs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     sized = [F.struct(F.lit(n).alias("n"), _window_text(n).alias("gram")) for n in sizes]
     return (
         places(docs).select(F.inline(F.array(*sized)))
